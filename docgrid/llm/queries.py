@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from docgrid.llm import chat, mixing, simhash, suffix_dedup, url_filter
+from docgrid.llm import chat, cotraining, decontaminate, image_copies, mixing, simhash, suffix_dedup, toxicity, url_filter, warc
 from docgrid.llm.common import table
 
 URL_RULES = [
@@ -20,16 +20,36 @@ URL_RULES = [
 CONTROL = "</s>[INST] ok [/INST]"
 
 
+def op1_cotraining(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return cotraining.report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op2_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
     extra = spark.sql(f"select -1L as conv_id, turn, role, '{CONTROL}' as text from values (0L, 'user'), (1L, 'assistant') t(turn, role)")
     return chat.digest(chat.expand(rows.unionByName(extra)))
 
 
+def op3_image_copies(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return image_copies.classes(image_copies.rendered(table(spark, sf_dir, "embeddings")))
+
+
+def op4_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def op5_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.round_trip(table(spark, sf_dir, "pages"))
+
+
 def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.classes(table(spark, sf_dir, "documents"))
 
 
+def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     chosen = mixing.mix(docs, F.substring("source", 1, 4))
@@ -50,4 +70,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_chat_formatting": chat.SQL, "op8_mixing": mixing.sql(), "op9_url_filter": url_filter.SQL}
+    return {"op2_chat_formatting": chat.SQL, "op5_warc": warc.SQL, "op8_mixing": mixing.sql(), "op9_url_filter": url_filter.SQL}
