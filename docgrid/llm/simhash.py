@@ -20,7 +20,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from docgrid.llm.common import components, written
@@ -106,3 +106,13 @@ def classes(docs: DataFrame, shingle: int = 3, bucket_limit: int = BUCKET_LIMIT)
     named = nodes.where("root <> fp").select("fp", "root").join(names, "root").select("fp", "component_id")
     named = named.unionByName(names.select(F.col("root").alias("fp"), "component_id"))
     return prints.join(named, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
+def deduplicated(docs: DataFrame, shingle: int = 3, bucket_limit: int = BUCKET_LIMIT) -> DataFrame:
+    """``docs``, all columns, with one row of each class: that with the smallest doc_id.
+
+    Of rows repeated with this id and the same text one stays. Rows without an id stay."""
+    gone = classes(docs, shingle, bucket_limit).where("doc_id <> component_id").select(F.col("doc_id").alias("_gone")).distinct()
+    kept = docs.join(gone, F.col("doc_id").cast("long") == F.col("_gone"), "left_anti")
+    same = Window.partitionBy("doc_id", F.xxhash64("text")).orderBy(F.lit(0))
+    return kept.withColumn("_nth", F.row_number().over(same)).where("doc_id is null or _nth = 1").select(*docs.columns)
