@@ -18,7 +18,7 @@ Most suffixes cannot have a partner, so they are ruled out first, exactly:
    digest only, its positions are settled without comparing suffixes.
 3. Of the other keys one block for each digest is kept with its bytes, dealt by
    the key, and the suffixes in it are sorted: equal neighbours in that order
-   are repeats. A key with more than ``key_limit`` different blocks is dealt by the
+   are repeats. A key with more than ``key_limit`` such suffixes is dealt by the
    single windows' digests instead, which any number of tasks can share.
 
 All positions are compared on the input as given. Documents are row units: the
@@ -42,7 +42,8 @@ from docgrid.llm.common import written
 
 LENGTH = 200
 GRAM = 32
-KEY_LIMIT = 512
+KEY_LIMIT = 1 << 19
+BUCKET = 20_000
 PIECE = 1 << 19
 RUN = 1024
 _TOP = np.uint64(2**64 - 1)
@@ -158,21 +159,30 @@ def _all_blocks(docs: DataFrame, length: int) -> DataFrame:
     return docs.mapInArrow(run, "rid long, doc_id long, key long, digest long, p0 long, n long, twice boolean")
 
 
-def lpf_runs(suffixes: np.ndarray, order: np.ndarray, length: int, first_kept: bool) -> np.ndarray:
-    """For each suffix (its first ``length`` bytes) whether it is repeated, or with
-    ``first_kept`` whether its longest previous factor is ``length`` or more.
+def lpf_runs(data: np.ndarray, starts: np.ndarray, order: np.ndarray, length: int, first_kept: bool) -> np.ndarray:
+    """For each suffix of ``data`` (compared to ``length`` bytes) whether it is repeated, or
+    with ``first_kept`` whether its longest previous factor is ``length`` or more.
 
     ``order`` gives the text order. Sorted by bytes and then text order, the
     previous smaller position of a suffix stands just before it if it is equal to
-    the depth, and a next smaller one never is equal, as equal ones ascend."""
-    flat = np.ascontiguousarray(suffixes).view(f"V{length}").ravel()
-    by_text = np.argsort(order, kind="stable")
-    sa = by_text[np.argsort(flat[by_text], kind="stable")]
-    same = flat[sa[1:]] == flat[sa[:-1]]  # the common prefix of neighbours has the whole length
-    out = np.zeros(len(flat), bool)
-    out[sa[1:]] = same
-    if not first_kept:
-        out[sa[:-1]] |= same
+    the depth, and a next smaller one never is equal, as equal ones ascend. The first
+    two bytes deal the suffixes into buckets, which are sorted one after the other."""
+    out = np.zeros(len(starts), bool)
+    code = data[starts].astype(np.int32) * 256 + data[starts + 1]
+    by = np.lexsort((order, code))
+    cuts = np.append(np.flatnonzero(np.diff(code[by])) + 1, len(by))
+    lo = 0
+    for n, hi in enumerate(cuts.tolist()):
+        if hi - lo < BUCKET and n + 1 < len(cuts):
+            continue
+        some = by[lo:hi]
+        flat = np.ascontiguousarray(data[starts[some][:, None] + np.arange(length)]).view(f"V{length}").ravel()
+        sa = np.argsort(flat, kind="stable")  # equal suffixes have one code, in which ``by`` is in text order
+        same = flat[sa[1:]] == flat[sa[:-1]]  # the common prefix of neighbours has the whole length
+        out[some[sa[1:][same]]] = True
+        if not first_kept:
+            out[some[sa[:-1][same]]] = True
+        lo = hi
     return out
 
 
@@ -184,12 +194,13 @@ def _sorted_suffixes(rows: DataFrame, length: int, first_kept: bool) -> DataFram
         n = t.column("n").to_numpy()
         blobs = t.column("bytes").to_pylist()
         at = np.concatenate(([0], np.cumsum(n)))
-        suffixes = np.concatenate([np.lib.stride_tricks.sliding_window_view(np.frombuffer(b, np.uint8), length)[:k] for b, k in zip(blobs, n)])
+        data = np.frombuffer(b"".join(blobs), np.uint8)
+        heads = np.concatenate(([0], np.cumsum([len(b) for b in blobs])[:-1]))
         ids = pd.DataFrame({"d": t.column("doc_id").to_pandas().astype("Int64"), "r": t.column("rid").to_numpy(), "p": t.column("p0").to_numpy()})
         rank = np.empty(len(n), np.int64)
         rank[ids.sort_values(["d", "r", "p"], na_position="first").index.to_numpy()] = np.arange(len(n))
         inside = np.arange(at[-1]) - np.repeat(at[:-1], n)
-        repeated = lpf_runs(suffixes, np.repeat(rank, n) * (RUN + 1) + inside, length, first_kept)
+        repeated = lpf_runs(data, np.repeat(heads, n) + inside, np.repeat(rank, n) * (RUN + 1) + inside, length, first_kept)
         edge = np.zeros(at[-1] + 1, bool)
         edge[at[:-1]] = True
         begins = np.flatnonzero(repeated & (edge[:-1] | ~np.concatenate(([False], repeated[:-1]))))
@@ -277,7 +288,7 @@ def repeated_spans(texts: DataFrame, length: int = LENGTH, first_kept: bool = Fa
         whole = hits.where("not mixed").unionByName(hits.where("mixed").join(reps.where("copies > 1").select("key", "digest"), ["key", "digest"]))
     whole = whole.select("rid", "doc_id", "p0", "n")
     mixed = reps.where("mixed")
-    crowd = mixed.groupBy("key").agg((F.count("*") > key_limit).alias("crowded"))
+    crowd = mixed.groupBy("key").agg((F.sum("n") > key_limit).alias("crowded"))
     blobs = _with_bytes(texts, mixed.join(crowd, "key"), length)
     plain = blobs.where("window is null").drop("window").repartition("key").sortWithinPartitions("key")
     some = _sorted_suffixes(plain, length, first_kept)
