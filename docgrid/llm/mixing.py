@@ -55,7 +55,7 @@ def budgets(leaves: DataFrame, levels: Sequence[str], weights: Mapping[str, Mapp
         kids = kids.withColumn("share", (F.col("over") - before) / after)
         level_share = F.max(F.when(F.col("share") < F.col("cap") / F.col("w"), F.col("share"))).over(family)
         kids = kids.withColumn("share", level_share)
-        kids = kids.select(*own, F.coalesce(F.least("cap", F.floor(F.greatest(F.col("share"), F.lit(0.0)) * F.col("w"))), "cap").cast("long").alias("budget"))
+        kids = kids.select(*own, F.when(F.col("share").isNull(), F.col("cap")).otherwise(F.least("cap", F.floor(F.greatest(F.col("share"), F.lit(0.0)) * F.col("w")))).cast("long").alias("budget"))
         nodes = nodes.drop("budget").join(kids, own)
     return nodes.select(*levels, "tokens", "budget")
 
@@ -102,11 +102,12 @@ def mix(
     run = F.sum("n").over(Window.partitionBy(*LEVELS).orderBy("h", "doc_id").rangeBetween(Window.unboundedPreceding, Window.currentRow))
     last = edge.withColumn("upto", run + F.col("base")).where("upto <= rest").groupBy(*LEVELS).agg(F.max("h").alias("last"))
     plan = dealt.join(cut.drop("base"), list(LEVELS), "left").join(last, list(LEVELS), "left")
-    plan = written(plan.select(*[F.col(k).alias(f"_{k}") for k in LEVELS], "whole", "cut", "last"), "plan")
+    plan = written(plan.select(*[F.col(k).alias(f"_{k}") for k in LEVELS], "whole", "rest", "cut", "last"), "plan")
     # A document is in the prefix if its hash comes before the cut bucket, or in it up to the last that fits.
     out = docs.withColumns({f"_{k}": c for k, c in zip(LEVELS, keys)}).withColumn("n_tokens", n_tokens(F.col("text")))
     out = out.join(small(plan), [f"_{k}" for k in LEVELS]).withColumn("_h", _order(seed, F.col("whole")))
     head = F.col("cut").isNull() | (F.substring("_h", 1, BUCKET_DIGITS) < F.col("cut")) | ((F.substring("_h", 1, BUCKET_DIGITS) == F.col("cut")) & (F.col("_h") <= F.coalesce("last", F.lit(""))))
+    head = head & ((F.col("rest") > 0) | (F.col("whole") == 0))
     times = F.col("whole") + F.when(head, 1).otherwise(0)
     out = out.where(times > 0).withColumn("epoch", F.explode(F.sequence(F.lit(0).cast("long"), times - 1)))
     return out.withColumn("domain", F.col("_domain")).select(*docs.columns, *[c for c in ("domain", "n_tokens", "epoch") if c not in docs.columns])
@@ -125,7 +126,7 @@ def sql(ratio: float = 0.5, max_epochs: int = 2, seed: int = 42) -> str:
             f"s{depth} as (select *, (over_ - coalesce(sum(cap) over ({over} order by cap / w, {own} rows between unbounded preceding and 1 preceding), 0))"
             f" / sum(w) over ({over} order by cap / w, {own} rows between current row and unbounded following) as share from k{depth}),"
             f"m{depth} as (select *, max(case when share < cap / w then share end) over ({over}) as level from s{depth}),"
-            f"b{depth} as (select {own}, cast(coalesce(least(cap, floor(greatest(level, 0) * w)), cap) as bigint) as budget from m{depth})"
+            f"b{depth} as (select {own}, cast(case when level is null then cap else least(cap, floor(greatest(level, 0) * w)) end as bigint) as budget from m{depth})"
         )
     return f"""
 with d as (
@@ -138,6 +139,6 @@ plan as (select domain, lang, source, coalesce(budget // nullif(tokens, 0), 0) a
          from l join b2 using (domain, lang, source)),
 o as (select d.*, whole, rest, md5(concat_ws(':', '{seed}', whole, coalesce(cast(doc_id as varchar), ''))) as h from d join plan using (domain, lang, source)),
 r as (select *, sum(n) over (partition by domain, lang, source order by h, doc_id) as upto from o),
-t as (select *, whole + case when upto <= rest then 1 else 0 end as times from r)
+t as (select *, whole + case when upto <= rest and (rest > 0 or whole = 0) then 1 else 0 end as times from r)
 select doc_id, domain, lang, source, cast(n as bigint) as n_tokens, cast(unnest(range(cast(times as bigint))) as bigint) as epoch from t where times > 0
 """
