@@ -23,10 +23,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from docgrid.llm.common import new_path
+from docgrid.llm.common import new_path, written
 
 MIN_REVISIT = 1000
 FILE_BYTES = 8 << 20
+BROADCAST_ROWS = 200_000
 DATE = "2024-01-01T00:00:00Z"
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 TAG = re.compile(rb"WARC/1\.1\r\n")
@@ -45,8 +46,9 @@ def write(pages: DataFrame, path: str, min_revisit: int = MIN_REVISIT, file_byte
     clean = clean.withColumns({"n": F.octet_length("html"), "digest": F.sha1("html")})
     mean = clean.agg(F.coalesce(F.avg("n"), F.lit(0.0))).first()[0]
     copies = clean.where(F.col("n") >= min_revisit).groupBy("digest").agg(F.max("page_id").alias("first"), F.count("*").alias("copies"))
-    copies = copies.where("copies > 1 and first is not null").drop("copies")
-    rows = clean.join(copies, "digest", "left")
+    copies = written(copies.where("copies > 1 and first is not null").drop("copies"), "copies")
+    few = copies.count() <= BROADCAST_ROWS  # payloads that come more than once; beyond the bound, pages are dealt by digest
+    rows = clean.join(F.broadcast(copies) if few else copies, "digest", "left")
     revisit = (F.col("n") >= min_revisit) & F.col("first").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("first"))
     line = lambda name, value: F.concat(F.lit(f"{name}: "), value, F.lit("\r\n"))
     urn = lambda c: F.concat(F.lit("<urn:x-page:"), F.coalesce(c.cast("string"), F.lit("none")), F.lit(">"))
