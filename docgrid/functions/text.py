@@ -144,3 +144,22 @@ def trailing_check_mark(qty: Column, box: Column) -> Column:
     """The quantity without a last 1 that the box number shows to be a tick."""
     cut = F.substring(qty, F.lit(1), F.length(qty) - 1)
     return F.when((F.length(qty) > 1) & qty.endswith("1") & (cut == box), cut).otherwise(qty)
+
+
+def line_decision(lines: Column) -> Column:
+    """Whether the lines (array of text, confidence) are one sure identifier: a struct of
+    accepted, reason (null if accepted) and confidence (of a single line with a text)."""
+    first = F.get(lines, F.lit(0))
+    text = F.regexp_replace(F.coalesce(first["text"], F.lit("")), r"(?U)^\s+|\s+$", "")
+    score = F.when(~F.isnan(first["confidence"]) & (F.abs(first["confidence"]) < F.lit(float("inf"))), first["confidence"])
+    shaped = text.rlike(r"\A[A-Za-z0-9][A-Za-z0-9_./:-]{1,127}\z") & text.rlike(r"\d")
+    n = F.coalesce(F.size(lines), F.lit(0))
+    reason = (
+        F.when(n < 1, "no_text")
+        .when(n > 1, "multiple_lines")
+        .when(text == "", "no_text")
+        .when(~shaped, "invalid_identifier")
+        .when(score.isNull(), "invalid_confidence")
+        .when(score < 0.95, "low_confidence")
+    )
+    return let(reason, lambda r: F.struct(r.isNull().alias("accepted"), r.alias("reason"), F.when((n == 1) & (text != ""), score).alias("confidence")))

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from docgrid.fixtures import fixture, with_views
+from docgrid.functions import dates
 from docgrid.functions import text as T
 from docgrid.operators import labels, matching, reconcile, rows, votes
 from docgrid.streaming import sessions
@@ -479,3 +480,75 @@ def merge_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
 def label_box_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     c = fixture(spark, sf_dir, "events").selectExpr("event_id", "cast(user_id % 300 + 10 as double) as w", "cast(event_id % 260 + 8 as double) as h", "event_id * 7 % 100 / 1e2 as rect")
     return c.where("w >= 28 and h >= 20 and w / h between 0.55e0 and 4.2e0 and rect >= 0.7e0 and w * h between 0.002e0 * 640000 and 0.45e0 * 640000").selectExpr("event_id", "w / h as aspect")
+
+
+# Both engines run these: a text of one of five kinds for each line.
+MON = "substr('JanFebMarAprMayJunJulAugSepOctNovDec', 3 * cast(substr(mfg_true, 6, 2) as int) - 2, 3)"
+DMY = "substr(mfg_true, 9, 2) || '{0}' || substr(mfg_true, 6, 2) || '{0}' || substr(mfg_true, 1, 4)"
+DATED = f"""case row_idx % 5 when 0 then 'EXP ' || {DMY.format('/')} when 1 then 'x 1' || chr(10) || 'MFG:' || mfg_true || ' kg'
+  when 2 then 'LOT ' || replace(mfg_true, '-', '') || ' BBE ' || {MON} || ' ' || substr(mfg_true, 9, 2) || ', ' || substr(mfg_true, 1, 4)
+  when 3 then 'ABC' || replace(mfg_true, '-', '') || 'X' else 'EXP' || {DMY.format('')} end"""
+DATES = f"""with t as (select doc_id, row_idx, row_idx % 5 as k, mfg_true as d, {DATED} as text, {MON} || ' ' || substr(mfg_true, 9, 2) || ', ' || substr(mfg_true, 1, 4) as named,
+  {DMY.format('/')} as slashed, {DMY.format('')} as solid, substr(mfg_true, 9, 2) as dd, substr(mfg_true, 6, 2) as mm from inv_line),
+u as (select *, k in (0, 4) and dd <= '12' and dd <> mm as two from t)"""
+
+
+@query(
+    DATES
+    + """select doc_id, row_idx, case k when 0 then slashed when 1 then d when 2 then named else solid end as raw, case when two then '' else d end as value,
+    case when two then d || ',' || substr(d, 1, 5) || dd || '-' || mm else d end as candidates, case when two then 'ambiguous' else 'valid' end as status,
+    case when k = 1 then 'manufacture_at' else 'expire_at' end as field, cast(k = 1 as int) as line from u where k <> 3""",
+    "inv_line",
+)
+def text_dates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = _lines(spark, sf_dir).selectExpr("doc_id", "row_idx", f"{DATED} as text").select("doc_id", "row_idx", F.inline(dates.scanned(F.col("text"))["dates"]))
+    return found.withColumn("candidates", F.array_join("candidates", ","))
+
+
+@query(DATES + "select doc_id, row_idx, case when k = 2 then replace(text, named, d) when k in (0, 4) and not two then replace(replace(text, slashed, d), solid, d) else text end as text from u", "inv_line")
+def plain_dates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    texts = _lines(spark, sf_dir).selectExpr("doc_id", "row_idx", f"{DATED} as text")
+    return texts.select("doc_id", "row_idx", dates.scanned(F.col("text"))["normalized"].alias("text"))
+
+
+@query(
+    """with l as (select doc_id, row_idx, trim(string_agg(text, ' ' order by x1, text)) as t from fragment where yc > 220 group by doc_id, row_idx)
+    select doc_id, coalesce(string_agg(t, ' | ' order by row_idx) filter (t <> ''), '') as notes from l group by doc_id""",
+    "fragment",
+)
+def notes_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rows.notes(fixture(spark, sf_dir, "fragment"), 220)
+
+
+SECOND = """select doc_id, row_idx, h, qty_true, case when h % 2 = 0 then box_text else '7' end as box, cast(qty_true as string) as qty, (512 + (doc_id * 13 + row_idx * 7) % 512) / 1024e0 as qty_score,
+  case when h <> 3 then (512 + (doc_id * 5 + row_idx * 3) % 512) / 1024e0 end as box_score, (doc_id * 3 + row_idx) % 100 / 1e2 as score, case when h in (4, 5) then 'model_disagreement' end as review,
+  case when h in (5, 6, 7) then 'ambiguous' end as issue, doc_id % 2 = 0 as agrees, case when h % 3 = 0 then '' else pallet_text end as pallet, pallet_text as pallet2 from {0}"""
+
+
+@query(
+    f"""with s as ({SECOND.format('inv_line').replace('as string', 'as varchar')})
+    select doc_id, row_idx, coalesce(pallet = '' and score >= 0.8e0, false) as pallet_taken,
+    coalesce(qty <> box and score >= 0.4e0 and box_score < 0.8e0 and qty_score >= 0.85e0 and ((review is null and issue is null) or (review is not null and issue is not null and agrees and qty_score >= 0.95e0)), false) as box_taken from s""",
+    "inv_line",
+)
+def second_opinion(spark: SparkSession, sf_dir: str) -> DataFrame:
+    s = spark.sql(SECOND.format("{lines}"), lines=_lines(spark, sf_dir))
+    c = F.col
+    box = votes.takes_box(c("box"), T.normalized("box", c("qty")), c("score"), c("box_score"), c("qty"), c("qty_score"), c("review"), c("issue"), c("agrees"))
+    return s.select("doc_id", "row_idx", votes.takes_pallet(c("pallet"), T.normalized("pallet", c("pallet2")), c("score")).alias("pallet_taken"), box.alias("box_taken"))
+
+
+CONFIDENCE = "(928 + (doc_id * 13 + row_idx * 7) % 96) / 1024e0"
+
+
+@query(
+    f"""with s as (select doc_id, row_idx, case h when 9 then 0 when 13 then 2 else 1 end as n, case h when 17 then ' ' when 18 then 'no digits' else batch_text end as t, case when h <> 19 then {CONFIDENCE} end as c from inv_line)
+    select doc_id, row_idx, n = 1 and trim(t) <> '' and regexp_full_match(t, '[A-Za-z0-9-]+') and regexp_matches(t, '[0-9]') and coalesce(c >= 0.95e0, false) as accepted,
+    case when n = 0 then 'no_text' when n = 2 then 'multiple_lines' when trim(t) = '' then 'no_text' when not regexp_full_match(t, '[A-Za-z0-9-]+') or not regexp_matches(t, '[0-9]') then 'invalid_identifier'
+      when c is null then 'invalid_confidence' when c < 0.95e0 then 'low_confidence' end as reason, case when n = 1 and trim(t) <> '' then c end as confidence from s""",
+    "inv_line",
+)
+def identifier_decision(spark: SparkSession, sf_dir: str) -> DataFrame:
+    line = f"named_struct('text', case h when 17 then ' ' when 18 then 'no digits' else batch_text end, 'confidence', case when h <> 19 then {CONFIDENCE} end)"
+    s = _lines(spark, sf_dir).selectExpr("doc_id", "row_idx", f"array_repeat({line}, case h when 9 then 0 when 13 then 2 else 1 end) as lines")
+    return s.select("doc_id", "row_idx", T.line_decision(F.col("lines")).alias("d")).select("doc_id", "row_idx", "d.*")

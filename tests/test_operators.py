@@ -5,6 +5,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
+from docgrid.functions import dates
 from docgrid.functions import text as T
 from docgrid.operators import labels, matching, reconcile, rows
 from docgrid.streaming import sessions
@@ -121,3 +122,29 @@ def test_stream_of_sessions_ends_as_the_fold(spark, tmp_path):
     q.stop()
     want = sorted(map(tuple, sessions.folded(shots).collect()))
     assert sorted(map(tuple, spark.table("ended").collect())) == want == [(1, 4, 1), (2, 0, 1)]
+
+
+@pytest.mark.parametrize(
+    "text,order,want,normalized",
+    [
+        ("EXP 01/02/2028", "auto", [("", "ambiguous", "expire_at")], "EXP 01/02/2028"),
+        ("EXP 01/02/2028", "dmy", [("2028-02-01", "valid", "expire_at")], "EXP 2028-02-01"),
+        ("EXP 01/02/2028", "mdy", [("2028-01-02", "valid", "expire_at")], "EXP 2028-01-02"),
+        ("2027-02-29, 2028-02-29 31/04/2028", "auto", [("", "invalid", ""), ("2028-02-29", "valid", ""), ("", "invalid", "")], "2027-02-29, 2028-02-29 31/04/2028"),
+        ("ABC20281119X", "auto", [], "ABC20281119X"),
+        ("November 19, 2026\n31122028 20012028\n01022028", "auto", [("2026-11-19", "valid", ""), ("2028-12-31", "valid", ""), ("2028-01-20", "valid", ""), ("", "ambiguous", "")], "2026-11-19\n2028-12-31 2028-01-20\n01022028"),
+        ("LOT20281119 EXP20281120", "auto", [("2028-11-20", "valid", "expire_at")], "LOT20281119 EXP2028-11-20"),
+        ("生产日期：2026年1月2日\r\n批次号 20261119\n", "auto", [("2026-01-02", "valid", "manufacture_at")], "生产日期：2026-01-02\n批次号 20261119"),
+        (None, "auto", [], ""),
+        ("", "auto", [], ""),
+    ],
+)
+def test_dates_of_free_text(spark, text, order, want, normalized):
+    got = spark.createDataFrame([(text,)], "t string").select(dates.scanned(F.col("t"), order).alias("s")).first()["s"]
+    assert [(d["value"], d["status"], d["field"]) for d in got["dates"]] == want
+    assert got["normalized"] == normalized
+
+
+def test_notes_keep_the_first_height_of_a_line(spark):
+    items = spark.createDataFrame([(1, 9e0, 1200e0, "b"), (1, 5e0, 1218e0, "a"), (1, 1e0, 1219e0, "c"), (1, 1e0, 1300e0, "PO12 Total"), (1, 1e0, 1100e0, "table"), (2, 1e0, 5e0, "x")], "doc_id int, x1 double, yc double, text string")
+    assert [tuple(r) for r in rows.notes(items, 1100).collect()] == [(1, "a b | c")]
