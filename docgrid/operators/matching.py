@@ -10,6 +10,10 @@ from docgrid.functions.text import differing, let, normalize_batch
 # Columns of the receiving sheet in pixels, right end open.
 LAYOUT = [("pallet", 90, 175), ("box", 175, 235), ("sku", 235, 390), ("name", 390, 725), ("qty", 725, 785), ("exp", 785, 905), ("mfg", 905, 1025), ("batch", 1025, 1185)]
 
+# The columns of sheets without a batch column, and the top of the table.
+NO_BATCH_LAYOUT = [("pallet", 68, 147), ("box", 153, 235), ("sku", 241, 440), ("name", 446, 839), ("qty", 845, 934), ("exp", 940, 1082), ("mfg", 1088, 1231)]
+TABLE_TOP = 124
+
 
 def best_allowed(value: Column, allowed: Column, share: float, drop_empty: bool) -> Column:
     """The one entry of the array ``allowed`` closest to ``value`` by edit distance, if it
@@ -80,3 +84,47 @@ def row_lines(rows: DataFrame, low: float, high: float) -> DataFrame:
     top = F.when(before.isNotNull(), (before + F.col("center")) / 2).when(after.isNull(), F.lit(low)).otherwise(F.greatest(F.lit(low), F.col("center") - (after - F.col("center")) / 2))
     bottom = F.when(after.isNotNull(), (after + F.col("center")) / 2).when(before.isNull(), F.lit(high)).otherwise(F.least(F.lit(high), F.col("center") + (F.col("center") - before) / 2))
     return rows.select("doc_id", "row_idx", top.alias("top"), bottom.alias("bottom"))
+
+
+def layouts(items: DataFrame, header_y: float, fallback: str = "fixed") -> DataFrame:
+    """doc_id, layout (``with_batch``, ``without_batch`` or ``fallback``) of fragments (doc_id, xc, yc, text).
+
+    A printed batch header decides first; then, by a margin of 20 pixels, whose columns' middles the
+    headers are nearer to; then a header of the making date; then, for pages without headers of
+    columns and the fallback ``fixed``, in whose columns more numbers of fitting length
+    stand, by a margin of 6. All are sums over a document's fragments: one aggregation."""
+    word = F.regexp_replace(F.upper("text"), "[^A-Z]", "")
+    digits = F.length(F.regexp_replace("text", r"(?U)\D", ""))
+    quantity = ((F.length("w") == 3) & F.col("w").endswith("TY")) | F.col("w").endswith("QTY")
+    kinds = [("pallet", F.col("w").startswith("PALL")), ("box", F.col("w") == "BOX"), ("sku", F.col("w").contains("SKU")), ("name", F.col("w") == "NAME"), ("qty", quantity), ("exp", F.col("w").startswith("EXP")), ("mfg", F.col("w").startswith("MF"))]
+    named = F.coalesce(*[F.when(test, F.lit(field)) for field, test in kinds])
+    rows = items.select("doc_id", "xc", word.alias("w"), digits.alias("n"), F.col("yc").between(TABLE_TOP - 15, header_y + 12).alias("head"))
+    rows = rows.withColumn("field", F.when(F.col("head"), named))
+
+    def off(layout: list[tuple[str, int, int]]) -> Column:
+        return F.avg(F.coalesce(*[F.when(F.col("field") == f, F.abs(F.col("xc") - (a + b) / 2)) for f, a, b in layout]))
+
+    def fitting(layout: list[tuple[str, int, int]]) -> Column:
+        inside = {f: (F.col("xc") >= a) & (F.col("xc") < b) for f, a, b in layout}
+        points = [(inside["sku"] & F.col("n").between(8, 14), 2), (inside["qty"] & F.col("n").between(1, 4), 3), ((inside["exp"] | inside["mfg"]) & F.col("n").isin(6, 8), 1)]
+        return sum(F.count_if(test) * worth for test, worth in points)
+
+    some = lambda test: F.coalesce(F.bool_or(F.col("head") & test), F.lit(False))
+    seen = rows.groupBy("doc_id").agg(
+        some(F.col("w").contains("BATC") & (F.col("w").contains("BATCH") | F.col("w").startswith("BATC"))).alias("batch"),
+        some(F.col("w").contains("MFG") | F.col("w").startswith("MF")).alias("made"),
+        some(F.col("w").startswith("EXP") | quantity).alias("other"),
+        F.count("field").alias("headers"),
+        F.coalesce(F.bool_or(F.col("field").isin("name", "qty", "exp", "mfg")), F.lit(False)).alias("telling"),
+        (off(NO_BATCH_LAYOUT) + 20 < off(LAYOUT)).alias("nearer"),
+        (fitting(LAYOUT) - fitting(NO_BATCH_LAYOUT)).alias("lead"),
+    )
+    dense = (F.col("headers") == 0) & F.lit(fallback == "fixed")
+    layout = (
+        F.when(F.col("batch"), "with_batch")
+        .when((F.col("telling") & F.col("nearer")) | (F.col("made") & F.col("other")), "without_batch")
+        .when(dense & (F.col("lead") <= -6), "without_batch")
+        .when(dense & (F.col("lead") >= 6), "with_batch")
+        .otherwise(fallback)
+    )
+    return seen.select("doc_id", layout.alias("layout"))

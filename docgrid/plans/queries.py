@@ -552,3 +552,18 @@ def identifier_decision(spark: SparkSession, sf_dir: str) -> DataFrame:
     line = f"named_struct('text', case h when 17 then ' ' when 18 then 'no digits' else batch_text end, 'confidence', case when h <> 19 then {CONFIDENCE} end)"
     s = _lines(spark, sf_dir).selectExpr("doc_id", "row_idx", f"array_repeat({line}, case h when 9 then 0 when 13 then 2 else 1 end) as lines")
     return s.select("doc_id", "row_idx", T.line_decision(F.col("lines")).alias("d")).select("doc_id", "row_idx", "d.*")
+
+
+HEADERS = """select doc_id, h.xc + 0e0 as xc, 138e0 as yc, h.text from {0} cross join (values (0, 'Batch', 1142), (0, 'Qty', 872), (1, 'Name', 628), (1, 'aty', 872), (2, 'MFG', 965), (2, 'EXP', 845)) h(k, text, xc) where row_idx = 0 and doc_id % 4 = h.k"""
+
+
+@query(
+    """with n as (select doc_id, length(regexp_replace(text, '\\D', '', 'g')) as n, field from fragment),
+    s as (select doc_id, count(*) filter (field = 'qty' and n between 1 and 4) * 3 + count(*) filter (field = 'exp' and n in (6, 8)) - count(*) filter (field = 'batch' and n in (6, 8)) as lead from n group by doc_id)
+    select doc_id, case when doc_id % 4 = 0 then 'with_batch' when doc_id % 4 <> 3 or lead <= -6 then 'without_batch' when lead >= 6 then 'with_batch' else 'fixed' end as layout from s""",
+    "fragment",
+)
+def layout_select(spark: SparkSession, sf_dir: str) -> DataFrame:
+    heads = spark.sql(HEADERS.format("{lines}"), lines=_lines(spark, sf_dir))
+    items = fixture(spark, sf_dir, "fragment").select("doc_id", "xc", "yc", "text")
+    return matching.layouts(items.unionByName(heads), 150)

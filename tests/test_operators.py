@@ -148,3 +148,11 @@ def test_dates_of_free_text(spark, text, order, want, normalized):
 def test_notes_keep_the_first_height_of_a_line(spark):
     items = spark.createDataFrame([(1, 9e0, 1200e0, "b"), (1, 5e0, 1218e0, "a"), (1, 1e0, 1219e0, "c"), (1, 1e0, 1300e0, "PO12 Total"), (1, 1e0, 1100e0, "table"), (2, 1e0, 5e0, "x")], "doc_id int, x1 double, yc double, text string")
     assert [tuple(r) for r in rows.notes(items, 1100).collect()] == [(1, "a b | c")]
+
+
+def test_layouts(spark):
+    heads = [(1, 95, 138, "PALLET"), (1, 190, 143, "BOX"), (1, 334, 145, "SKU #"), (1, 628, 139, "Name"), (1, 872, 116, "aty")]
+    heads += [(2, 574, 121, "Name"), (2, 778, 138, "Qty"), (2, 875, 138, "EXP"), (2, 996, 140, "MFG"), (2, 1142, 144, "Batch"), (4, 300, 500, None)]
+    body = [(3, x, 200 + 40 * i, t) for i in range(10) for x, t in ((340, f"930060513{100 + i}"), (890, str(10 + i)), (1000, "2027.09.11"), (1150, "2026.06.11"))]
+    got = matching.layouts(spark.createDataFrame(heads + body, "doc_id int, xc double, yc double, text string".replace("double", "int")), 166)
+    assert {tuple(r) for r in got.collect()} == {(1, "without_batch"), (2, "with_batch"), (3, "without_batch"), (4, "fixed")}
