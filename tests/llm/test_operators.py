@@ -4,6 +4,7 @@ import collections
 import hashlib
 import random
 
+import numpy as np
 import pytest
 import xxhash
 from pyspark.sql import functions as F
@@ -232,6 +233,42 @@ def test_image_copies(spark):
     assert len({got[i] for i in range(30)}) >= 29 and got[200] == 200 and got[201] == 201
 
 
+def test_image_matches_equal_brute_force(spark):
+    rng = np.random.default_rng(3)
+    base = rng.integers(-(2**63), 2**63 - 1, (12, 2))
+    rows = []
+    for image in range(60):
+        for pt in range(2):
+            d = base[(image + pt) % 12 if image < 40 else 0].copy()
+            for bit in rng.integers(0, 128, 0 if image >= 40 else 3):
+                d[bit // 64] ^= np.int64(1) << np.int64(bit % 64)
+            rows.append((image, pt, 0.0, 0.0, 0.0, 1.0, int(d[0]), int(d[1])))
+    found = spark.createDataFrame(rows, image_copies.FOUND)
+    d0, d1 = (np.array([r[k] for r in rows]) for k in (6, 7))
+    keys = [image_copies._keys(d0, d1, level) for level in range(3)]
+    distance = lambda i, j: sum(bin((rows[i][k] ^ rows[j][k]) & (2**64 - 1)).count("1") for k in (6, 7))
+
+    def expected(limit):
+        out = set()
+        for t in range(image_copies.TABLES):
+            groups, level = [range(len(rows))], 0
+            while groups and level < 3:
+                parted = [[i for i in g if keys[level][i, t] == k] for g in groups for k in {keys[level][i, t] for i in g}]
+                for g in (g for g in parted if len(g) <= limit):
+                    out |= {(*rows[i][:2], *rows[j][:2]) for i in g for j in g if rows[i][0] < rows[j][0] and distance(i, j) <= image_copies.MAX_BITS}
+                groups, level = [g for g in parted if len(g) > limit], level + 1
+            for g in groups:
+                out |= {(*rows[g[0]][:2], *rows[j][:2]) for j in g if rows[g[0]][0] < rows[j][0]}
+        return out
+
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 7)
+    try:
+        for limit in (4, 12, 1000):
+            assert {tuple(r) for r in image_copies._matches(found, limit).collect()} == expected(limit)
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+
+
 def test_pipeline_keeps_clean_documents(spark):
     import corpus_pipeline
 
