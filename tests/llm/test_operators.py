@@ -269,6 +269,26 @@ def test_image_matches_equal_brute_force(spark):
         spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
 
 
+def test_image_pairs_of_crowded_buckets_equal_brute_force(spark):
+    rng = np.random.default_rng(4)
+    base, masks = rng.integers(-(2**63), 2**63 - 1, (3, 2)), np.array(image_copies._MASKS)
+    rows = []
+    for image in range(240):
+        d = base[image % 3] ^ (rng.integers(-(2**63), 2**63 - 1, 2) & rng.integers(-(2**63), 2**63 - 1, 2) & rng.integers(-(2**63), 2**63 - 1, 2) & ~masks[image % 2])
+        rows.append((image // 2 * 2 if image % 20 == 1 else image, image % 2, 0.0, 0.0, 0.0, 1.0, int(d[0]), int(d[1])))
+    apart = lambda i, j: [(rows[i][k] ^ rows[j][k]) & (2**64 - 1) for k in (6, 7)]
+    meet = lambda x: any(not any(int(m) & (2**64 - 1) & v for m, v in zip(mask, x)) for mask in masks)
+    expected = sorted((*rows[i][:2], *rows[j][:2]) for i in range(240) for j in range(240) if rows[i][0] < rows[j][0] and sum(v.bit_count() for v in apart(i, j)) <= image_copies.MAX_BITS and meet(apart(i, j)))
+    assert len(expected) > 500
+    found = spark.createDataFrame(rows, image_copies.FOUND)
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 7)
+    try:
+        for block in (4, 30, 1000):
+            assert sorted(tuple(r) for r in image_copies.pairs(found, block).collect()) == expected
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+
+
 def test_pipeline_keeps_clean_documents(spark):
     import corpus_pipeline
 
