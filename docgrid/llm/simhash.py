@@ -112,7 +112,12 @@ def deduplicated(docs: DataFrame, shingle: int = 3, bucket_limit: int = BUCKET_L
     """``docs``, all columns, with one row of each class: that with the smallest doc_id.
 
     Of rows repeated with this id and the same text one stays. Rows without an id stay."""
-    gone = classes(docs, shingle, bucket_limit).where("doc_id <> component_id").select(F.col("doc_id").alias("_gone")).distinct()
+    return first_of_each(docs, classes(docs, shingle, bucket_limit))
+
+
+def first_of_each(docs: DataFrame, found: DataFrame) -> DataFrame:
+    """``deduplicated`` by the classes ``found`` (doc_id, component_id)."""
+    gone = found.where("doc_id <> component_id").select(F.col("doc_id").alias("_gone")).distinct()
     kept = docs.join(gone, F.col("doc_id").cast("long") == F.col("_gone"), "left_anti")
     same = Window.partitionBy("doc_id", F.xxhash64("text")).orderBy(F.lit(0))
     return kept.withColumn("_nth", F.row_number().over(same)).where("doc_id is null or _nth = 1").select(*docs.columns)

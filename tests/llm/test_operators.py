@@ -9,7 +9,7 @@ import pytest
 import xxhash
 from pyspark.sql import functions as F
 
-from docgrid.llm import chat, common, cotraining, decontaminate, image_copies, mixing, queries, simhash, suffix_dedup, toxicity, url_filter, warc
+from docgrid.llm import chat, common, cotraining, decontaminate, image_copies, mixing, near_copies, queries, simhash, suffix_dedup, toxicity, url_filter, warc
 from tests.compare import connect, same
 
 SF = "/root/testdata/sf0.001"
@@ -289,6 +289,47 @@ def test_image_pairs_of_crowded_buckets_equal_brute_force(spark):
         spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
 
 
+@pytest.mark.parametrize("block", [3, near_copies.BLOCK])
+def test_simhash_stage_equals_brute_force(spark, monkeypatch, block):
+    import corpus_pipeline
+
+    rng = random.Random(9)
+    words = lambda n: [f"w{rng.randrange(10**6)}" for _ in range(n)]
+    texts = []
+    for _ in range(6):
+        base = words(300)
+        texts.append(base)
+        for edits in (1, 2, 4, 6, 8, 20):  # similarities from about 0.97 down to 0.5
+            copy = list(base)
+            for at in rng.sample(range(300), edits):
+                copy[at] = "new"
+            texts.append(copy)
+    chain = words(400)
+    texts += [chain[k * 15 : k * 15 + 200] for k in range(12)]  # each near the next only
+    line = words(10)
+    texts += [line * 60 + words(40) for _ in range(8)]  # one repeated line, other words differ
+    texts += [[], [], ["a"], ["a"], ["A", "b"]]
+    rows = [(i, " ".join(t)) for i, t in enumerate(texts)]
+    sets = [{tuple(t.lower().split()[k : k + 5]) for k in range(max(1, len(t.split()) - 4))} for _, t in rows]
+    parent = list(range(len(rows)))
+
+    def find(i):
+        while parent[i] != i:
+            i = parent[i]
+        return i
+
+    near = [(i, j) for j in range(len(rows)) for i in range(j) if len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j])]
+    assert sum(len(sets[i] & sets[j]) < 0.95 * len(sets[i] | sets[j]) for i, j in near) > 20
+    for i, j in near:
+        x, y = sorted((find(i), find(j)))
+        parent[y] = x
+    docs = docs_of(spark, rows + [(None, "no id"), (3, rows[3][1])])
+    monkeypatch.setattr(near_copies.classes, "__defaults__", (block,))
+    got = corpus_pipeline.simhash_stage(spark, docs, SF)
+    assert sorted(r.doc_id for r in got.collect() if r.doc_id is not None) == sorted({find(i) for i in range(len(rows))})
+    assert got.where("doc_id is null").count() == 1
+
+
 def test_pipeline_keeps_clean_documents(spark):
     import corpus_pipeline
 
