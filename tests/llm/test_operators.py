@@ -224,69 +224,68 @@ def test_cotraining_held_out(spark):
     assert cotraining.report(docs_of(spark, [(1, None)]), labels.limit(0)).count() == 1
 
 
+def grouped(n, pairs):
+    parent = list(range(n))
+
+    def find(i):
+        while parent[i] != i:
+            i = parent[i]
+        return i
+
+    for i, j in pairs:
+        x, y = sorted((find(i), find(j)))
+        parent[y] = x
+    return [find(i) for i in range(n)]
+
+
+IMAGE = "image_id long, width int, height int, pixels binary"
+
+
+def image_row(image_id, img):
+    return (image_id, img.shape[1], img.shape[0], bytearray(np.ascontiguousarray(img).tobytes()))
+
+
 def test_image_copies(spark):
-    vectors = spark.range(30).select(F.col("id").alias("vec_id"), F.array(F.col("id").cast("float"), F.lit(1.5).cast("float")).alias("embedding"))
+    vectors = spark.range(120).select(F.col("id").alias("vec_id"), F.array(F.col("id").cast("float"), F.lit(1.5).cast("float")).alias("embedding"))
     images = image_copies.rendered(vectors)
-    images = images.unionByName(images.where("image_id = 3").withColumn("image_id", F.lit(103).cast("long"))).unionByName(spark.createDataFrame([(200, 2, 2, bytearray(b"1234")), (201, None, None, None)], images.schema))
-    got = {r.image_id: r.component_id for r in image_copies.classes(images).collect()}
-    assert sum(got[-i] == got[i] for i in (7, 17, 27)) == 3 and got[103] == got[3]
-    assert len({got[i] for i in range(30)}) >= 29 and got[200] == 200 and got[201] == 201
-
-
-def test_image_matches_equal_brute_force(spark):
-    rng = np.random.default_rng(3)
-    base = rng.integers(-(2**63), 2**63 - 1, (12, 2))
-    rows = []
-    for image in range(60):
-        for pt in range(2):
-            d = base[(image + pt) % 12 if image < 40 else 0].copy()
-            for bit in rng.integers(0, 128, 0 if image >= 40 else 3):
-                d[bit // 64] ^= np.int64(1) << np.int64(bit % 64)
-            rows.append((image, pt, 0.0, 0.0, 0.0, 1.0, int(d[0]), int(d[1])))
-    found = spark.createDataFrame(rows, image_copies.FOUND)
-    d0, d1 = (np.array([r[k] for r in rows]) for k in (6, 7))
-    keys = [image_copies._keys(d0, d1, level) for level in range(3)]
-    distance = lambda i, j: sum(bin((rows[i][k] ^ rows[j][k]) & (2**64 - 1)).count("1") for k in (6, 7))
-
-    def expected(limit):
-        out = set()
-        for t in range(image_copies.TABLES):
-            groups, level = [range(len(rows))], 0
-            while groups and level < 3:
-                parted = [[i for i in g if keys[level][i, t] == k] for g in groups for k in {keys[level][i, t] for i in g}]
-                for g in (g for g in parted if len(g) <= limit):
-                    out |= {(*rows[i][:2], *rows[j][:2]) for i in g for j in g if rows[i][0] < rows[j][0] and distance(i, j) <= image_copies.MAX_BITS}
-                groups, level = [g for g in parted if len(g) > limit], level + 1
-            for g in groups:
-                out |= {(*rows[g[0]][:2], *rows[j][:2]) for j in g if rows[g[0]][0] < rows[j][0]}
-        return out
-
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 7)
-    try:
-        for limit in (4, 12, 1000):
-            assert {tuple(r) for r in image_copies._matches(found, limit).collect()} == expected(limit)
-    finally:
-        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
-
-
-def test_image_pairs_of_crowded_buckets_equal_brute_force(spark):
-    rng = np.random.default_rng(4)
-    base, masks = rng.integers(-(2**63), 2**63 - 1, (3, 2)), np.array(image_copies._MASKS)
-    rows = []
-    for image in range(240):
-        d = base[image % 3] ^ (rng.integers(-(2**63), 2**63 - 1, 2) & rng.integers(-(2**63), 2**63 - 1, 2) & rng.integers(-(2**63), 2**63 - 1, 2) & ~masks[image % 2])
-        rows.append((image // 2 * 2 if image % 20 == 1 else image, image % 2, 0.0, 0.0, 0.0, 1.0, int(d[0]), int(d[1])))
-    apart = lambda i, j: [(rows[i][k] ^ rows[j][k]) & (2**64 - 1) for k in (6, 7)]
-    meet = lambda x: any(not any(int(m) & (2**64 - 1) & v for m, v in zip(mask, x)) for mask in masks)
-    expected = sorted((*rows[i][:2], *rows[j][:2]) for i in range(240) for j in range(240) if rows[i][0] < rows[j][0] and sum(v.bit_count() for v in apart(i, j)) <= image_copies.MAX_BITS and meet(apart(i, j)))
-    assert len(expected) > 500
-    found = spark.createDataFrame(rows, image_copies.FOUND)
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 7)
-    try:
-        for block in (4, 30, 1000):
-            assert sorted(tuple(r) for r in image_copies.pairs(found, block).collect()) == expected
-    finally:
-        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    more = [(200, 2, 2, bytearray(b"1234")), (201, None, None, None), (202, 9, 9, bytearray(b"broken")), (203, 2, 2, bytearray(b"1234")), (None, 5, 5, None), (204, 40, 40, bytearray(1600))]
+    images = images.unionByName(images.where("image_id = 3").withColumn("image_id", F.lit(103).cast("long"))).unionByName(spark.createDataFrame(more + more[:1], IMAGE))
+    images = images.withColumn("node", F.lit(1)).withColumn("root", F.lit(2))
+    rows = image_copies.classes(images).collect()
+    got = {r.image_id: r.component_id for r in rows}
+    assert len(rows) == images.count() and sum(r.image_id == 200 for r in rows) == 2
+    assert sum(got[-i] == got[i] for i in range(7, 120, 10)) >= 10 and got[103] == got[3]  # two of each edit; the tables miss some
+    assert len({got[i] for i in range(120)}) == 119  # 103 is a copy of 3
+    assert (got[200], got[201], got[202], got[203], got[204], got[None]) == (200, 201, 202, 200, 204, None)
+    assert image_copies.classes(images.limit(0)).count() == 0
+
+
+def test_more_points_on_larger_images():
+    rng = np.random.default_rng(1)
+    sizes = [len(image_copies.describe(rng.integers(0, 255, (n, n)).astype(np.uint8))) for n in (20, 96, 200, 400)]
+    assert 0 < sizes[0] < sizes[1] and sizes[3] > 3 * sizes[2] > 9 * sizes[1]
+
+
+@pytest.mark.parametrize("crowd", [3, image_copies.CROWD])
+def test_image_links_equal_brute_force(spark, crowd):
+    rng = np.random.default_rng(2)
+    pictures = []
+    for k in range(24):
+        base = image_copies.picture([float(k), 2.5])
+        pictures.append(base)
+        pictures += [image_copies.copied(base, seed, edit) for seed, edit in enumerate(image_copies.EDITS)]
+        if k < 4:  # larger groups, of crops that differ
+            pictures += [image_copies.copied(base, 50 + int(x), "cut") for x in rng.integers(0, 1000, 8)]
+    points = [image_copies.describe(p) for p in pictures]
+    keys = [set(image_copies.keys(p).tolist()) for p in points]
+    n = len(points)
+    true = [(i, j) for j in range(n) for i in range(j) if image_copies.votes(points[i], points[j]) >= image_copies.MIN_VOTES]
+    met = [(i, j) for i, j in true if keys[i] & keys[j]]
+    assert len(met) >= 0.9 * len(true)  # recall of the tables
+    one = spark.createDataFrame([(i, bytearray(p.tobytes())) for i, p in enumerate(points)], "node long, points binary")
+    found = image_copies.links(one, 3, crowd).collect()
+    assert grouped(n, [(r.u, r.v) for r in found]) == grouped(n, met)
+    assert {(r.u, r.v) for r in found} <= set(met)
 
 
 @pytest.mark.parametrize("block", [3, near_copies.BLOCK])
