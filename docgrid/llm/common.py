@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
@@ -19,6 +19,38 @@ def shared_dir(spark: SparkSession) -> str:
     return found or spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_shared"
 
 
+def fresh(df: DataFrame, name: str) -> str:
+    """A column name that ``df`` has not, with or without regard to case."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
+def row_key() -> Column:
+    """rid: a digest of a row's id and text; rows with one id and one text share it."""
+    return F.xxhash64(F.col("doc_id").cast("long"), F.coalesce(F.col("text").cast("string"), F.lit(""))).alias("rid")
+
+
+def first_of_each(docs: DataFrame, found: DataFrame) -> DataFrame:
+    """``docs``, all columns, with one row of each class of ``found`` (doc_id, rid, component):
+    that with the smallest doc_id; null ids come last, and of equal ids the text decides by a digest.
+
+    Decided on ids and digests; texts are joined once, with the rows to remove, or with
+    nothing where these are few enough to broadcast."""
+    last = F.struct(F.col("doc_id").isNull(), "doc_id", "rid")
+    rows = found.groupBy("component", "doc_id", "rid").agg(F.count("*").alias("n"))
+    first = rows.groupBy("component").agg(F.min(last).alias("first")).select("component", F.col("first.rid").alias("stays"))
+    marks = written(rows.join(first, "component").select("rid", (F.col("rid") == F.col("stays")).alias("keep"), "n"), "marks")
+    key = fresh(docs, "rid")
+    keyed = docs.withColumn(key, row_key())
+    gone = marks.where("not keep or n > 1").select(F.col("rid").alias(key)).distinct()
+    twice = marks.where("keep and n > 1").select(F.col("rid").alias(key)).distinct()
+    once = keyed.join(gone, key, "left_anti")
+    again = keyed.join(twice, key, "left_semi").dropDuplicates([key])
+    return once.unionByName(again).select(*docs.columns)
+
+
 def new_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
 

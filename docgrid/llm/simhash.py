@@ -20,10 +20,10 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from docgrid.llm.common import components, written
+from docgrid.llm.common import components, first_of_each, row_key, written
 
 BLOCKS = 4
 MAX_DISTANCE = 2
@@ -54,14 +54,15 @@ def fingerprint(text: str | None, shingle: int = 3, seed: int = 42) -> int:
 
 
 def fingerprints(docs: DataFrame, shingle: int = 3) -> DataFrame:
-    """doc_id, fp (the fingerprint as a signed long) for each row; one pass, no shuffle."""
+    """doc_id, rid (``row_key``), fp (the fingerprint as a signed long) for each row; one pass, no shuffle."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            prints = np.array([fingerprint(t.as_py(), shingle) for t in batch.column(1)], np.uint64)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(prints.view(np.int64))], ["doc_id", "fp"])
+            prints = np.array([fingerprint(t.as_py(), shingle) for t in batch.column(2)], np.uint64)
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(prints.view(np.int64))], ["doc_id", "rid", "fp"])
 
-    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, "doc_id long, fp long")
+    rows = docs.select(F.col("doc_id").cast("long"), row_key(), F.col("text").cast("string"))
+    return rows.mapInArrow(run, "doc_id long, rid long, fp long")
 
 
 def _tables(fp: Column) -> Column:
@@ -91,6 +92,18 @@ def links(distinct: DataFrame, bucket_limit: int = BUCKET_LIMIT) -> DataFrame:
     return met.unionByName(around).distinct()
 
 
+def _classes(docs: DataFrame, shingle: int, bucket_limit: int) -> DataFrame:
+    """doc_id, rid, fp, component (the root's fingerprint), component_id per row."""
+    prints = written(fingerprints(docs, shingle), "fingerprints")
+    distinct = prints.groupBy("fp").agg(F.min("doc_id").alias("least"))
+    rooted = components(links(prints.select("fp").distinct(), bucket_limit))
+    nodes = distinct.join(rooted.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
+    names = nodes.groupBy("root").agg(F.min("least").alias("component_id"))
+    named = nodes.where("root <> fp").select("fp", "root").join(names, "root").select("fp", "root", "component_id")
+    named = named.unionByName(names.select(F.col("root").alias("fp"), "root", "component_id"))
+    return prints.join(named, "fp").select("doc_id", "rid", "fp", F.col("root").alias("component"), "component_id")
+
+
 def classes(docs: DataFrame, shingle: int = 3, bucket_limit: int = BUCKET_LIMIT) -> DataFrame:
     """doc_id, fingerprint (16 hex digits), component_id (smallest doc_id reachable) per row.
 
@@ -98,26 +111,13 @@ def classes(docs: DataFrame, shingle: int = 3, bucket_limit: int = BUCKET_LIMIT)
     and are linked like any other. Repeated rows each give a row. A null doc_id
     gives a row, but never names a component unless its whole component has no
     id. Other columns are ignored; an empty table gives an empty result."""
-    prints = written(fingerprints(docs, shingle), "fingerprints")
-    distinct = prints.groupBy("fp").agg(F.min("doc_id").alias("least"))
-    rooted = components(links(prints.select("fp").distinct(), bucket_limit))
-    nodes = distinct.join(rooted.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
-    names = nodes.groupBy("root").agg(F.min("least").alias("component_id"))
-    named = nodes.where("root <> fp").select("fp", "root").join(names, "root").select("fp", "component_id")
-    named = named.unionByName(names.select(F.col("root").alias("fp"), "component_id"))
-    return prints.join(named, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+    rows = _classes(docs, shingle, bucket_limit)
+    return rows.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
 def deduplicated(docs: DataFrame, shingle: int = 3, bucket_limit: int = BUCKET_LIMIT) -> DataFrame:
     """``docs``, all columns, with one row of each class: that with the smallest doc_id.
 
-    Of rows repeated with this id and the same text one stays. Rows without an id stay."""
-    return first_of_each(docs, classes(docs, shingle, bucket_limit))
-
-
-def first_of_each(docs: DataFrame, found: DataFrame) -> DataFrame:
-    """``deduplicated`` by the classes ``found`` (doc_id, component_id)."""
-    gone = found.where("doc_id <> component_id").select(F.col("doc_id").alias("_gone")).distinct()
-    kept = docs.join(gone, F.col("doc_id").cast("long") == F.col("_gone"), "left_anti")
-    same = Window.partitionBy("doc_id", F.xxhash64("text")).orderBy(F.lit(0))
-    return kept.withColumn("_nth", F.row_number().over(same)).where("doc_id is null or _nth = 1").select(*docs.columns)
+    Null ids come last. Of rows with one id the texts are classed on their own, so another text
+    under the same id stays; of rows repeated with id and text one stays."""
+    return first_of_each(docs, _classes(docs, shingle, bucket_limit))

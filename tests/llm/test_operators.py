@@ -97,6 +97,16 @@ def test_simhash(spark, limit):
     assert {(r.doc_id, r.fingerprint, r.component_id) for r in got.collect()} == {(i, f"{p:016x}", find(i)) for i, p in prints.items()}
 
 
+def test_first_of_each_class(spark):
+    rows = [(1, "b b b b"), (5, "b b b b"), (5, "a unique text here"), (None, "b b b b"), (None, "alone again"), (7, "a unique text here"), (7, "a unique text here"), (8, "twice told tale"), (8, "twice told tale"), (9, None), (10, "")]
+    docs = docs_of(spark, rows).withColumns({c: F.lit(77) for c in ("rid", "fp", "component", "keep", "n", "_nth", "_gone", "RID_")})
+    for got in (simhash.deduplicated(docs), common.first_of_each(docs, near_copies.classes(docs))):
+        assert got.columns == docs.columns and {(r.rid, r.fp, r.component, r._nth) for r in got.collect()} == {(77, 77, 77, 77)}
+        found = sorted(((r.doc_id, r.text) for r in got.collect()), key=repr)
+        assert found == sorted([(1, "b b b b"), (5, "a unique text here"), (8, "twice told tale"), (9, None), (None, "alone again")], key=repr)
+    assert simhash.deduplicated(docs.limit(0)).count() == common.first_of_each(docs.limit(0), near_copies.classes(docs.limit(0))).count() == 0
+
+
 def test_simhash_dense_group(spark):
     base = 0x0123456789ABCDEF
     values = [base ^ (1 << i) ^ (1 << j) for i in range(12) for j in range(i)] + [base, 7, 7 ^ (1 << 63)]
