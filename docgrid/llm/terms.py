@@ -68,9 +68,9 @@ def choose(rows: DataFrame, most: int, least_rows: int = 4, least_chi: float = 8
     a, b = (max(1, x) for x in totals)
     counts = rows.select("text", "label").mapInArrow(count, "term long, n0 long, n1 long").groupBy("term").agg(F.sum("n0").alias("n0"), F.sum("n1").alias("n1"))
     n = F.col("n0") + F.col("n1")
-    off = F.col("n1") * a - F.col("n0") * b
-    chi = off * off * (a + b) / (F.lit(float(a)) * b * n * F.greatest(F.lit(a + b) - n, F.lit(1)))
-    best = counts.where(n >= least_rows).withColumn("chi", chi.cast("double")).where(F.col("chi") >= least_chi)
+    off = F.col("n1") * float(a) - F.col("n0") * float(b)  # doubles: the square passes a long
+    chi = off * off * float(a + b) / (F.lit(float(a)) * float(b) * n * F.greatest(F.lit(a + b) - n, F.lit(1)))
+    best = counts.where(n >= least_rows).withColumn("chi", chi).where(F.col("chi") >= least_chi)
     return np.array(sorted(r["term"] for r in best.orderBy(F.desc("chi"), "term").select("term").limit(most).collect()), np.int64)
 
 
@@ -91,8 +91,12 @@ def placed(rows: DataFrame, chosen: np.ndarray) -> tuple[np.ndarray, np.ndarray,
 
 def sample(docs: DataFrame, labels: DataFrame, column: str, rows: int) -> DataFrame:
     """text, label, seq of at most ``rows`` documents with a label, drawn by the hash
-    of their id; several labels of a document count as the largest."""
+    of their id; several labels of a document count as the largest, and of several
+    documents of one id one is taken, by the digest of its text."""
     kept = labels.where(F.col(column).isNotNull()).groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.max(column).cast("int").alias("label"))
     kept = kept.withColumn("seq", F.xxhash64("doc_id")).orderBy("seq", "doc_id").limit(rows)
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), *[c for c in docs.columns if c != "doc_id"])
-    return written(texts.join(F.broadcast(kept), "doc_id"), "sample")  # bounded by ``rows``
+    names = [c for c in docs.columns if c not in ("doc_id", "label", "seq")]
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), *names)
+    met = texts.join(F.broadcast(kept), "doc_id")  # bounded by ``rows``
+    one = met.groupBy("doc_id").agg(F.min_by(F.struct("label", "seq", *names), F.xxhash64("text")).alias("row"))
+    return written(one.select("doc_id", "row.*"), "sample")

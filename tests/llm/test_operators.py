@@ -9,7 +9,7 @@ import pytest
 import xxhash
 from pyspark.sql import functions as F
 
-from docgrid.llm import chat, common, cotraining, decontaminate, image_copies, mixing, near_copies, queries, simhash, suffix_dedup, toxicity, url_filter, warc
+from docgrid.llm import chat, common, cotraining, decontaminate, image_copies, mixing, near_copies, queries, simhash, suffix_dedup, terms, toxicity, url_filter, warc
 from tests.compare import connect, same
 
 SF = "/root/testdata/sf0.001"
@@ -223,6 +223,17 @@ def test_toxicity_learns_a_pair():
     assert machine.score([0, 1]) > 0.7 > 0.3 > max(machine.score([0]), machine.score([1]))
 
 
+def test_terms_of_large_balanced_classes(spark):
+    docs = spark.range(24_000).select(F.col("id").alias("doc_id"), F.when(F.col("id") % 2 == 0, "good word").otherwise("bad word").alias("text"))
+    chosen = terms.choose(docs.withColumn("label", (F.col("doc_id") % 2).cast("int")), 10)
+    assert len(chosen) == 2
+    labels = docs.select("doc_id", (F.col("doc_id") % 2).alias("toxic"))
+    got = toxicity.report(docs, labels)
+    assert got.where("predicted <> doc_id % 2").count() == 0
+    doubled = terms.sample(docs.unionByName(docs), labels, "toxic", 100)
+    assert doubled.count() == 100
+
+
 def test_cotraining_held_out(spark):
     sf = "/root/testdata/sf0.01"
     labels = common.table(spark, sf, "labels")
@@ -231,7 +242,34 @@ def test_cotraining_held_out(spark):
     good = [r.score for r in rows if r.quality == 1]
     bad = [r.score for r in rows if r.quality == 0]
     assert sum(g > b for g in good for b in bad) / len(good) / len(bad) > 0.8
-    assert cotraining.report(docs_of(spark, [(1, None)]), labels.limit(0)).count() == 1
+    docs = docs_of(spark, [(1, None), (1, None), (2, ""), (None, "word " * 300_000)]).withColumns({c: F.lit(1) for c in ("label", "seq", "apart", "content", "meta", "score")})
+    rows = cotraining.report(docs, labels.limit(0)).collect()
+    assert len(rows) == 4 and {r.score for r in rows} == {0.5}
+    assert cotraining.report(docs.limit(0), labels).count() == 0
+    assert cotraining.report(docs, spark.createDataFrame([(1, 1, None), (1, 0, None), (7, 1, 0)], "doc_id long, quality int, toxic int")).count() == 4
+
+
+def test_cotraining_counts_all_sure_documents(spark):
+    """Lessons equal those of a plain loop over every unlabelled document."""
+    docs = common.table(spark, SF, "documents")
+    labels = common.table(spark, SF, "labels").where("doc_id % 3 = 0")
+    model, every = cotraining.train(docs, labels, rounds=1)
+    n = cotraining._spread(every, model)
+    bounds = [cotraining._bounds(view, 0.2, 0.5) for view in n]
+    got = cotraining._lessons(every, model, bounds)
+    rows = every.toArrow()
+    f = cotraining.Features.of(rows)
+    p = [cotraining._sigmoid(z) for z in model.logits(f)]
+    assert n.sum(axis=1).tolist() == [rows.num_rows] * 2
+    for pupil, column in ((0, "content"), (1, "meta")):
+        counts, taken = collections.Counter(), [0, 0]
+        for row, q in zip(rows.column(column).to_pylist(), p[1 - pupil]):
+            place = min(int(q * cotraining.BINS), cotraining.BINS - 1)
+            for label, sure in ((0, place <= bounds[1 - pupil][0]), (1, place >= bounds[1 - pupil][1])):
+                if sure:
+                    taken[label] += 1
+                    counts.update((label, at) for at in row)
+        assert got[pupil][1].tolist() == taken and {k: got[pupil][0][k] for k in counts} == counts and got[pupil][0].sum() == sum(counts.values())
 
 
 def grouped(n, pairs):
