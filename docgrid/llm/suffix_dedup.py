@@ -16,10 +16,12 @@ Most suffixes cannot have a partner, so they are ruled out first, exactly:
    its bytes. A key of only one block has no partner and goes.
 2. Blocks of one key with equal digests repeat as a whole. Where a key has one
    digest only, its positions are settled without comparing suffixes.
-3. Of the other keys one block for each digest is kept with its bytes, dealt by
-   the key, and the suffixes in it are sorted: equal neighbours in that order
-   are repeats. A key with more than ``key_limit`` such suffixes is dealt by the
-   single windows' digests instead, which any number of tasks can share.
+3. Of the other keys one block for each digest, the first in text order, is kept with
+   its bytes, dealt by the key. The suffixes in it are sorted, to the depth of ``length``
+   bytes, and the previous and next smaller places in that order give their longest
+   previous factors; the mirror, with larger places, gives later matches. A key with more
+   than ``key_limit`` such suffixes is dealt by the single windows' digests instead, which
+   any number of tasks can share.
 
 All positions are compared on the input as given. Documents are row units: the
 text of one fits in memory, as does one block, while keys, blocks and copies may
@@ -38,7 +40,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from docgrid.llm.common import written
+from docgrid.llm.common import fresh, written
 
 LENGTH = 200
 GRAM = 32
@@ -159,33 +161,73 @@ def _all_blocks(docs: DataFrame, length: int) -> DataFrame:
     return docs.mapInArrow(run, "rid long, doc_id long, key long, digest long, p0 long, n long, twice boolean")
 
 
-def lpf_runs(data: np.ndarray, starts: np.ndarray, order: np.ndarray, length: int, first_kept: bool) -> np.ndarray:
-    """For each suffix of ``data`` (compared to ``length`` bytes) whether it is repeated, or
-    with ``first_kept`` whether its longest previous factor is ``length`` or more.
+def suffix_order(data: np.ndarray, starts: np.ndarray, order: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
+    """The suffixes of ``data`` in order of their first ``length`` bytes, equal ones in text
+    order (``order``), and for each the common prefix with the one before it, up to ``length``.
 
-    ``order`` gives the text order. Sorted by bytes and then text order, the
-    previous smaller position of a suffix stands just before it if it is equal to
-    the depth, and a next smaller one never is equal, as equal ones ascend. The first
-    two bytes deal the suffixes into buckets, which are sorted one after the other."""
-    out = np.zeros(len(starts), bool)
+    The first two bytes deal the suffixes into buckets, which are sorted one after the
+    other; a prefix of less than two bytes counts as none."""
+    windows = np.lib.stride_tricks.sliding_window_view(data, length)
     code = data[starts].astype(np.int32) * 256 + data[starts + 1]
     by = np.lexsort((order, code))
     cuts = np.append(np.flatnonzero(np.diff(code[by])) + 1, len(by))
+    common = np.zeros(len(by), np.int64)
+    wide = -(-length // 8) * 8
     lo = 0
     for n, hi in enumerate(cuts.tolist()):
         if hi - lo < BUCKET and n + 1 < len(cuts):
             continue
         some = by[lo:hi]
-        flat = np.ascontiguousarray(data[starts[some][:, None] + np.arange(length)]).view(f"V{length}").ravel()
-        sa = np.argsort(flat, kind="stable")  # equal suffixes have one code, in which ``by`` is in text order
-        same = flat[sa[1:]] == flat[sa[:-1]]  # the common prefix of neighbours has the whole length
-        out[some[sa[1:][same]]] = True
-        if not first_kept:
-            out[some[sa[:-1][same]]] = True
+        rows = np.zeros((len(some), wide), np.uint8)
+        rows[:, :length] = windows[starts[some]]
+        sa = np.argsort(rows.view(f"V{wide}").ravel(), kind="stable")  # equal suffixes have one code, in which ``by`` is in text order
+        by[lo:hi] = some[sa]
+        words = rows[sa].view(np.uint64)
+        off = words[1:] ^ words[:-1]
+        first = (off != 0).argmax(axis=1)
+        last = off[np.arange(len(off)), first]
+        low = last & (~last + np.uint64(1))  # its lowest bit is in the first byte that differs
+        bits = np.bitwise_count(low - np.uint64(1)).astype(np.int64)
+        common[lo + 1 : hi] = np.where(last == 0, length, np.minimum(length, first * 8 + bits // 8))
         lo = hi
+    return by, np.where(common < 2, 0, common)
+
+
+def nearest_smaller(place: np.ndarray, common: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """For each suffix, in suffix order, the nearest one before it with a smaller place (-1: none)
+    and the common prefix with it, by jumps over candidates that are known to be larger."""
+    found, least = np.arange(-1, len(place) - 1), common.copy()
+    open_ = np.flatnonzero(found >= 0)
+    while len(open_):
+        at = found[open_]
+        larger = place[at] > place[open_]
+        open_, at = open_[larger], at[larger]
+        least[open_] = np.minimum(least[open_], least[at])
+        found[open_] = found[at]
+        open_ = open_[found[open_] >= 0]
+    least[found < 0] = 0
+    return found, least
+
+
+def previous_factors(sa: np.ndarray, common: np.ndarray, order: np.ndarray) -> np.ndarray:
+    """The longest previous factor of each suffix, up to the depth of the suffix order: the
+    longer of its common prefixes with the previous and with the next smaller place."""
+    place = order[sa]
+    _, before = nearest_smaller(place, common)
+    _, after = nearest_smaller(place[::-1], np.concatenate((common[:1], common[:0:-1])))
+    out = np.zeros(len(sa), np.int64)
+    out[sa] = np.maximum(before, after[::-1])
     return out
 
 
+def repeats(data: np.ndarray, starts: np.ndarray, order: np.ndarray, length: int, first_kept: bool) -> np.ndarray:
+    """For each suffix whether its longest previous factor is ``length`` or more, or without
+    ``first_kept`` whether this or its mirror, the longest next factor, is."""
+    sa, common = suffix_order(data, starts, order, length)
+    out = previous_factors(sa, common, order) >= length
+    return out if first_kept else out | (previous_factors(sa, common, -order) >= length)
+
+
 def _sorted_suffixes(rows: DataFrame, length: int, first_kept: bool) -> DataFrame:
     """Suffix order within each key; rows come dealt and sorted by it."""
 
@@ -200,7 +242,7 @@ def _sorted_suffixes(rows: DataFrame, length: int, first_kept: bool) -> DataFram
         rank = np.empty(len(n), np.int64)
         rank[ids.sort_values(["d", "r", "p"], na_position="first").index.to_numpy()] = np.arange(len(n))
         inside = np.arange(at[-1]) - np.repeat(at[:-1], n)
-        repeated = lpf_runs(data, np.repeat(heads, n) + inside, np.repeat(rank, n) * (RUN + 1) + inside, length, first_kept)
+        repeated = repeats(data, np.repeat(heads, n) + inside, np.repeat(rank, n) * (RUN + 1) + inside, length, first_kept)
         edge = np.zeros(at[-1] + 1, bool)
         edge[at[:-1]] = True
         begins = np.flatnonzero(repeated & (edge[:-1] | ~np.concatenate(([False], repeated[:-1]))))
@@ -273,7 +315,7 @@ def _texts(docs: DataFrame) -> DataFrame:
 
 def repeated_spans(texts: DataFrame, length: int = LENGTH, first_kept: bool = False, key_limit: int = KEY_LIMIT) -> DataFrame:
     """rid, doc_id, spans (array of p0, n: runs of repeated positions) of ``_texts`` rows that have some."""
-    found = _all_blocks(texts, length)
+    found = written(_all_blocks(texts, length), "blocks")
     keys = found.groupBy("key").agg(F.count("*").alias("copies"), ((F.min("digest") != F.max("digest")) | F.max("twice")).alias("mixed"), F.max("twice").alias("twice"))
     keys = keys.where("copies > 1 or twice")
     hits = written(found.drop("twice").join(keys.select("key", "mixed"), "key"), "hits")
@@ -352,10 +394,10 @@ def without_later_copies(docs: DataFrame, length: int = LENGTH, key_limit: int =
 
     Cuts shrink to whole characters. Rows whose text goes entirely are dropped;
     rows that were null or empty before stay as they are."""
-    texts = _texts(docs)
-    spans = repeated_spans(texts, length, True, key_limit).withColumnRenamed("rid", "_rid").withColumnRenamed("doc_id", "_id")
-    keyed = docs.withColumn("_own", F.xxhash64(F.col("doc_id").cast("long"), F.coalesce(F.col("text").cast("string"), F.lit(""))))
-    met = keyed.join(spans, (F.col("_own") == F.col("_rid")) & F.col("doc_id").cast("long").eqNullSafe(F.col("_id")), "left")
+    own, rid, doc, found, cut_ = (fresh(docs, c) for c in ("own", "rid", "doc", "spans", "cut"))
+    spans = repeated_spans(_texts(docs), length, True, key_limit).select(F.col("rid").alias(rid), F.col("doc_id").alias(doc), F.col("spans").alias(found))
+    keyed = docs.withColumn(own, F.xxhash64(F.col("doc_id").cast("long"), F.coalesce(F.col("text").cast("string"), F.lit(""))))
+    met = keyed.join(spans, (F.col(own) == F.col(rid)) & F.col("doc_id").cast("long").eqNullSafe(F.col(doc)), "left")
 
     @F.pandas_udf("string")
     def cut(text: pd.Series, spans: pd.Series) -> pd.Series:
@@ -373,6 +415,6 @@ def without_later_copies(docs: DataFrame, length: int = LENGTH, key_limit: int =
 
         return pd.Series([one(t, s) for t, s in zip(text, spans)], dtype=object)
 
-    out = met.withColumn("_cut", F.when(F.col("spans").isNull(), F.col("text")).otherwise(cut("text", "spans")))
-    out = out.where(F.col("spans").isNull() | (F.length("_cut") > 0))
-    return out.select(*[F.col("_cut").alias(c) if c == "text" else F.col(c) for c in docs.columns])
+    out = met.withColumn(cut_, F.when(F.col(found).isNull(), F.col("text")).otherwise(cut("text", found)))
+    out = out.where(F.col(found).isNull() | (F.length(cut_) > 0))
+    return out.select(*[F.col(cut_).alias(c) if c == "text" else F.col(c) for c in docs.columns])

@@ -57,6 +57,50 @@ def test_suffix_dedup(spark, first, limit):
     assert sorted(map(tuple, got.collect())) == brute_repeats(rows, 200, first)
 
 
+def test_longest_previous_factors():
+    rng = np.random.default_rng(5)
+    for length, letters, n in ((8, 2, 400), (12, 3, 300), (200, 2, 900)):
+        data = rng.integers(0, letters, n + length).astype(np.uint8)
+        data[n // 2 : n // 2 + length + 40] = data[: length + 40]
+        starts, order = np.arange(n), rng.permutation(n)
+        raw = data.tobytes()
+
+        def common(i, j):
+            k = 0
+            while k < length and raw[i + k] == raw[j + k]:
+                k += 1
+            return k if k > 1 else 0  # below two bytes counts as none
+
+        prefix = [[common(i, j) for j in range(n)] for i in range(n)]
+        sa, lcp = suffix_dedup.suffix_order(data, starts, order, length)
+        assert all((raw[i : i + length], order[i]) < (raw[j : j + length], order[j]) for i, j in zip(sa, sa[1:]))
+        assert lcp.tolist() == [0] + [prefix[i][j] for i, j in zip(sa, sa[1:])]
+        for signed in (order, -order):
+            want = [max((prefix[i][j] for j in range(n) if signed[j] < signed[i]), default=0) for i in range(n)]
+            assert suffix_dedup.previous_factors(sa, lcp, signed).tolist() == want
+
+
+@pytest.mark.parametrize("first", [False, True])
+def test_suffix_dedup_of_long_texts_and_repeated_rows(spark, first):
+    rng = random.Random(6)
+    long = "".join(rng.choices("abcdefgh ", k=suffix_dedup.PIECE + 5000))
+    shared = long[suffix_dedup.PIECE - 300 : suffix_dedup.PIECE + 300]
+    rows = [(1, long), (2, "x" + shared + "y"), (4, "z" * 3000), (5, shared[:199]), (6, "w" + shared[100:] + "v")]
+    got = suffix_dedup.removal_report(docs_of(spark, rows), first_kept=first).collect()
+    assert sorted(map(tuple, got)) == brute_repeats(rows, 200, first)
+    again = docs_of(spark, [(1, shared), (1, shared), (None, shared[1:]), (None, None)])
+    counts = {(r.doc_id, r.n_bytes): r.n_removed for r in suffix_dedup.removal_report(again, first_kept=first).collect()}
+    assert counts == ({(1, 600): 600, (None, 599): 0, (None, 0): 0} if first else {(1, 600): 600, (None, 599): 599, (None, 0): 0})
+
+
+def test_suffix_dedup_keeps_clashing_columns(spark):
+    passage = "".join(f"{i * i} " for i in range(60))
+    docs = docs_of(spark, [(1, passage), (2, passage + "tail")]).withColumns({c: F.lit(c) for c in ("spans", "_cut", "cut", "own", "_own", "rid", "doc", "p0", "n", "key")})
+    got = suffix_dedup.without_later_copies(docs)
+    assert got.columns == docs.columns
+    assert sorted((r.doc_id, r.text, r.spans, r.cut, r.own, r.rid, r.doc) for r in got.collect()) == [(1, passage, "spans", "cut", "own", "rid", "doc"), (2, "tail", "spans", "cut", "own", "rid", "doc")]
+
+
 def test_suffix_dedup_texts(spark):
     passage = "".join(f"é{i * i} " for i in range(60))
     got = suffix_dedup.without_later_copies(docs_of(spark, [(1, "one " + passage), (2, passage + " two"), (3, None), (4, ""), (5, "one " + passage)]))
