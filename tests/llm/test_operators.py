@@ -374,7 +374,7 @@ def test_image_links_equal_brute_force(spark, crowd):
     true = [(i, j) for j in range(n) for i in range(j) if image_copies.votes(points[i], points[j]) >= image_copies.MIN_VOTES]
     met = [(i, j) for i, j in true if keys[i] & keys[j]]
     assert len(met) >= 0.9 * len(true)  # recall of the tables
-    one = spark.createDataFrame([(i, bytearray(p.tobytes())) for i, p in enumerate(points)], "node long, points binary")
+    one = spark.createDataFrame([(i, bytearray(p.tobytes()), bytearray(p["d"][:, 0].tobytes())) for i, p in enumerate(points)], "node long, points binary, half binary")
     found = image_copies.links(one, 3, crowd).collect()
     assert grouped(n, [(r.u, r.v) for r in found]) == grouped(n, met)
     assert {(r.u, r.v) for r in found} <= set(met)
