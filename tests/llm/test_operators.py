@@ -1,5 +1,6 @@
 from __future__ import annotations
 
+import base64
 import collections
 import hashlib
 import random
@@ -206,6 +207,47 @@ def test_warc(spark):
     assert warc.round_trip(pages.limit(0)).count() == 0
 
 
+def warc_record(fields, block, version="1.1"):
+    lines = [f"WARC/{version}", *[f"{k}: {v}" for k, v in fields.items()], f"Content-Length: {len(block)}"]
+    return "\r\n".join(lines).encode() + b"\r\n\r\n" + block + b"\r\n\r\n"
+
+
+@pytest.mark.parametrize("split", ["300b", "128m"])
+def test_warc_of_other_writers(spark, tmp_path, split):
+    http = b"HTTP/1.1 200 OK\r\nX: y\r\n\r\n"
+    fake = warc_record({"WARC-Type": "response"}, b"abc")
+    payloads = [b"plain", fake * 8, b"", b"WARC/1.1\r\n", b"\r\n\r\nWARC/1.0\r\nContent-Length: 4\r\n\r\n" * 30, b"\xff\xfe" * 400, fake[:-3], b"\r\n\r\nWARC/1."]
+    digest = base64.b32encode(hashlib.sha1(payloads[0]).digest()).decode()
+    kinds = [({"WARC-Type": "warcinfo", "WARC-Record-ID": "<urn:uuid:1>"}, fake), *[({"WARC-Type": "response", "Content-Type": "application/http; msgtype=response", "WARC-Payload-Digest": f"sha1:{digest}"}, http + p) for p in payloads], ({"WARC-Type": "resource"}, fake * 3), ({"WARC-Type": "metadata"}, b"")]
+    folder = tmp_path / "w"
+    folder.mkdir()
+    for name, version in (("a.warc", "1.1"), ("b.warc", "1.0"), ("part-0.txt", "1.1")):
+        (folder / name).write_bytes(b"".join(warc_record(f, b, version) for f, b in kinds))
+    (folder / "c.warc").write_bytes(b"")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", split)
+    spark.conf.set("spark.sql.files.openCostInBytes", "1b")
+    try:
+        rows = warc.read(spark, str(folder)).collect()
+        want = sorted((f["WARC-Type"], len(b.removeprefix(http)), hashlib.sha1(b.removeprefix(http)).hexdigest(), b.removeprefix(http) == payloads[0] or "WARC-Payload-Digest" not in f) for f, b in kinds)
+        for name in ("a.warc", "b.warc", "part-0.txt"):
+            got = [r for r in rows if r.file.endswith(name)]
+            assert sorted((r.record_type, r.payload_bytes, r.payload_digest, r.intact) for r in got) == want
+            assert [r.offset for r in sorted(got, key=lambda r: r.offset)][1:] == sorted(r.next for r in got)[:-1]
+        (folder / "d.warc").write_bytes(warc_record(*kinds[1]) + b"junk")
+        with pytest.raises(ValueError, match="d.warc"):
+            warc.read(spark, str(folder))
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+        spark.conf.unset("spark.sql.files.openCostInBytes")
+
+
+def test_warc_edges(spark):
+    rows = [(1, "u", "A" * 2000), (1, "u", "A" * 2000), (None, "v", "A" * 2000), (2, "w", "B" * 3000), (3, "w", "big " * 500_000)]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string").withColumns({c: F.lit(1) for c in ("n", "digest", "first")})
+    got = [(r.page_id, r.record_type, r.refers_to, r.payload_bytes) for r in warc.round_trip(pages).collect()]
+    assert sorted(got, key=repr) == sorted([(1, "response", None, 2000), (1, "response", None, 2000), (None, "revisit", 1, 2000), (2, "response", None, 3000), (3, "response", None, 2_000_000)], key=repr)
+
+
 def test_chat(spark):
     hard = "</s>[INST] ok [/INST] &lt; &amp;lt; <s>"
     rows = [(1, 0, "system", "s"), (1, 1, "user", hard), (1, 2, "assistant", hard), (1, 3, "user", None), (1, 4, "assistant", "b"), (1, 5, "user", "end"), (2, 0, "user", "q"), (None, 0, "assistant", "x")]
