@@ -12,8 +12,10 @@ The two bounds are taken for many passages at once.
 A retrieved item counts as a leak if the passage holds at least ``OVERLAP`` of the
 five-word shingles of its question and as many of its answer.
 
-The index is bounded by ``INDEX_BYTES`` of item text; a larger benchmark is
-indexed in shards of that size, each with its own statistics, one pass each.
+Document frequencies, the number of items, their mean length and the longest are those of
+all items. An index is bounded by ``INDEX_BYTES`` of item text; a larger benchmark is
+indexed in shards of that size under these same statistics, one pass each, so scores and
+what is found don't depend on the shards.
 """
 
 from __future__ import annotations
@@ -22,12 +24,16 @@ import math
 from bisect import bisect_left
 from collections import defaultdict
 from collections.abc import Iterator
+from dataclasses import dataclass
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from docgrid.llm.common import written
+
 THRESHOLD = 0.5
 OVERLAP = 0.8
 SHINGLE = 5
@@ -35,6 +41,7 @@ BLOCK = 4
 INDEX_BYTES = 4 << 20
 PIECE = 1 << 20
 BATCH = 1 << 18
+CELLS = 1 << 20  # passages x blocks whose bounds are added up at once
 K1, B = 1.2, 0.75
 _BASE = np.uint64(0x9E3779B97F4A7C15 | 1)
 _BACK = pow(int(_BASE), -1, 2**64)
@@ -65,35 +72,75 @@ def words(data: bytes, cache: dict[str, np.ndarray]) -> tuple[np.ndarray, np.nda
     return h ^ (h >> np.uint64(29)), start
 
 
+@dataclass
+class Statistics:
+    """Of all items: number, mean and greatest length in words, and document frequencies
+    (sorted word hashes, and how many items have them) of at least the words of one index."""
+
+    n: int
+    mean: float
+    longest: int
+    terms: np.ndarray
+    df: np.ndarray
+
+    @staticmethod
+    def of(items: list[tuple[int, str]]) -> Statistics:
+        cache: dict[str, np.ndarray] = {}
+        sets = [h for _, text in items if len(h := words(text.lower().encode("utf-8", "replace"), cache)[0])]
+        terms, df = np.unique(np.concatenate([np.unique(h) for h in sets] or [np.zeros(0, np.uint64)]), return_counts=True)
+        lengths = [len(h) for h in sets]
+        return Statistics(len(sets), sum(lengths) / max(1, len(sets)), max(lengths, default=1), terms, df)
+
+
 class Index:
-    """Inverted index of (item_id, text) pairs with block maxima."""
+    """Inverted index of (item_id, text) pairs with block maxima. Postings lie term by term in
+    flat arrays, as do the blocks that a term has, each with its largest weight."""
 
-    def __init__(self, items: list[tuple[int, str]]) -> None:
+    def __init__(self, items: list[tuple[int, str]], known: Statistics | None = None) -> None:
+        known = known or Statistics.of(items)
         cache: dict[str, np.ndarray] = {}
-        found = [(i, text, words(text.lower().encode(), cache)[0]) for i, text in sorted(items)]
+        found = [(i, text, words(text.lower().encode("utf-8", "replace"), cache)[0]) for i, text in sorted(items)]
         found = [(i, text, h) for i, text, h in found if len(h)]
         self.ids = [i for i, _, _ in found]
         self.parts = [self._parts(text, h, cache) for _, text, h in found]
-        self.longest = max((len(h) for _, _, h in found), default=1)
-        n, mean = len(found), sum(len(h) for _, _, h in found) / max(1, len(found))
+        self.longest = known.longest
+        self.blocks = -(-len(found) // BLOCK)
         counts = [np.unique(h, return_counts=True) for _, _, h in found]
-        self.vocabulary, df = np.unique(np.concatenate([t for t, _ in counts] or [np.zeros(0, np.uint64)]), return_counts=True)
-        idf = np.log(1 + (n - df + 0.5) / (df + 0.5))
-        self.postings: list[list[tuple[int, float]]] = [[] for _ in self.vocabulary]
-        self.blocks = -(-n // BLOCK)
-        self.block_max = np.zeros((len(self.vocabulary), max(1, self.blocks)), np.float32)
-        for doc, (terms, tf) in enumerate(counts):
+        self.vocabulary = np.unique(np.concatenate([t for t, _ in counts] or [np.zeros(0, np.uint64)]))
+        df = known.df[np.searchsorted(known.terms, self.vocabulary)]
+        idf = np.log(1 + (known.n - df + 0.5) / (df + 0.5))
+        term, doc, weight = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], [np.zeros(0)]
+        for k, (terms, tf) in enumerate(counts):
             at = np.searchsorted(self.vocabulary, terms)
-            w = idf[at] * tf * (K1 + 1) / (tf + K1 * (1 - B + B * tf.sum() / mean))
-            w /= w.sum()
-            for t, x in zip(at.tolist(), w.tolist()):
-                self.postings[t].append((doc, x))
-            self.block_max[at, doc // BLOCK] = np.maximum(self.block_max[at, doc // BLOCK], w)
+            w = idf[at] * tf * (K1 + 1) / (tf + K1 * (1 - B + B * tf.sum() / known.mean))
+            term.append(at), doc.append(np.full(len(at), k)), weight.append(w / w.sum())
+        flat = np.concatenate(term)
+        by = np.argsort(flat, kind="stable")  # items stay in their order
+        flat, self.doc, self.weight = flat[by], np.concatenate(doc)[by], np.concatenate(weight)[by]
+        v = len(self.vocabulary)
+        self.start = np.searchsorted(flat, np.arange(v + 1))
+        new = np.flatnonzero(np.diff(flat * max(1, self.blocks) + self.doc // BLOCK, prepend=-1))
+        self.block = (self.doc // BLOCK)[new]
+        self.block_max = np.maximum.reduceat(self.weight, new) if len(new) else np.zeros(0)
+        self.block_start = np.searchsorted(flat[new], np.arange(v + 1))
         self.sizes = {SHINGLE, *(len(x) for parts in self.parts for p in parts for x in p)}
-        self.top = self.block_max.max(axis=1, initial=0)
+        self.top = np.maximum.reduceat(self.weight, self.start[:-1]) if v else np.zeros(0)
         self.listed = np.zeros(1 << 20, bool)
         self.listed[(self.vocabulary >> np.uint64(44)).astype(np.int64)] = True
 
+    def postings(self, term: int) -> list[tuple[int, float]]:
+        a, z = self.start[term], self.start[term + 1]
+        return list(zip(self.doc[a:z].tolist(), self.weight[a:z].tolist()))
+
+    def _able(self, terms: list[int], threshold: float) -> tuple[np.ndarray, list[dict[int, float]]]:
+        """The blocks whose bound reaches the threshold, and each term's maxima in these."""
+        spans = [slice(self.block_start[t], self.block_start[t + 1]) for t in terms]
+        bound = np.bincount(np.concatenate([self.block[x] for x in spans]), np.concatenate([self.block_max[x] for x in spans]), self.blocks)
+        able = bound >= threshold - 1e-6
+        if not able.any():
+            return np.zeros(0, np.int64), []
+        return np.flatnonzero(able), [{b: m for b, m in zip(self.block[x].tolist(), self.block_max[x].tolist()) if able[b]} for x in spans]
+
     @staticmethod
     def _parts(text: str, h: np.ndarray, cache: dict[str, np.ndarray]) -> list[set[tuple[int, ...]]]:
         """Shingles of question and answer: split after the first question mark, else after two thirds of the words."""
@@ -110,14 +157,30 @@ class Index:
         same = self.vocabulary[at] == h[some]
         return some[same], at[same]
 
+    def _promising(self, term: np.ndarray, first: np.ndarray, last: np.ndarray, threshold: float) -> list[int]:
+        """Passages (``term`` from first to last) with a block whose bound reaches the threshold; many are added up at once."""
+        out = []
+        step = max(1, CELLS // max(1, self.blocks))
+        for a in range(0, len(first), step):
+            z = min(a + step, len(first))
+            t = term[first[a] : last[z - 1]]
+            begin, n = self.block_start[t], self.block_start[t + 1] - self.block_start[t]
+            at = np.repeat(begin - np.cumsum(n) + n, n) + np.arange(n.sum())
+            row = np.repeat(np.repeat(np.arange(z - a), last[a:z] - first[a:z]), n)
+            bound = np.bincount(row * self.blocks + self.block[at], self.block_max[at], (z - a) * self.blocks).reshape(z - a, self.blocks)
+            out += (np.flatnonzero(bound.max(axis=1) >= threshold - 1e-6) + a).tolist()
+        return out
+
     def wand(self, terms: list[int], threshold: float) -> list[tuple[int, float]]:
         """All items (number, score) that reach ``threshold``, by block-max WAND."""
-        lists = [(self.postings[t], float(self.top[t]), t) for t in terms]
+        able, maxima = self._able(terms, threshold)
+        if not len(able):
+            return []
+        lists = [(self.postings(t), float(self.top[t])) for t in terms]
         cursor = [0] * len(lists)
         out = []
-        able = np.flatnonzero(self.block_max[terms].sum(axis=0) >= threshold - 1e-4)  # blocks whose bound reaches it
-        for i, (postings, _, _) in enumerate(lists):
-            cursor[i] = bisect_left(postings, (int(able[0]) * BLOCK,)) if len(able) else len(postings)
+        for i, (postings, _) in enumerate(lists):
+            cursor[i] = bisect_left(postings, (int(able[0]) * BLOCK,))
         while True:
             live = sorted((lists[i][0][cursor[i]][0], i) for i in range(len(lists)) if cursor[i] < len(lists[i][0]))
             bound, pivot = 0.0, None
@@ -138,7 +201,7 @@ class Index:
                 return out
             if following[0] > block:
                 goal, ahead = int(following[0]) * BLOCK, [i for _, i in live]
-            elif sum(float(self.block_max[lists[i][2], block]) for i in ahead) < threshold - 1e-6:
+            elif sum(maxima[i].get(block, 0.0) for i in ahead) < threshold - 1e-6:
                 goal = (block + 1) * BLOCK  # no item of the block up to the next list's can reach it
                 if pivot + 1 < len(live):
                     goal = min(goal, live[pivot + 1][0])
@@ -176,21 +239,17 @@ class Index:
         first = np.concatenate(([0], np.flatnonzero(np.diff(of)) + 1))
         last = np.append(first[1:], len(of))
         out = []
-        for a in range(0, len(first), 1024):
-            z = min(a + 1024, len(first))
-            lo, hi = first[a], last[z - 1]
-            best = np.add.reduceat(self.block_max[term[lo:hi]], first[a:z] - lo, axis=0).max(axis=1)
-            for k in (np.flatnonzero(best >= threshold - 1e-4) + a).tolist():
-                found = self.wand(term[first[k] : last[k]].tolist(), threshold)
-                if found:
-                    n = int(np.searchsorted(base, of[first[k]], "right")) - 1
-                    begin = heads[n] + (of[first[k]] - base[n]) * half
-                    passage_words = h[begin : min(begin + 2 * half, heads[n + 1])]
-                    held = {s for size in self.sizes for s in shingles(passage_words, size)}
-                    for doc, score in found:
-                        shares = [len(p & held) / len(p) for p in self.parts[doc]]
-                        if min(shares) >= overlap:
-                            out.append((n, doc, score, shares[0], shares[-1]))
+        for k in self._promising(term, first, last, threshold):
+            found = self.wand(term[first[k] : last[k]].tolist(), threshold)
+            if found:
+                n = int(np.searchsorted(base, of[first[k]], "right")) - 1
+                begin = heads[n] + (of[first[k]] - base[n]) * half
+                passage_words = h[begin : min(begin + 2 * half, heads[n + 1])]
+                held = {s for size in self.sizes for s in shingles(passage_words, size)}
+                for doc, score in found:
+                    shares = [len(p & held) / len(p) for p in self.parts[doc]]
+                    if min(shares) >= overlap:
+                        out.append((n, doc, score, shares[0], shares[-1]))
         return out
 
 
@@ -200,20 +259,17 @@ def shingles(h: np.ndarray, n: int = SHINGLE) -> set[tuple[int, ...]]:
 
 
 def _pieces(data: bytes, overlap_words: int) -> Iterator[bytes]:
-    """A long text in parts cut at spaces, each with the words before it that a passage may need."""
-    a = 0
-    while True:
-        z = data.find(b" ", a + PIECE)
-        if z < 0:
-            yield data[a:]
-            return
-        yield data[a:z]
-        back = z
-        for _ in range(overlap_words):
-            back = data.rfind(b" ", a + 1, back)
-            if back < 0:
-                break
-        a = back if back > 0 else z
+    """A long text in parts cut between words, each with the words before it that a passage may need."""
+    if len(data) <= PIECE:
+        yield data
+        return
+    edge = np.flatnonzero(np.diff(_WORD[np.frombuffer(data, np.uint8)], prepend=False, append=False))
+    start, end = edge[0::2], edge[1::2]
+    i, z = 0, 0
+    while z < len(start):
+        z = max(int(np.searchsorted(start, start[i] + PIECE)), i + 2 * overlap_words)
+        yield data[start[i] : end[min(z, len(end)) - 1]]
+        i = z - overlap_words
 
 
 def leaks_of(index: Index, texts: list[str | None], cache: dict[str, np.ndarray]) -> list[dict[int, tuple[float, float, float]]]:
@@ -240,14 +296,33 @@ def leaks_of(index: Index, texts: list[str | None], cache: dict[str, np.ndarray]
     return out
 
 
-def indexes(benchmark: DataFrame, most: int = INDEX_BYTES) -> list[Index]:
-    """Indexes over all items, each of about ``most`` bytes of text."""
-    items = benchmark.where(F.col("text").isNotNull()).select(F.col("item_id").cast("long"), F.col("text").cast("string").alias("text"))
+def indexes(benchmark: DataFrame, most: int = INDEX_BYTES) -> Iterator[Index]:
+    """Indexes over all items, each of about ``most`` bytes of text, with the statistics of all.
+    The rows of one item_id come to one index."""
+    items = benchmark.where("text is not null").select(F.col("item_id").cast("long").alias("item_id"), F.col("text").cast("string").alias("text")).distinct()
     size = items.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
     shards = math.ceil(size / most) or 1
     if shards == 1:
-        return [Index([tuple(r) for r in items.collect()])]
-    return [Index([tuple(r) for r in items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(shards)) == k).collect()]) for k in range(shards)]
+        yield Index([tuple(r) for r in items.collect()])
+        return
+
+    def terms(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        cache: dict[str, np.ndarray] = {}
+        for batch in batches:
+            sets = [words(t.lower().encode("utf-8", "replace"), cache)[0] for t in batch.column("text").to_pylist()]
+            arrays = [pa.array([np.unique(h).view(np.int64) for h in sets], pa.list_(pa.int64())), pa.array([len(h) for h in sets], pa.int64())]
+            yield pa.RecordBatch.from_arrays([batch.column("shard"), *arrays], ["shard", "terms", "n"])
+
+    items = items.withColumn("shard", F.pmod(F.xxhash64("item_id"), F.lit(shards)))
+    rows = written(items.select("shard", "text").mapInArrow(terms, "shard long, terms array<long>, n long").where("n > 0"), "items")
+    n, mean, longest = rows.agg(F.count("*"), F.avg("n"), F.max("n")).first()
+    each = rows.select("shard", F.explode("terms").alias("term"))
+    df = written(each.groupBy("term").agg(F.count("*").alias("df")), "frequencies")
+    for k in range(shards):
+        own = df.join(each.where(F.col("shard") == k).select("term").distinct(), "term").toArrow()  # the words of ``most`` bytes
+        term, of = own.column("term").to_numpy().view(np.uint64), own.column("df").to_numpy()
+        by = np.argsort(term)
+        yield Index([tuple(r) for r in items.where(F.col("shard") == k).select("item_id", "text").collect()], Statistics(n or 0, mean or 0.0, longest or 1, term[by], of[by]))
 
 
 def _run(docs: DataFrame, index: Index, schema: str, keep: bool) -> DataFrame:
@@ -282,11 +357,7 @@ def report(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     ``docs`` repeat in the result; other columns are ignored."""
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     schema = "doc_id long, item_id long, score double, question_overlap double, answer_overlap double"
-    found = [_run(rows, index, schema, False) for index in indexes(benchmark)]
-    out = found[0]
-    for more in found[1:]:
-        out = out.unionByName(more)
-    return out
+    return reduce(DataFrame.unionByName, (_run(rows, index, schema, False) for index in indexes(benchmark)))
 
 
 def without_leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:

@@ -7,9 +7,9 @@ siblings first; only what all siblings together cannot take is missing at the
 parent, where the parent's siblings take it in turn. A leaf fills its budget with
 whole epochs and a prefix of one more, in the order of a seeded hash for that epoch.
 
-The prefix is found without sorting a leaf in one task: token sums of hash
-buckets settle all but one bucket a leaf, and only that bucket is sorted. The
-document texts are never shuffled.
+The prefix is found without sorting a leaf in one task: token sums of 256 hash
+buckets settle all but one bucket a leaf, that bucket is cut into 256 again, and so
+on; a few documents are sorted at last. The document texts are never shuffled.
 """
 
 from __future__ import annotations
@@ -19,12 +19,13 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from docgrid.llm.common import written
+from docgrid.llm.common import fresh, written
 
 LEVELS = ("domain", "lang", "source")
 #: The table of leaves is broadcast up to so many rows, else joined by a shuffle.
 BROADCAST_ROWS = 200_000
-BUCKET_DIGITS = 3
+#: Digits of the hash (hexadecimal) that a round settles: 256 buckets a leaf; 8 digits leave a document or two of a billion.
+DIGITS, ROUNDS = 2, 4
 TOKEN = r"[^ \t\n\r]+"
 
 
@@ -43,8 +44,8 @@ def budgets(leaves: DataFrame, levels: Sequence[str], weights: Mapping[str, Mapp
     """``leaves`` (levels, tokens) with budget: whole tokens for each leaf; ``budget``
     is a column over the sum ``total`` of all tokens. Children of weight 0 get none."""
     nodes = leaves.withColumn("cap", F.col("tokens") * max_epochs)
-    total = F.sum("tokens").over(Window.partitionBy(F.lit(0)))
-    nodes = nodes.withColumn("total", total).withColumn("budget", budget.cast("long")).drop("total")
+    total = leaves.agg(F.coalesce(F.sum("tokens"), F.lit(0)).cast("long")).first()[0]  # one number
+    nodes = nodes.withColumn("total", F.lit(total)).withColumn("budget", budget.cast("long")).drop("total")
     for depth, level in enumerate(levels):
         above, own = list(levels[:depth]), list(levels[: depth + 1])
         kids = nodes.groupBy(*own).agg(F.sum("cap").alias("cap"), F.first("budget").alias("over")).withColumn("w", _weight(level, weights)).where("w > 0")
@@ -91,26 +92,37 @@ def mix(
     dealt = written(dealt.select(*LEVELS, "whole", "rest"), "leaves")
     n_leaves = dealt.count()
     small = F.broadcast if n_leaves <= BROADCAST_ROWS else (lambda x: x)
-    ordered = slim.join(small(dealt), list(LEVELS)).withColumn("h", _order(seed, F.col("whole")))
-    ordered = ordered.withColumn("bucket", F.substring("h", 1, BUCKET_DIGITS))
-    sums = ordered.groupBy(*LEVELS, "bucket").agg(F.sum("n").alias("n"), F.first("rest").alias("rest"))
-    upto = F.sum("n").over(Window.partitionBy(*LEVELS).orderBy("bucket"))
-    passed = sums.withColumn("upto", upto).where("upto > rest")
-    cut = passed.groupBy(*LEVELS).agg(F.min(F.struct("bucket", (F.col("upto") - F.col("n")).alias("base"))).alias("c"))
-    cut = written(cut.select(*LEVELS, F.col("c.bucket").alias("cut"), F.col("c.base").alias("base")), "cuts")
-    edge = ordered.join(small(cut), list(LEVELS)).where("bucket = cut")
-    run = F.sum("n").over(Window.partitionBy(*LEVELS).orderBy("h", "doc_id").rangeBetween(Window.unboundedPreceding, Window.currentRow))
-    last = edge.withColumn("upto", run + F.col("base")).where("upto <= rest").groupBy(*LEVELS).agg(F.max("h").alias("last"))
+
+    # By two digits of the hash at a time: the bucket of each leaf in which the budget ends, and what comes before it.
+    edge = slim.join(small(dealt), list(LEVELS)).withColumns({"h": _order(seed, F.col("whole")), "base": F.lit(0).cast("long")})
+    for depth in range(1, ROUNDS + 1):
+        bucket = F.substring("h", 1, DIGITS * depth)
+        sums = edge.groupBy(*LEVELS, bucket.alias("bucket")).agg(F.sum("n").alias("n"), F.first("rest").alias("rest"), F.first("base").alias("base"))
+        upto = F.col("base") + F.sum("n").over(Window.partitionBy(*LEVELS).orderBy("bucket"))
+        passed = sums.withColumn("upto", upto).where("upto > rest")
+        found = passed.groupBy(*LEVELS).agg(F.min(F.struct("bucket", (F.col("upto") - F.col("n")).alias("base"))).alias("c"))
+        cut = written(found.select(*LEVELS, F.col("c.bucket").alias("cut"), F.col("c.base").alias("base")), "cuts")
+        edge = edge.drop("base").join(small(cut), list(LEVELS)).where(bucket == F.col("cut")).drop("cut")
+        edge = written(edge, "edge")
+    ids = edge.groupBy(*LEVELS, "h").agg(F.sum("n").alias("n"), F.first("rest").alias("rest"), F.first("base").alias("base"))
+    run = F.col("base") + F.sum("n").over(Window.partitionBy(*LEVELS).orderBy("h"))
+    last = ids.withColumn("upto", run).where("upto <= rest").groupBy(*LEVELS).agg(F.max("h").alias("last"))
     plan = dealt.join(cut.drop("base"), list(LEVELS), "left").join(last, list(LEVELS), "left")
-    plan = written(plan.select(*[F.col(k).alias(f"_{k}") for k in LEVELS], "whole", "rest", "cut", "last"), "plan")
     # A document is in the prefix if its hash comes before the cut bucket, or in it up to the last that fits.
-    out = docs.withColumns({f"_{k}": c for k, c in zip(LEVELS, keys)}).withColumn("n_tokens", n_tokens(F.col("text")))
-    out = out.join(small(plan), [f"_{k}" for k in LEVELS]).withColumn("_h", _order(seed, F.col("whole")))
-    head = F.col("cut").isNull() | (F.substring("_h", 1, BUCKET_DIGITS) < F.col("cut")) | ((F.substring("_h", 1, BUCKET_DIGITS) == F.col("cut")) & (F.col("_h") <= F.coalesce("last", F.lit(""))))
-    head = head & ((F.col("rest") > 0) | (F.col("whole") == 0))
-    times = F.col("whole") + F.when(head, 1).otherwise(0)
-    out = out.where(times > 0).withColumn("epoch", F.explode(F.sequence(F.lit(0).cast("long"), times - 1)))
-    return out.withColumn("domain", F.col("_domain")).select(*docs.columns, *[c for c in ("domain", "n_tokens", "epoch") if c not in docs.columns])
+    own = {k: fresh(docs, f"_{k}") for k in (*LEVELS, "whole", "rest", "cut", "last", "h", "n")}
+    plan = written(plan.select(*[F.col(k).alias(own[k]) for k in (*LEVELS, "whole", "rest", "cut", "last")]), "plan")
+    out = docs.withColumns({own[k]: c for k, c in zip(LEVELS, keys)}).withColumn(own["n"], n_tokens(F.col("text")))
+    out = out.join(small(plan), [own[k] for k in LEVELS]).withColumn(own["h"], _order(seed, F.col(own["whole"])))
+    h, whole, rest, cut_, last_ = (F.col(own[k]) for k in ("h", "whole", "rest", "cut", "last"))
+    begin = F.substring(h, 1, DIGITS * ROUNDS)
+    head = cut_.isNull() | (begin < cut_) | ((begin == cut_) & (h <= F.coalesce(last_, F.lit(""))))
+    head = head & ((rest > 0) | (whole == 0))
+    times = whole + F.when(head, 1).otherwise(0)
+    kept = [F.col(c) for c in docs.columns if c.lower() not in ("domain", "n_tokens", "epoch")]
+    out = out.where(times > 0).select(*kept, F.col(own["domain"]).alias("domain"), F.col(own["n"]).alias("n_tokens"), F.explode(F.sequence(F.lit(0).cast("long"), times - 1)).alias("epoch"))
+    names = {c.lower(): c for c in docs.columns}
+    order = [*docs.columns, *[c for c in ("domain", "n_tokens", "epoch") if c not in names]]
+    return out.select(*order)
 
 
 def sql(ratio: float = 0.5, max_epochs: int = 2, seed: int = 42) -> str:

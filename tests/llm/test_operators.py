@@ -3,7 +3,9 @@ from __future__ import annotations
 import base64
 import collections
 import hashlib
+import math
 import random
+import re
 
 import numpy as np
 import pytest
@@ -188,23 +190,60 @@ def test_block_max_wand_finds_all_that_scoring_every_item_finds():
         terms = sorted(rng.sample(range(len(index.vocabulary)), 15))
         scores = collections.Counter()
         for t in terms:
-            for doc, w in index.postings[t]:
+            for doc, w in index.postings(t):
                 scores[doc] += w
         for threshold in (0.2, 0.4):
             assert {d for d, _ in index.wand(terms, threshold)} == {d for d, s in scores.items() if s >= threshold}
 
 
-def test_warc(spark):
-    inner = "WARC/1.1\r\nWARC-Type: response\r\nWARC-Payload-Digest: sha1:x\r\nWARC-Payload-Length: 3\r\nContent-Length: 3\r\n\r\nabc\r\n\r\n"
-    rows = [(1, "http://a/", inner * 30), (2, None, None), (3, "x\r\ny", "A" * 1500), (4, "z", "A" * 1500), (5, "z", "\r\n\r\n"), (6, "é", "é" * 600), (7, "e", "é" * 600)]
-    pages = spark.createDataFrame(rows, "page_id long, url string, html string")
-    got = {r.page_id: r for r in warc.round_trip(pages).collect()}
-    assert len(got) == 7 and all(r.intact for r in got.values())
-    for i, _, html in rows:
-        data = (html or "").encode()
-        assert (got[i].payload_bytes, got[i].payload_digest) == (len(data), hashlib.sha1(data).hexdigest())
-    assert {i: r.refers_to for i, r in got.items() if r.record_type == "revisit"} == {3: 4, 6: 7}
-    assert warc.round_trip(pages.limit(0)).count() == 0
+def plain_leaks(docs, items):
+    """Every passage scored against every item, from the texts alone."""
+    split = lambda t: re.findall("[0-9a-z\x80-\U0010ffff]+", t.lower())
+    items = [(i, t, split(t)) for i, t in set(items) if t and split(t)]
+    n, mean, half = len(items), sum(len(w) for _, _, w in items) / len(items), max(len(w) for _, _, w in items)
+    df = collections.Counter(x for _, _, w in items for x in set(w))
+    grams = lambda w, k: {tuple(w[j : j + k]) for j in range(max(1, len(w) - k + 1))} if w else set()
+    out = {}
+    for item, text, w in items:
+        tf = collections.Counter(w)
+        weight = {x: math.log(1 + (n - df[x] + 0.5) / (df[x] + 0.5)) * f * 2.2 / (f + 1.2 * (0.25 + 0.75 * len(w) / mean)) for x, f in tf.items()}
+        total = sum(weight.values())
+        cut = len(split(text[: text.find("?") + 1])) if "?" in text else 2 * len(w) // 3
+        parts = [p for p in (w[:cut], w[cut:]) if p] or [w]
+        for row, (_, body) in enumerate(docs):
+            all_words = split(body or "")
+            for at in range(0, len(all_words), half):
+                passage = all_words[at : at + 2 * half]
+                score = sum(weight[x] for x in set(passage) & set(weight)) / total
+                shares = [len(grams(p, 5) & grams(passage, min(5, len(p)))) / len(grams(p, 5)) for p in parts]
+                if score >= 0.5 - 1e-9 and min(shares) >= 0.8:
+                    out[row, item] = max(out.get((row, item), 0), score)
+    return sorted((docs[row][0], item, round(s, 6)) for (row, item), s in out.items())
+
+
+@pytest.mark.parametrize("most", [decontaminate.INDEX_BYTES, 900])
+def test_decontamination_equals_scoring_every_passage(spark, monkeypatch, most):
+    docs = [(r.doc_id, r.text) for r in common.table(spark, SF, "documents").where("doc_id < 120").collect()]
+    items = [(r.item_id, r.text) for r in common.table(spark, SF, "benchmark").collect()]
+    docs += [(500, items[0][1]), (500, items[0][1]), (501, "\n".join(items[1][1].split())), (502, "x y " * 400 + items[2][1] + " z" * 900), (503, "Ünïcode wörds? " * 20), (504, None)]
+    items += [items[3], (9001, None), (9002, ""), (9003, "Ünïcode wörds?"), (items[4][0], "another text under the same id, with words of its own? yes indeed it has")]
+    docs += [(505, items[-1][1]), (506, items[4][1] + "\t" + items[-1][1])]
+    monkeypatch.setattr(decontaminate.indexes, "__defaults__", (most,))
+    monkeypatch.setattr(decontaminate, "PIECE", 600 if most == 900 else 1 << 20)
+    got = decontaminate.report(docs_of(spark, docs), spark.createDataFrame(items, "item_id long, text string")).collect()
+    want = plain_leaks(docs, items)
+    if most == 900:  # windows start anew in each piece, so the score of a partly held item may differ
+        assert {(r.doc_id, r.item_id) for r in got} == {w[:2] for w in want}
+    else:
+        assert sorted((r.doc_id, r.item_id, round(r.score, 6)) for r in got) == want
+
+
+def test_decontamination_pieces_cut_between_words(monkeypatch):
+    monkeypatch.setattr(decontaminate, "PIECE", 50)
+    text = "\n".join(f"word{i}" for i in range(200)).encode()
+    parts = [p.split() for p in decontaminate._pieces(text, 6)]
+    assert parts[0][0] == b"word0" and parts[-1][-1] == b"word199" and {w for p in parts for w in p} == set(text.split())
+    assert all(b[:6] == a[-6:] for a, b in zip(parts, parts[1:])) and len(parts) > 10
 
 
 def warc_record(fields, block, version="1.1"):
@@ -286,6 +325,32 @@ def test_mixing_edges(spark):
     docs = docs_of(spark, [(1, "a b c"), (1, "a b c"), (2, None), (3, "")])
     assert mixing.mix(docs, F.substring("source", 1, 4), ratio=1.0).count() == 4
     assert mixing.mix(docs.limit(0), F.substring("source", 1, 4)).count() == 0
+    clash = docs.withColumns({c: F.lit(c) for c in ("rest", "cut", "whole", "last", "_h", "_domain", "bucket", "n", "base", "tokens")}).withColumn("epoch", F.lit("old"))
+    got = mixing.mix(clash, F.substring("source", 1, 4), ratio=2.0)
+    assert got.columns == [*clash.columns, "domain", "n_tokens"]
+    rows = got.collect()
+    assert {(r.rest, r.cut, r.whole, r.last, r._h, r.bucket, r.base) for r in rows} == {("rest", "cut", "whole", "last", "_h", "bucket", "base")}
+    assert sorted(r.epoch for r in rows) == [0, 0, 0, 0, 1, 1, 1, 1]
+    none = spark.createDataFrame([(1, "a b", None, None, None), (2, "c d", None, "s", 3), (None, "e f", "en", None, 3)], DOCS)
+    assert {(r.doc_id, r.domain) for r in mixing.mix(none, F.substring("source", 1, 4), ratio=2.0).collect()} == {(1, ""), (2, "s"), (None, "")}
+
+
+def test_mixing_of_a_heavy_leaf_and_weights(spark):
+    """A leaf with most rows, against a plain loop; a domain of weight 0 gives nothing."""
+    rng = random.Random(4)
+    rows = [(i, "w " * rng.randrange(1, 9), "en", "big1" if i % 10 else f"tiny{i % 70}", None) for i in range(3000)]
+    docs = spark.createDataFrame(rows, DOCS)
+    got = mixing.mix(docs, F.substring("source", 1, 4), ratio=0.4, weights={"domain": {"tiny": 0.0}}, seed=3).collect()
+    leaf = [(i, len(t.split())) for i, t, _, source, _ in rows if source == "big1"]
+    budget, tokens = int(sum(len(r[1].split()) for r in rows) * 0.4), sum(n for _, n in leaf)
+    assert budget < tokens
+    taken, chosen = 0, []
+    for i, n in sorted(leaf, key=lambda x: hashlib.md5(f"3:0:{x[0]}".encode()).hexdigest()):
+        if taken + n > budget:
+            break
+        taken += n
+        chosen.append(i)
+    assert sorted(r.doc_id for r in got) == sorted(chosen) and {r.source for r in got} == {"big1"}
 
 
 def test_toxicity_held_out(spark):
