@@ -221,11 +221,8 @@ def context_year(spark: SparkSession, sf_dir: str) -> DataFrame:
     "package_label",
 )
 def package_roles(spark: SparkSession, sf_dir: str) -> DataFrame:
-    texts = fixture(spark, sf_dir, "package_label").withColumn("id", F.struct("doc_id", "row_idx"))
-    lines = labels.lines_of(texts, "id", "raw_text")
-    found = labels.dates(lines, "id")
-    out = texts.select("id").join(labels.roles(found, "id"), "id", "left").join(labels.batches(lines, found, "id"), "id", "left")
-    return out.select("id.doc_id", "id.row_idx", "manufacture_at", "expire_at", "batch")
+    texts = fixture(spark, sf_dir, "package_label")
+    return texts.select("doc_id", "row_idx", labels.parsed(F.col("raw_text")).alias("p")).select("doc_id", "row_idx", "p.*")
 
 
 @query(

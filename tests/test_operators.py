@@ -105,12 +105,16 @@ def test_reading_lines():
         ("EXP 06/07/2027\nLOT AB1234", (None, "2027-07-06")),
         ("06/07/2026 02:26\n06/07/2028\nAB12345", ("2026-07-06", "2028-07-06")),
         ("", (None, None)),
+        ("MFG 01/02/2026 and EXP 01/02/2026", (None, None)),
+        ("MFG 01/02/2026 EXP 01/02/2027", ("2026-02-01", "2027-02-01")),
+        ("EXP01/02/2026\n01/02/2025", ("2025-02-01", "2026-02-01")),
+        ("01/02/2026 MFG\n03.02.2027", ("2026-02-01", "2027-02-03")),
+        ("31/02/2026\nMFG 0102/2026", ("2026-02-01", None)),
     ],
 )
 def test_label_roles(spark, text, want):
-    lines = labels.lines_of(spark.createDataFrame([(1, text)], "id long, t string"), "id", "t")
-    got = labels.roles(labels.dates(lines, "id"), "id").first()
-    assert (got.manufacture_at, got.expire_at) if got else (None, None) == want
+    got = one(spark, labels.parsed(F.lit(text)))
+    assert (got.manufacture_at, got.expire_at) == want
 
 
 def test_stream_of_sessions_ends_as_the_fold(spark, tmp_path):
