@@ -1,5 +1,6 @@
 from __future__ import annotations
 
+import itertools
 import random
 
 import pytest
@@ -57,8 +58,24 @@ def test_allowed_batches(spark):
         (["", "4"], [None, None], 9, []),
     ],
 )
-def test_total(quantities, options, total, want):
-    assert reconcile.solve(quantities, options, total) == want
+def test_total(spark, quantities, options, total, want):
+    rows = [(1, i, q, o, total) for i, (q, o) in enumerate(zip(quantities, options))] + [(2, 0, "5", None, None), (2, 1, "x", None, None)]
+    got = reconcile.against_total(spark.createDataFrame(rows, "doc_id long, row_idx int, qty string, options array<int>, total long")).collect()
+    assert sorted((r.row_idx, r.qty, r.correction) for r in got if r.doc_id == 1 and r.correction) == want
+    assert sorted((r.row_idx, r.qty, r.raw_qty) for r in got if r.doc_id == 2) == [(0, "5", None), (1, "x", None)]
+    assert {r.row_idx: r.raw_qty or r.qty for r in got if r.doc_id == 1} == dict(enumerate(quantities))
+
+
+def test_choices_equal_all_combinations():
+    rng = random.Random(8)
+    for _ in range(400):
+        values = [rng.randrange(1, 40) for _ in range(rng.randrange(1, 6))]
+        choices = [sorted({v, *(rng.randrange(1, 40) for _ in range(rng.randrange(1, 3)))}) for v in values]
+        gap = rng.randrange(-60, 60)
+        found = [c for c in itertools.product(*choices) if sum(c) - sum(values) == gap]
+        assert reconcile.chosen(gap, values, choices) == (list(found[0]) if len(found) == 1 else None)
+    wide = [[i * 997, i * 1009 + 5] for i in range(1, 90)]  # more ways than any list of them could hold
+    assert reconcile.chosen(sum(b - a for a, b in wide), [a for a, _ in wide], wide) == [b for _, b in wide]
 
 
 @pytest.mark.parametrize(
