@@ -80,7 +80,24 @@ select user_id as session, cast(row_number() over (partition by user_id order by
        cast(floor(value) as bigint) % 10 as cnt
 from events
 """
-NEEDS = {"inv_line": ["lineitem"], "fragment": ["inv_line"], "reading": ["inv_line"], "package_label": ["inv_line"], "shot": ["events"]}
+SQL["sheet"] = """
+with n as (select doc_id, max(row_idx) + 1 as n, sum(qty_true) as total from inv_line group by doc_id),
+cells as (
+  select doc_id, row_idx as r, f.ord, f.x1, f.w, 172 + 33 * row_idx + ((doc_id * 7 + row_idx * 3 + f.ord * 5) % 9 - 4) * 0.5e0 as yc,
+    (512 + (doc_id * 13 + row_idx * 7 + f.ord * 11) % 512) / 1024e0 as score,
+    case f.ord when 0 then pallet_text when 1 then box_text when 2 then substr(sku_text, 1, 6) when 3 then substr(sku_text, 7) when 4 then 'Item' when 5 then 'no. ' || cast(row_idx as string)
+      when 6 then qty_text when 7 then exp_text when 8 then mfg_text else batch_text end as text
+  from inv_line cross join (values (0, 95, 60), (1, 180, 40), (2, 240, 60), (3, 310, 70), (4, 400, 80), (5, 500, 90), (6, 730, 40), (7, 790, 100), (8, 910, 100), (9, 1030, 100)) f(ord, x1, w)
+  union all
+  select doc_id, n + e.k, 20 + e.ord, e.x1, 40, 172 + 33 * (n + e.k) + e.dy, 0.75e0, case e.ord when 1 then cast(total as string) when 8 then 'PO ' || lpad(cast(doc_id as string), 6, '0') || ' Total' else e.text end
+  from n cross join (values (0, 400, 0, 0e0, 'TOTAL'), (1, 740, 0, 1e0, ''), (2, 240, 1, 0e0, 'SKU #'), (3, 400, 1, 2e0, 'Name'), (4, 740, 1, 0e0, '5'), (5, 400, 2, 0e0, 'only a name'),
+    (6, 240, 30, 0e0, 'checked by'), (7, 300, 30, 3e0, 'K.'), (8, 240, 32, 0e0, ''), (9, 240, 34, 0e0, 'two boxes open')) e(ord, x1, k, dy, text)
+  union all
+  select doc_id, -1, 40 + e.ord, e.x1, 90, e.yc, 0.875e0, case e.ord when 0 then 'PO ' || lpad(cast(doc_id as string), 6, '0') when 1 then 'Inbound date 2026/01/0' || cast(doc_id % 9 + 1 as string) when 2 then 'Page 1 of 2' else 'page ' || cast(doc_id % 3 + 1 as string) || ' OF 3' end
+  from n cross join (values (0, 100, 20e0), (1, 400, 22e0), (2, 700, 24e0), (3, 900, 40e0)) e(ord, x1, yc))
+select doc_id, (r + 1) * 64 + ord as seq, x1 + 0e0 as x1, x1 + w + 0e0 as x2, yc - 8 as y1, yc + 8 as y2, text, score from cells where trim(text) <> ''
+"""
+NEEDS = {"sheet": ["inv_line"], "inv_line": ["lineitem"], "fragment": ["inv_line"], "reading": ["inv_line"], "package_label": ["inv_line"], "shot": ["events"]}
 
 
 def with_views(*names: str) -> str:

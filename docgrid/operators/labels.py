@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from docgrid.functions.text import let
+from docgrid.functions.text import confusable, let
+from docgrid.operators.matching import reconciled_label_batch
 
 # The patterns of dates, times and labels.
 YEAR = r"((?:19|20|21)\d{2})(?!\d)"
@@ -174,7 +175,7 @@ def parsed(text: Column, want_made_only: bool = False) -> Column:
 
 def merged(*texts: Column) -> Column:
     """The distinct trimmed lines of the texts, in order."""
-    lines = F.concat(*[F.transform(F.split(F.coalesce(t, F.lit("")), r"\R"), F.trim) for t in texts])
+    lines = F.concat(*[F.transform(F.split(F.coalesce(t, F.lit("")), r"\R"), lambda x: F.trim(x)) for t in texts])
     return F.array_join(F.array_distinct(F.filter(lines, lambda x: x != "")), "\n")
 
 
@@ -184,20 +185,26 @@ def missing(found: Column, required: Column) -> Column:
     return F.filter(required, lambda f: F.trim(value(f)) == "")
 
 
-def retried(primary: Column, enhanced: Column, required: Column) -> Column:
-    """Struct of found, raw_text, batches from a label's first reading and, where it lacks required
-    fields, from a second one and both texts merged: the reading with most required fields is
-    taken, the earliest of equals. ``batches`` are those seen in the first and the second reading."""
-
-    def again(first: Column) -> Column:
-        both = merged(primary, enhanced)
-        readings = F.array(*[F.struct(F.size(missing(r, required)).alias("lacks"), F.lit(i).alias("i"), r.alias("found")) for i, r in enumerate((first, parsed(enhanced), parsed(both)))])
-
-        def best(all_of: Column) -> Column:
-            seen = F.array(first["batch"], F.get(all_of, F.lit(1))["found"]["batch"])
-            return F.struct(F.array_min(all_of)["found"].alias("found"), both.alias("raw_text"), F.filter(seen, lambda b: b.isNotNull()).alias("batches"))
-
-        alone = F.struct(first.alias("found"), primary.alias("raw_text"), F.filter(F.array(first["batch"]), lambda b: b.isNotNull()).alias("batches"))
-        return F.when(F.size(missing(first, required)) > 0, let(readings, best)).otherwise(alone)
-
-    return let(parsed(primary), again)
+def packages(texts: DataFrame, required: Column) -> DataFrame:
+    """``texts`` (primary, enhanced: two readings of a label's text; allowed: an array of batches; other
+    columns but p1 to p3) with the fields (empty where not found), batch_original, raw_text, missing
+    (required fields) and places (0-based, of the batch, to look at again).
+
+    Where the first reading lacks required fields, the second and both texts merged are parsed
+    too, and the reading with most of them is taken, the earliest of equals. The allowed
+    list sets the batch right. Places are those where the first and second reading differ
+    by look-alikes, and those set right. No shuffle; each step is one projection."""
+    lacks = lambda c: F.size(missing(F.col(c), required))
+    out = texts.withColumn("p1", parsed(F.col("primary"))).withColumn("again", lacks("p1") > 0)
+    out = out.withColumn("both", F.when(F.col("again"), merged(F.col("primary"), F.col("enhanced"))))
+    out = out.withColumn("p2", F.when(F.col("again"), parsed(F.col("enhanced")))).withColumn("p3", F.when(F.col("again"), parsed(F.col("both"))))
+    ranked = F.least(*[F.struct(lacks(c).alias("lacks"), F.lit(i).alias("i")) for i, c in enumerate(("p1", "p2", "p3"))])["i"]
+    out = out.withColumn("best", F.when(F.col("again"), ranked).otherwise(0))
+    out = out.withColumn("found", F.when(F.col("best") == 0, F.col("p1")).when(F.col("best") == 1, F.col("p2")).otherwise(F.col("p3")))
+    seen = [F.coalesce(confusable(F.col("found.batch"), F.col(f"{c}.batch")), F.array().cast("array<int>")) for c in ("p1", "p2")]
+    out = out.withColumn("seen", F.array_union(*seen))
+    right, moved = reconciled_label_batch(F.col("found.batch"), F.col("allowed"))
+    fields = {c: F.coalesce(F.col(f"found.{c}"), F.lit("")) for c in ("manufacture_at", "expire_at")}
+    out = out.withColumns(fields | {"batch": F.coalesce(right, F.lit("")), "batch_original": F.coalesce("found.batch", F.lit("")), "places": F.array_sort(F.array_union("seen", moved))})
+    out = out.withColumns({"raw_text": F.coalesce("both", "primary"), "missing": missing(F.col("found"), required)})
+    return out.drop("p1", "p2", "p3", "again", "both", "best", "found", "seen", "primary", "enhanced", "allowed")

@@ -110,9 +110,13 @@ def test_row_clusters_against_a_plain_loop(spark):
     assert {(r.doc_id, r.seq): r.row for r in got.collect()} == want
 
 
-def test_reading_lines():
-    boxes = [{"top": 10, "left": 0, "height": 20, "center": 20}, {"top": 12, "left": 50, "height": 20, "center": 22}, {"top": 40, "left": 0, "height": 20, "center": 50}]
-    assert rows.reading_lines(boxes) == [[0, 1], [2]]
+def test_reading_lines(spark):
+    box = lambda x, y, h: [[float(x), float(y)], [x + 30.0, float(y)], [x + 30.0, float(y + h)], [float(x), float(y + h)]]
+    lines = [(box(50, 12, 20), " b ", 0.5), (box(0, 10, 20), "a", 0.75), (box(0, 40, 20), "c", 0.25), (box(90, 19, 30), " ", 0.1), (box(70, 17, 20), "d", 0.9), (box(0, 27, 2), "e", 1.0)]
+    df = spark.createDataFrame([(lines,), ([],)], "l array<struct<box:array<array<double>>,text:string,confidence:double>>")
+    got = [[tuple(x) for x in r.x] for r in df.select(rows.reading_lines(F.col("l")).alias("x")).collect()]
+    assert got == [[("a b d", 0.5), ("e", 1.0), ("c", 0.25)], []]
+    assert [r.x for r in df.select(rows.reading_text(F.col("l")).alias("x")).collect()] == ["a\nb\nd\ne\nc", ""]
 
 
 @pytest.mark.parametrize(
