@@ -155,4 +155,4 @@ def compared(actual: Column, expected: Column) -> Column:
 
 def part_of(group: Column, parts: int = 10, held: int = 1) -> Column:
     """train or validation, the same for all rows of a group."""
-    return F.when(F.pmod(F.crc32(F.encode(group.cast("string"), "UTF-8")), F.lit(parts)) < held, "validation").otherwise("train")
+    return F.when(F.conv(F.substring(F.md5(group.cast("string")), 1, 8), 16, 10).cast("long") % parts < held, "validation").otherwise("train")

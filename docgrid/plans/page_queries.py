@@ -2,13 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from docgrid.fixtures import fixture
 from docgrid.functions import text as T
-from docgrid.operators import labels, matching, pages, review, rows
-from docgrid.plans.queries import SKU, _alnum, _clean, _date_ok, _digits, _gtin, _lines, _regroup, _tick, query
+from docgrid.operators import geometry, labels, matching, pages, review, rows
+from docgrid.plans.queries import ALLOWED, SKU, _alnum, _clean, _date_ok, _digits, _gtin, _lines, _regroup, _tick, _with_allowed, query
 
 
 def _sheet(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -99,3 +99,254 @@ def package_retry(spark: SparkSession, sf_dir: str) -> DataFrame:
     required = F.array(*map(F.lit, ("expire_at", "manufacture_at", "batch")))
     found = labels.packages(texts.select("doc_id", "row_idx", "allowed", *[c.alias(n) for n, c in read.items()]), required)
     return found.select("doc_id", "row_idx", "manufacture_at", "expire_at", "batch", F.array_join("missing", ",").alias("missing"), F.array_join(F.col("places").cast("array<string>"), ",").alias("places"))
+
+
+# Rows under review: the backend's error for the expiry, what a person edited or ticked, scores.
+REVIEW = """select doc_id, row_idx, h, {sku} as sku, {qty} as qty, {exp} as exp, {mfg} as mfg, {batch} as batch, case when h = 10 then 'ambiguous' when h = 12 then 'missing' end as exp_error,
+  case when h <> 17 then (800 + (doc_id * 13 + row_idx * 7) % 224) / 1024e0 end as sku_score, (820 + (doc_id * 5 + row_idx * 3) % 204) / 1024e0 as qty_score, h in (2, 10) and doc_id % 2 = 0 as qty_edited, doc_id % 3 = 0 as ticked,
+  h in (10, 11) and doc_id % 4 = 1 as exp_edited, (600 + (doc_id + row_idx) % 424) / 1024e0 as score from {source}"""
+REVIEW_SQL = (
+    SKU
+    + ", v as ("
+    + REVIEW.format(sku="sku", qty=_digits("qty_text"), exp=_regroup("exp_text"), mfg=_regroup("mfg_text"), batch=_alnum("batch_text"), source="sku_clean")
+    + f"""), i as (select *, case when sku = '' then 'missing' when not regexp_full_match(sku, '[0-9]{{8,}}') then 'invalid' when sku_score < 0.85e0 and not ticked then 'low' end as sku_issue,
+      case when qty = '' then 'missing' when not regexp_full_match(qty, '[1-9][0-9]*') then 'invalid' when qty_score < 0.85e0 and not qty_edited and not ticked then 'low' end as qty_issue,
+      case when exp <> '' and not {_date_ok('exp')} then 'invalid' when exp_error = 'missing' then 'missing' when exp_error is not null and not exp_edited then 'invalid' end as exp_issue from v),
+    r as (select *, sku_issue is not null or qty_issue is not null as pending, coalesce(sku_issue in ('missing', 'invalid'), false) or coalesce(qty_issue in ('missing', 'invalid'), false) as hard,
+      coalesce(sku_score < 0.85e0, false) or (qty_score < 0.85e0 and not qty_edited) as doubted from i)"""
+)
+
+
+def _reviewed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    c = F.col
+    clean = _lines(spark, sf_dir).select("doc_id", "row_idx", "h", T.clean_sku(c("sku_text")).alias("sku"), T.clean_digits(c("qty_text")).alias("qty"), T.regroup_date(c("exp_text")).alias("exp"), T.regroup_date(c("mfg_text")).alias("mfg"), T.clean_batch(c("batch_text")).alias("batch"))
+    v = spark.sql(REVIEW.format(sku="sku", qty="qty", exp="exp", mfg="mfg", batch="batch", source="{clean}"), clean=clean)
+    row = {f: c(f) for f in ("sku", "qty", "exp", "mfg", "batch")}
+    none, no = F.lit(None).cast("string"), F.lit(False)
+    issue = lambda f, error, score, edited: review.field_issue(f, row, error, score, edited, c("ticked"))
+    v = v.withColumns({"sku_issue": issue("sku", none, c("sku_score"), no), "qty_issue": issue("qty", none, c("qty_score"), c("qty_edited")), "exp_issue": issue("exp", c("exp_error"), F.lit(None).cast("double"), c("exp_edited"))})
+    issues, scores, edited = {"sku": c("sku_issue"), "qty": c("qty_issue")}, {"sku": c("sku_score"), "qty": c("qty_score")}, {"sku": no, "qty": c("qty_edited")}
+    return v.withColumns(review.row_review(issues, scores, edited, c("ticked")))
+
+
+@query(REVIEW_SQL + "select doc_id, row_idx, sku_issue, qty_issue, exp_issue, pending, hard, not hard and (not doubted or ticked) as reviewed from r", "inv_line")
+def review_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _reviewed(spark, sf_dir).select("doc_id", "row_idx", "sku_issue", "qty_issue", "exp_issue", "pending", "hard", "reviewed")
+
+
+@query(
+    REVIEW_SQL
+    + """select doc_id, cast(sum(coalesce((sku_issue = 'missing')::int, 0) + coalesce((qty_issue = 'missing')::int, 0) + coalesce((exp_issue = 'missing')::int, 0)) as bigint) as missing,
+    cast(sum(coalesce((sku_issue = 'invalid')::int, 0) + coalesce((qty_issue = 'invalid')::int, 0) + coalesce((exp_issue = 'invalid')::int, 0)) as bigint) as invalid,
+    cast(sum(coalesce((sku_issue = 'low')::int, 0) + coalesce((qty_issue = 'low')::int, 0) + coalesce((exp_issue = 'low')::int, 0)) as bigint) as low, cast(count(*) filter (pending) as bigint) as pending from r group by doc_id""",
+    "inv_line",
+)
+def review_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    v = _reviewed(spark, sf_dir)
+    count = lambda kind: F.sum(sum(F.when(F.col(f) == kind, 1).otherwise(0) for f in ("sku_issue", "qty_issue", "exp_issue"))).alias(kind)
+    return v.groupBy("doc_id").agg(count("missing"), count("invalid"), count("low"), F.count_if("pending").alias("pending"))
+
+
+@query(
+    REVIEW_SQL
+    + f"""select doc_id, cast(row_number() over (partition by doc_id order by row_idx) as int) as "#", sku, case when regexp_full_match(qty, '[1-9]\\d*') and length(qty) <= 15 then try_cast(qty as bigint) end as qty, qty as qty_text, not (regexp_full_match(qty, '[1-9]\\d*') and length(qty) <= 15) as qty_marked,
+    case when regexp_full_match(exp, '\\d{{4}}-\\d{{2}}-\\d{{2}}') then try_cast(exp as date) end as exp, exp as exp_text, case when regexp_full_match(mfg, '\\d{{4}}-\\d{{2}}-\\d{{2}}') then try_cast(mfg as date) end as mfg, mfg as mfg_text, case when doc_id % 5 <> 0 then batch end as batch, score as row_confidence,
+    case when not hard and (not doubted or ticked) then '已勾选' else '未勾选' end as status, case when bool_and(regexp_full_match(qty, '[1-9]\\d*')) over (partition by doc_id) then cast(sum(try_cast(qty as bigint)) over (partition by doc_id) as bigint) end as total,
+    case doc_id % 3 when 0 then 'unknown' when 1 then left('PO_' || doc_id || '-a', 32) else repeat('x', 32) end as file_name, case when doc_id % 7 = 0 then 'sku' else '' end as problems from r""",
+    "inv_line",
+)
+def export_sheet(spark: SparkSession, sf_dir: str) -> DataFrame:
+    c = F.col
+    v = _reviewed(spark, sf_dir)
+    po = F.when(c("doc_id") % 3 == 0, F.lit("/ . ")).when(c("doc_id") % 3 == 1, F.concat(F.lit("PO_/"), c("doc_id").cast("string"), F.lit(" -a"))).otherwise(F.repeat(F.lit("x"), F.lit(40)))
+    row = {f: c(f) for f in ("sku", "qty", "exp", "mfg", "batch")}
+    page = Window.partitionBy("doc_id")
+    out = v.withColumns(review.typed(row, c("score"), c("reviewed"), c("doc_id") % 5 != 0)).withColumn("n", F.count("*").over(page))
+    asked = {"sku": F.when(c("doc_id") % 7 == 0, F.repeat(F.lit("9"), F.lit(65))).otherwise(c("sku"))}
+    total = F.when(~F.bool_or("qty_marked").over(page), F.sum("qty").over(page))
+    out = out.withColumns({"#": F.row_number().over(page.orderBy("row_idx")), "total": total, "file_name": review.file_name(po), "problems": F.array_join(review.problems(asked, c("score"), c("n")), ",")})
+    return out.select("doc_id", "#", "sku", "qty", "qty_text", "qty_marked", "exp", "exp_text", "mfg", "mfg_text", "batch", "row_confidence", "status", "total", "file_name", "problems")
+
+
+# A cell's reading and a new one for it, by h.
+NEW = "(400 + (doc_id * 3 + row_idx * 5) % 600) / 1000e0"
+OLD = "case when h <> 19 then (300 + (doc_id * 7 + row_idx) % 700) / 1000e0 end"
+
+
+@query(
+    SKU
+    + f""", v as (select doc_id, row_idx, sku, sku_true, {_digits(_clean('qty_text'))} as qty, cast(qty_true as varchar) as q2, case when h = 9 then '' else 'a' end as name, {OLD} as s1, {NEW} as s2 from sku_clean),
+    w as (select *, regexp_full_match(sku, '\\d{{8,14}}') and (length(sku) not in (8, 12, 13, 14) or {_gtin('sku')}) as sku_ok, regexp_full_match(qty, '[1-9]\\d*') as qty_ok from v)
+    select doc_id, row_idx, case when sku = '' then true when sku_ok and sku <> sku_true then false when not sku_ok then true else coalesce(s2 >= s1 - 0.05e0, true) end as sku, case when qty = '' then true when qty_ok and right(qty, 1) = '1' and q2 = left(qty, length(qty) - 1) then true when not qty_ok then true else coalesce(s2 >= s1 - 0.05e0, true) end as qty,
+    case when name = '' then true else s2 >= 0.35e0 end as name, coalesce(qty_ok and s1 >= 0.85e0, false) as qty_reliable from w""",
+    "inv_line",
+)
+def cell_replace(spark: SparkSession, sf_dir: str) -> DataFrame:
+    c = F.col
+    v = _lines(spark, sf_dir).selectExpr("*", f"{OLD} as s1", f"{NEW} as s2", "case when h = 9 then '' else 'a' end as name")
+    v = v.withColumns({"s": T.normalized("sku", c("sku_text")), "q": T.normalized("qty", c("qty_text"))})
+    takes = lambda f, old, new: review.replaces(f, old, c("s1"), new, c("s2")).alias(f)
+    return v.select("doc_id", "row_idx", takes("sku", c("s"), c("sku_true")), takes("qty", c("q"), c("qty_true").cast("string")), takes("name", c("name"), F.lit("b")), review.reliable("qty", c("q"), c("s1")).alias("qty_reliable"))
+
+
+@query(
+    f"""with t as (select doc_id, sum(qty_true) as total from inv_line group by doc_id), d as (select f.*, total, length(regexp_replace(text, '\\D', '', 'g')) as n, try_cast(regexp_replace(text, '\\D', '', 'g') as bigint) as q from fragment f join t using (doc_id)),
+    k as (select doc_id, row_idx, field, case field when 'sku' then n between 8 and 14 when 'qty' then n between 1 and 4 and coalesce(q <> total, true) when 'box' then n between 1 and 4 when 'pallet' then n > 0 when 'batch' then length({_alnum('text')}) >= 4 else n in (6, 8) end as ok from d)
+    select doc_id, cast(count(*) as bigint) as kept, cast(count(*) filter (field = 'qty') as bigint) as quantities from k where ok group by doc_id""",
+    "fragment",
+)
+def observation_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    total = _lines(spark, sf_dir).groupBy("doc_id").agg(F.sum("qty_true").alias("total"))
+    items = fixture(spark, sf_dir, "fragment").withColumn("field", matching.column_of(F.col("xc"))).join(total, "doc_id")
+    return items.where(review.observed(F.col("field"), F.col("text"), F.col("total"))).groupBy("doc_id").agg(F.count("*").alias("kept"), F.count_if(F.col("field") == "qty").alias("quantities"))
+
+
+@query(
+    SKU
+    + f""", v as (select doc_id, row_idx, sku, case when h % 3 = 0 then 'TOTAL' when h % 3 = 1 then '' else 'Item' end as name, case when h in (4, 5) then '' else {_digits('qty_text')} end as qty, h = 9 or h = 4 as structural, h in (4, 6) as bare, h = 10 as doubted from sku_clean),
+    w as (select doc_id, row_idx, name, qty, structural, doubted, case when bare then '' else sku end as sku from v),
+    k as (select *, name <> 'TOTAL' and (regexp_full_match(sku, '\\d{{8,}}') or (sku <> '' and (name <> '' or qty <> '')) or (name <> '' and qty <> '')) as goods from w)
+    select doc_id, row_idx, not goods as structural_row_missing, case when sku = '' then 'missing' when not regexp_full_match(sku, '\\d{{8,}}') then 'invalid_format' end as sku_error, case when doubted then 'ambiguous' when qty = '' then 'missing' when not regexp_full_match(qty, '[1-9]\\d*') then 'invalid_format' end as qty_error
+    from k where goods or (structural and name <> 'TOTAL')""",
+    "inv_line",
+)
+def kept_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    c = F.col
+    name = F.when(c("h") % 3 == 0, "TOTAL").when(c("h") % 3 == 1, "").otherwise("Item")
+    v = _lines(spark, sf_dir).select("doc_id", "row_idx", "h", F.when(c("h").isin(4, 6), "").otherwise(T.clean_sku(c("sku_text"))).alias("sku"), name.alias("name"), F.when(c("h").isin(4, 5), "").otherwise(T.clean_digits(c("qty_text"))).alias("qty"))
+    row = {f: c(f) for f in ("sku", "name", "qty")} | {"box": F.lit("1")} | {f: F.lit("") for f in ("pallet", "exp", "mfg", "batch")}
+    kept = pages.kept(v, row, c("sku"), c("h").isin(9, 4))
+    reasons = F.when(c("h") == 10, F.create_map(F.lit("qty"), F.lit("model_disagreement"))).otherwise(F.create_map().cast("map<string,string>"))
+    said = kept.withColumn("e", pages.with_reviews(pages.errors(row), reasons))
+    return said.select("doc_id", "row_idx", "structural_row_missing", F.try_element_at("e", F.lit("sku")).alias("sku_error"), F.try_element_at("e", F.lit("qty")).alias("qty_error"))
+
+
+BOXES = """select user_id as frame, event_id % 640 as x, event_id * 3 % 480 as y, user_id * 7 % 300 + 10 as w, event_id * 11 % 260 + 8 as h, (user_id * 7 % 300 + 10) * (event_id * 11 % 260 + 8) * (60 + event_id % 41) / 100e0 as area,
+  event_id % 8 + 2 as corners, 150 + event_id % 100 + 0e0 as brightness, 640 as width, 480 as height, 0.5e0 as scale, event_id from {source}"""
+
+
+@query(
+    "with c as ("
+    + BOXES.format(source="events")
+    + """), k as (select *, (x <= 2)::int + (y <= 2)::int + (x + w >= width - 2)::int + (y + h >= height - 2)::int as touches from c where area between 0.002e0 * width * height and 0.45e0 * width * height and w >= 28 and h >= 20 and w / h between 0.55e0 and 4.2e0
+      and area / (w * h) >= 0.7e0 and corners between 4 and 8 and brightness >= 175)
+    select frame, cast(count(*) as bigint) as labels, cast(min(y * 2) as bigint) as top, cast(arg_min(x * 2, row(y, x)) as bigint) as first_x, max(round_even(least(0.99e0, area / (w * h)), 3)) as best from k where touches < 3 group by frame""",
+)
+def label_boxes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = review.label_boxes(spark.sql(BOXES.format(source="{events}"), events=fixture(spark, sf_dir, "events")))
+    return found.groupBy("frame").agg(F.count("*").alias("labels"), F.min("y").alias("top"), F.min_by("x", F.struct("y", "x")).alias("first_x"), F.max("confidence").alias("best"))
+
+
+CASES = "select doc_id, case when doc_id % 11 = 0 then 'no numbers' when doc_id % 11 = 1 then 'page' || doc_id || '=1,x' else 'page' || doc_id || '=' || {list} end as t from {source} group by doc_id"
+
+
+@query(
+    f"""with a as (select doc_id, list(coalesce(try_cast({_digits('qty_text')} as bigint), 0) order by row_idx) as a, list(cast(qty_true as bigint) order by row_idx) as e0 from inv_line where row_idx <> 3 or doc_id % 2 = 0 group by doc_id),
+    x as (select doc_id, list(cast(qty_true as bigint) order by row_idx) as e from inv_line group by doc_id),
+    z as (select doc_id, a, e, least(len(a), len(e)) as n from a join x using (doc_id) where doc_id % 11 > 1)
+    select doc_id, 'page' || doc_id as image, cast(len(list_filter(range(1, n + 1), lambda i: a[i] = e[i])) as int) as "right", cast(abs(len(a) - len(e)) as int) as missing_or_extra, coalesce(array_to_string(list_transform(list_filter(range(1, n + 1), lambda i: a[i] <> e[i]), lambda i: i || ':' || e[i] || '/' || a[i]), ','), '') as mismatches from z""",
+    "inv_line",
+)
+def truth_cases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    lines = _lines(spark, sf_dir)
+    ordered = "array_join(transform(array_sort(collect_list(struct(row_idx, qty_true))), x -> cast(x.qty_true as string)), ',')"
+    case = spark.sql(CASES.format(list=ordered, source="{lines}"), lines=lines).select("doc_id", review.case_of(F.col("t")).alias("c")).where("c is not null")
+    read = lines.where("row_idx <> 3 or doc_id % 2 = 0").select("doc_id", "row_idx", F.coalesce(T.clean_digits(F.col("qty_text")).try_cast("long"), F.lit(0)).alias("q"))
+    actual = read.groupBy("doc_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("row_idx", "q"))), lambda x: x["q"]).alias("a"))
+    out = case.join(actual, "doc_id").select("doc_id", "c.image", review.compared(F.col("a"), F.col("c.expected")).alias("r"))
+    said = F.array_join(F.transform("r.mismatches", lambda m: F.concat_ws("", m["row"].cast("string"), F.lit(":"), m["expected"].cast("string"), F.lit("/"), m["actual"].cast("string"))), ",")
+    return out.select("doc_id", "image", "r.right", "r.missing_or_extra", said.alias("mismatches"))
+
+
+@query("select doc_id, row_idx, case when cast('0x' || left(md5(cast(doc_id as varchar)), 8) as bigint) % 10 < 1 then 'validation' else 'train' end as part from inv_line where qty_true > 0", "inv_line")
+def train_split(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Records with a confirmed truth, in the part of their document."""
+    return _lines(spark, sf_dir).where("qty_true > 0").select("doc_id", "row_idx", review.part_of(F.col("doc_id")).alias("part"))
+
+
+@query(
+    ALLOWED
+    + "select doc_id, row_idx, case when h % 4 = 1 then batch_text when (d2 is null or d < d2) and d <= greatest(1, cast(floor(length(k) * 0.25) as int)) and k <> '' then a else '' end as batch from ranked join (select doc_id, row_idx, h from inv_line) using (doc_id, row_idx) where n = 1",
+    "inv_line",
+)
+def batch_rematch(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """After the list changed, batches are matched again but for those that a person has edited."""
+    lines = _with_allowed(spark, sf_dir)
+    again = matching.reconciled_batch(F.col("batch_text"), F.col("allowed"))
+    return lines.select("doc_id", "row_idx", F.when(F.col("h") % 4 == 1, F.col("batch_text")).otherwise(again).alias("batch"))
+
+
+# Heights of a document's fragments by the minute of the day, as places on a line.
+PLACES = "select l_suppkey as k, cast(l_partkey % 97 as bigint) as x, cast(sum(l_quantity) as bigint) as v from {source} group by all"
+
+
+@query("with p as (" + PLACES.format(source="lineitem") + ") select k, x, cast(sum(v) over (partition by k order by x range between 4 preceding and 4 following) as bigint) as total from p")
+def moving_sums(spark: SparkSession, sf_dir: str) -> DataFrame:
+    values = spark.sql(PLACES.format(source="{l}"), l=fixture(spark, sf_dir, "lineitem"))
+    return geometry.moving_sum(values, "k", "x", "v", 9)
+
+
+LINES = "select distinct doc_id, yc from {source} where ord = 2"
+
+
+@query(
+    "with l as ("
+    + LINES.format(source="fragment")
+    + """), g as (select doc_id, yc as top, lead(yc) over (partition by doc_id order by yc) as bottom from l), m as (select doc_id, count(*) as n, median(bottom - top) as middle, min(bottom - top) as a, max(bottom - top) as z from g where bottom is not null group by doc_id)
+    select doc_id, n, middle, a >= middle * 0.55e0 and z <= middle * 1.45e0 as regular from m""",
+    "fragment",
+)
+def row_spacing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    lines = spark.sql(LINES.format(source="{f}"), f=fixture(spark, sf_dir, "fragment"))
+    return geometry.spacing(lines, "doc_id", "yc")
+
+
+@query(
+    "with l as ("
+    + LINES.format(source="fragment")
+    + "), t as (select distinct doc_id, 150e0 + 40 * (doc_id % 5) as target from l) select doc_id, target, arg_min(yc, row(abs(yc - target), yc)) as line from l join t using (doc_id) group by doc_id, target",
+    "fragment",
+)
+def nearest_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    lines = spark.sql(LINES.format(source="{f}"), f=fixture(spark, sf_dir, "fragment"))
+    targets = lines.select("doc_id", (F.lit(150e0) + F.lit(40) * (F.col("doc_id") % 5)).alias("target")).distinct()
+    return geometry.nearest_line(lines, targets, "doc_id", "yc", "target")
+
+
+@query("select doc_id, round(case when count(*) >= 4 and regr_slope(x1 + row_idx, yc) is not null then regr_slope(x1 + row_idx, yc) * 166 + regr_intercept(x1 + row_idx, yc) else 235e0 end, 6) as edge from fragment where ord = 2 group by doc_id", "fragment")
+def edge_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ends = fixture(spark, sf_dir, "fragment").where("ord = 2").select("doc_id", (F.col("x1") + F.col("row_idx")).alias("x"), F.col("yc").alias("y"), F.lit(235e0).alias("target"), F.lit(166).alias("at"))
+    return geometry.edge_at(ends, "doc_id").select("doc_id", F.round("edge", 6).alias("edge"))
+
+
+@query("with c as (select distinct doc_id, ord, cast(60 + ord * 10 + doc_id % 7 as bigint) as w from fragment) select doc_id, ord, cast(coalesce(sum(w + 24) over (partition by doc_id order by ord rows between unbounded preceding and 1 preceding), 0) as bigint) as start, cast(coalesce(sum(w + 24) over (partition by doc_id order by ord rows between unbounded preceding and 1 preceding), 0) + w as bigint) as \"end\" from c", "fragment")
+def sheet_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
+    columns = fixture(spark, sf_dir, "fragment").select("doc_id", "ord", (F.lit(60) + F.col("ord") * 10 + F.col("doc_id") % 7).cast("long").alias("w")).distinct()
+    return geometry.segments(columns, "doc_id", "ord", "w")
+
+
+# Places of some rows' values: every document lacks one, some have a stray one or two in a row.
+SEEN = "select doc_id, row_idx, 172e0 + 34 * row_idx + (doc_id % 3) as y from {source} where row_idx <> doc_id % 4 union all select doc_id, 90 as row_idx, 900e0 as y from {source} where row_idx = 2 and doc_id % 5 = 0 union all select doc_id, 91, 174e0 + 34 * row_idx from {source} where row_idx = 1 and doc_id % 7 = 0"
+
+
+@query(
+    "with seen as ("
+    + SEEN.format(source="inv_line")
+    + """), s as (select doc_id, cast(max(row_idx) + 1 as int) as n from inv_line group by doc_id), o as (select doc_id, list(y order by y) as seen from seen group by doc_id),
+    d as (select doc_id, n, coalesce(seen, []) as seen, 33e0 as base from s left join o using (doc_id)),
+    even as (select doc_id, n = len(seen) and n >= 3 and coalesce(list_min(g) >= median_ * 0.55e0 and list_max(g) <= median_ * 1.45e0 and median_ >= 10, false) as even from (select doc_id, n, seen, list_transform(range(1, len(seen)), lambda i: seen[i + 1] - seen[i]) as g, list_median(list_transform(range(1, len(seen)), lambda i: seen[i + 1] - seen[i])) as median_ from d)),
+    grid as (select doc_id, n, seen, base, i, j, base * (1 - 0.15e0) + i * (base * 2 * 0.15e0 / 30) as size, 172e0 - base * 0.45e0 + j * 0.5e0 as first from d, range(0, 31) a(i), range(0, 61) b(j) where len(seen) >= 3 and n >= 2),
+    p as (select *, list_filter(list_transform(seen, lambda v: {'v': v, 'i': cast(round_even((v - first) / size, 0) as int)}), lambda q: q.i >= 0 and q.i < n) as h from grid),
+    u as (select *, len(list_distinct(list_transform(h, lambda q: q.i))) as held from p),
+    c as (select *, list_reduce(list_prepend(0e0, list_transform(h, lambda q: abs(q.v - (first + q.i * size)))), lambda a, b: a + b) / len(h) + (len(h) - held) * base * 0.35e0 + (len(seen) - len(h)) * base * 0.25e0 + abs(first - 172e0) * 0.03e0 - held * 0.02e0 as score from u where held >= least(3, n)),
+    b as (select doc_id, arg_min({'first': first, 'size': size, 'held': held}, row(round(score, 9), i, j)) as b from c group by doc_id)
+    select doc_id, case when len(seen) < 3 or n < 2 then list_transform(range(0, n), lambda k: 172e0 + 33 * k) when even then seen when b.b.held >= greatest(3, cast(floor(least(n, len(seen)) * 0.55e0) as int)) then list_transform(range(0, n), lambda k: round(b.b.first + k * b.b.size, 3))
+      else list_transform(range(0, n), lambda k: 172e0 + 33 * k) end as centers from d join even using (doc_id) left join b using (doc_id)""",
+    "inv_line",
+)
+def fitted_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    lines = _lines(spark, sf_dir)
+    seen = spark.sql(SEEN.format(source="{l}"), l=lines).groupBy("doc_id").agg(F.collect_list("y").alias("seen"))
+    slots = lines.groupBy("doc_id").agg((F.max("row_idx") + 1).alias("n")).select("doc_id", F.transform(F.sequence(F.lit(0), F.col("n").cast("int") - 1), lambda k: F.lit(172e0) + k * 33).alias("slots"))
+    both = slots.join(seen, "doc_id", "left").withColumn("seen", F.coalesce("seen", F.array().cast("array<double>")))
+    return both.select("doc_id", F.transform(geometry.fitted_centers(F.col("seen"), F.col("slots")), lambda c: F.round(c, 3)).alias("centers"))

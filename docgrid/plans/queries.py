@@ -305,7 +305,17 @@ def islands(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.islands(points, "k", "x")
 
 
-@query()
+@query(
+    """with s as (select doc_id, list_sort(list(yc)) as v from fragment group by doc_id),
+    base as (select * from s)
+    select doc_id, yc from (
+      with recursive f(doc_id, yc, v) as (
+        select doc_id, v[1], v from base
+        union all
+        select doc_id, list_filter(v, lambda x: x >= yc + 45)[1], list_filter(v, lambda x: x >= yc + 45) from f where len(list_filter(v, lambda x: x >= yc + 45)) > 0)
+      select doc_id, yc from f)""",
+    "fragment",
+)
 def thin_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.thinned(fixture(spark, sf_dir, "fragment"), "doc_id", "yc", 45)
 

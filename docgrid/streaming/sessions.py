@@ -6,6 +6,7 @@ from collections.abc import Iterator
 from typing import Any
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -18,27 +19,48 @@ def running_total(shots: DataFrame) -> DataFrame:
     return shots.where("op = 'append'").select("session", "seq", F.sum("cnt").over(w).alias("total"))
 
 
+def applied(log: list[int], op: str, count: int | None) -> None:
+    """One operation on a session's log of counts."""
+    if op == "append":
+        log.append(count or 0)
+    elif op == "reset":
+        log.clear()
+    elif log and op in ("undo", "plus", "minus"):
+        last = log.pop()
+        if op != "undo":
+            log.append(last + 1 if op == "plus" else max(0, last - 1))
+
+
 def folded(shots: DataFrame) -> DataFrame:
     """session, total, shots after all operations in order: append a count, undo drops
-    the last shot, plus and minus change it by one (not below 0), reset clears."""
-
-    def step(acc: F.Column, x: F.Column) -> F.Column:
-        last = F.element_at(acc, -1)
-        head = F.slice(acc, F.lit(1), F.greatest(F.size(acc) - 1, F.lit(0)))
-        empty = F.size(acc) == 0
-        return (
-            F.when(x["op"] == "append", F.concat(acc, F.array(x["cnt"])))
-            .when(x["op"] == "reset", F.array().cast("array<bigint>"))
-            .when(empty, acc)
-            .when(x["op"] == "undo", head)
-            .when(x["op"] == "plus", F.concat(head, F.array(last + 1)))
-            .when(x["op"] == "minus", F.concat(head, F.array(F.greatest(last - 1, F.lit(0)))))
-            .otherwise(acc)
-        )
-
-    ordered = shots.groupBy("session").agg(F.array_sort(F.collect_list(F.struct("seq", "op", F.col("cnt").cast("long").alias("cnt")))).alias("ops"))
-    logs = ordered.select("session", F.aggregate("ops", F.array().cast("array<bigint>"), step).alias("log"))
-    return logs.select("session", F.aggregate("log", F.lit(0).cast("long"), lambda a, b: a + b).alias("total"), F.size("log").cast("long").alias("shots"))
+    the last shot, plus and minus change it by one (not below 0), reset clears.
+
+    One shuffle by session; each task walks its sorted rows and holds the log of one session."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        log: list[int] = []
+        done: list[tuple] = []
+        session, begun = None, False
+
+        def ended() -> pa.RecordBatch:
+            out = pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in (zip(*done) if done else [[]] * 3)], ["session", "total", "shots"])
+            done.clear()
+            return out
+
+        for batch in batches:
+            for s, op, count in zip(*(batch.column(c).to_pylist() for c in ("session", "op", "cnt"))):
+                if begun and s != session:
+                    done.append((session, sum(log), len(log)))
+                    log.clear()
+                session, begun = s, True
+                applied(log, op, count)
+            yield ended()
+        if begun:
+            done.append((session, sum(log), len(log)))
+        yield ended()
+
+    rows = shots.select(F.col("session").cast("long"), "seq", "op", F.col("cnt").cast("long").alias("cnt"))
+    return rows.repartition("session").sortWithinPartitions("session", "seq").mapInArrow(run, OUT)
 
 
 def streamed(shots: DataFrame) -> DataFrame:
@@ -49,14 +71,7 @@ def streamed(shots: DataFrame) -> DataFrame:
     def update(key: tuple, parts: Iterator[pd.DataFrame], state: Any) -> Iterator[pd.DataFrame]:
         log = list(state.get[0]) if state.exists else []
         for row in pd.concat(list(parts)).sort_values("seq").itertuples():
-            if row.op == "append":
-                log.append(int(row.cnt))
-            elif row.op == "reset":
-                log.clear()
-            elif log:
-                last = log.pop()
-                if row.op != "undo":
-                    log.append(last + 1 if row.op == "plus" else max(0, last - 1) if row.op == "minus" else last)
+            applied(log, row.op, None if pd.isna(row.cnt) else int(row.cnt))
         state.update((log,))
         yield pd.DataFrame({"session": [key[0]], "total": [sum(log)], "shots": [len(log)]})
 
