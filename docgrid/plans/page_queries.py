@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from docgrid.fixtures import fixture
 from docgrid.functions import text as T
-from docgrid.operators import geometry, labels, matching, pages, review, rows
+from docgrid.operators import cells, geometry, labels, matching, pages, review, rows
 from docgrid.plans.queries import ALLOWED, SKU, _alnum, _clean, _date_ok, _digits, _gtin, _lines, _regroup, _tick, _with_allowed, query
 
 
@@ -340,8 +340,8 @@ SEEN = "select doc_id, row_idx, 172e0 + 34 * row_idx + (doc_id % 3) as y from {s
     u as (select *, len(list_distinct(list_transform(h, lambda q: q.i))) as held from p),
     c as (select *, list_reduce(list_prepend(0e0, list_transform(h, lambda q: abs(q.v - (first + q.i * size)))), lambda a, b: a + b) / len(h) + (len(h) - held) * base * 0.35e0 + (len(seen) - len(h)) * base * 0.25e0 + abs(first - 172e0) * 0.03e0 - held * 0.02e0 as score from u where held >= least(3, n)),
     b as (select doc_id, arg_min({'first': first, 'size': size, 'held': held}, row(round(score, 9), i, j)) as b from c group by doc_id)
-    select doc_id, case when len(seen) < 3 or n < 2 then list_transform(range(0, n), lambda k: 172e0 + 33 * k) when even then seen when b.b.held >= greatest(3, cast(floor(least(n, len(seen)) * 0.55e0) as int)) then list_transform(range(0, n), lambda k: round(b.b.first + k * b.b.size, 3))
-      else list_transform(range(0, n), lambda k: 172e0 + 33 * k) end as centers from d join even using (doc_id) left join b using (doc_id)""",
+    select doc_id, array_to_string(list_transform(case when len(seen) < 3 or n < 2 then list_transform(range(0, n), lambda k: 172e0 + 33 * k) when even then seen when b.b.held >= greatest(3, cast(floor(least(n, len(seen)) * 0.55e0) as int)) then list_transform(range(0, n), lambda k: b.b.first + k * b.b.size)
+      else list_transform(range(0, n), lambda k: 172e0 + 33 * k) end, lambda c: cast(round(c * 100) as bigint)), ',') as centers from d join even using (doc_id) left join b using (doc_id)""",
     "inv_line",
 )
 def fitted_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -349,4 +349,110 @@ def fitted_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     seen = spark.sql(SEEN.format(source="{l}"), l=lines).groupBy("doc_id").agg(F.collect_list("y").alias("seen"))
     slots = lines.groupBy("doc_id").agg((F.max("row_idx") + 1).alias("n")).select("doc_id", F.transform(F.sequence(F.lit(0), F.col("n").cast("int") - 1), lambda k: F.lit(172e0) + k * 33).alias("slots"))
     both = slots.join(seen, "doc_id", "left").withColumn("seen", F.coalesce("seen", F.array().cast("array<double>")))
-    return both.select("doc_id", F.transform(geometry.fitted_centers(F.col("seen"), F.col("slots")), lambda c: F.round(c, 3)).alias("centers"))
+    return both.select("doc_id", F.array_join(F.transform(geometry.fitted_centers(F.col("seen"), F.col("slots")), lambda c: F.round(c * 100).cast("long").cast("string")), ",").alias("centers"))
+
+
+def _cells(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The page's fragments of each cell with a stray one below in some, and candidates: the true text from
+    the cell, and from the column, in two parts, in every third row."""
+    c = F.col
+    items = fixture(spark, sf_dir, "fragment").join(_lines(spark, sf_dir).select("doc_id", "row_idx", "h", "qty_true", "sku_true", "exp_true", "mfg_true", "batch_true", T.normalized("box", c("box_text")).alias("box")), ["doc_id", "row_idx"])
+    true = F.coalesce(*[F.when(c("field") == f, c(f"{f}_true").cast("string")) for f in ("qty", "sku", "exp", "mfg", "batch")], c("text"))
+    at = lambda text, score, source, dx=0.0, dy=0.0: F.struct((c("x1") + dx).alias("x1"), (c("x1") + dx + 40).alias("x2"), (c("yc") + dy).alias("yc"), (c("yc") + dy - 8).alias("y1"), (c("yc") + dy + 8).alias("y2"), text.alias("text"), score.alias("score"), F.lit(source).alias("source"))
+    second = (F.lit(512) + (c("doc_id") * 5 + c("row_idx") * 3) % 512) / 1024e0
+    stray = at(F.lit("77"), F.lit(0.5), "page", 4.0, 13.0)
+    page = F.filter(F.concat(F.array(at(c("text"), c("score"), "page")), F.when(c("row_idx") % 3 == 0, F.array(stray)).otherwise(F.array().cast(f"array<{cells.FRAGMENT}>"))), lambda f: F.trim(f["text"]) != "")
+    column = F.array(at(F.substring(true, 1, 2), second - 0.25, "column"), at(F.substring(true, F.lit(3), F.length(true)), second - 0.125, "column", 20.0, 1.0), at(F.lit("55"), F.lit(0.9), "column", 2.0, -12.0))
+    some = F.when(c("h") % 3 == 0, column).otherwise(F.array().cast(f"array<{cells.FRAGMENT}>"))
+    middle = F.coalesce(*[F.when(c("field") == f, (a + b) / 2) for f, a, b in matching.LAYOUT])
+    return items.select("doc_id", "row_idx", "field", "h", "box", page.alias("page"), F.concat(F.array(at(true, second, "cell")), F.filter(some, lambda f: f["text"] != "")).alias("candidates"), (F.lit(172e0) + F.lit(33) * c("row_idx")).alias("target_y"), middle.alias("target_x"))
+
+
+FORMS = {"pallet": "regexp_replace({0}, '\\s+', '', 'g')", "qty": _digits("{0}"), "box": _digits("{0}"), "batch": _alnum("{0}")}
+PAGE_CELLS = (
+    SKU
+    + ", p as (select f.doc_id, f.row_idx, f.field, f.score, case f.field when 'sku' then s.sku "
+    + " ".join(f"when '{f}' then {form.format(_clean('f.text'))}" for f, form in FORMS.items())
+    + f" else {_regroup(_clean('f.text'))} end as text0, trim(f.text) = '' as bare, f.row_idx % 3 = 0 as stray, h, f.ord from fragment f join sku_clean s using (doc_id, row_idx)),"
+    + " pc as (select *, case when bare and stray then case field when 'sku' then '77' when 'qty' then '77' when 'exp' then '77' when 'mfg' then '77' when 'box' then '77' else '77' end when bare then '' else text0 end as text, case when bare and stray then 0.5e0 when bare then null else score end as s from p)"
+)
+
+
+@query(PAGE_CELLS + "select doc_id, row_idx, field, text, s as score from pc", "fragment")
+def cell_readings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return cells.with_page_reading(_cells(spark, sf_dir)).select("doc_id", "row_idx", "field", "text", "score")
+
+
+OK = {
+    "sku": f"(regexp_full_match(text, '\\d{{8,14}}') and (length(text) not in (8, 12, 13, 14) or {_gtin('text')}))",
+    "qty": "regexp_full_match(text, '[1-9]\\d*')", "box": "regexp_full_match(text, '[1-9]\\d*')", "pallet": "regexp_full_match(text, '\\d+/\\d+')", "batch": "regexp_full_match(text, '[A-Za-z0-9]{4,}')",
+}
+VALID = "case field " + " ".join(f"when '{f}' then {t}" for f, t in OK.items()) + f" else text <> '' and {_date_ok('text')} end"
+SURE = "case field " + " ".join(f"when '{f}' then {n}e0" for f, n in review.RELIABLE.items()) + " end"
+
+
+@query(
+    PAGE_CELLS
+    + f""", a as (select doc_id, list_distinct(list(batch_true)) as allowed from inv_line group by doc_id), j as (select pc.*, allowed from pc join a using (doc_id)),
+    k as (select *, {VALID} and coalesce(s >= {SURE}, false) as sure, upper(text) as key from j),
+    m as (select *, list_sort(list_transform(allowed, lambda x: levenshtein(key, x))) as d from k)
+    select distinct doc_id, field from m where (field in ('sku', 'qty') or text <> '' or h = 13) and (not sure or (h = 11 and field = 'exp') or (field = 'batch' and not (key <> '' and (len(d) = 1 or d[1] < d[2]) and d[1] <= greatest(1, cast(floor(length(key) * 0.25e0) as int)))))""",
+    "fragment",
+)
+def column_fallbacks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    allowed = _lines(spark, sf_dir).groupBy("doc_id").agg(F.collect_set("batch_true").alias("allowed"))
+    found = _cells(spark, sf_dir).join(allowed, "doc_id").withColumns({"ink": F.col("h") == 13, "doubted": (F.col("h") == 11) & (F.col("field") == "exp")})
+    return cells.fallback_fields(found)
+
+
+@query(
+    PAGE_CELLS
+    + f""", t as (select p.doc_id, p.row_idx, p.field, p.text as ptext, p.s as ps, p.h, {_digits(_clean('box_text'))} as box, case p.field when 'qty' then cast(qty_true as varchar) when 'sku' then sku_true when 'exp' then exp_true when 'mfg' then mfg_true when 'batch' then batch_true when 'pallet' then pallet_text else box_text end as true_text,
+      (512 + (doc_id * 5 + row_idx * 3) % 512) / 1024e0 as s2 from pc p join inv_line using (doc_id, row_idx)),
+    c as (select *, left(true_text, 2) || case when length(true_text) > 2 then ' ' || substr(true_text, 3) else '' end as halves from t),
+    r0 as (select doc_id, row_idx, field, h, 0 as pos, 'page' as source, ptext as raw, coalesce(ps, 0) as score from c where ptext <> ''
+      union all select doc_id, row_idx, field, h, 1, 'cell', true_text, s2 from c where field in ('pallet', 'box', 'qty') or field in ('exp', 'mfg')
+      union all select doc_id, row_idx, field, h, 2, 'column', halves, s2 - 0.25e0 from c where h % 3 = 0 and field not in ('sku', 'batch') and length(true_text) > 0 and not (field in ('pallet', 'box') and s2 - 0.25e0 < 0.3e0)
+      union all select doc_id, row_idx, field, h, 2, 'column', '55', 0.9e0 from c where h % 3 = 0 and field = 'box' and s2 - 0.25e0 < 0.3e0
+      union all select doc_id, row_idx, field, h, 1, 'cell', true_text, s2 from c where field = 'sku'),
+    r1 as (select doc_id, row_idx, field, pos, source, score, case field when 'pallet' then {FORMS['pallet'].format(_clean('raw'))} when 'qty' then {_digits(_clean('raw'))} when 'box' then {_digits(_clean('raw'))} when 'sku' then raw else {_regroup(_clean('raw'))} end as text from r0),
+    g as (select doc_id, row_idx, field, text, count(*) as n, max(score) as best, max((source = 'page')::int) as page, min(pos) as pos from r1 where {VALID} group by all),
+    v as (select doc_id, row_idx, field, arg_max({{'t': text, 'b': best, 'n': n}}, row(n, page, best, -pos)) as w, arg_max({{'t': text, 'b': best, 'n': n}}, row(n, best, -pos)) as q, list_reverse_sort(list(n)) as ns, count(*) as texts, max(best) as top, count(distinct length(text)) as sizes, max(length(text)) as size, count(distinct substr(text, 2)) as ends, min(substr(text, 2)) as e from g group by doc_id, row_idx, field),
+    b as (select v.*, bx.n as xn, bx.best as xb, bx.text as xt from v left join (select g.* from g join c using (doc_id, row_idx, field) where g.field = 'qty' and g.text = c.box) bx using (doc_id, row_idx, field)),
+    f as (select *, field = 'qty' and texts > 1 and sizes = 1 and size >= 3 and ends = 1 and top < 0.85e0 as common, field = 'qty' and coalesce(xn = q.n and xb >= q.b - 0.05e0 - 1e-9, false) as boxed from b),
+    y as (select doc_id, row_idx, field, case when common then e when boxed then xt when field = 'qty' then q.t else w.t end as ct, case when common then top when boxed then xb when field = 'qty' then q.b else w.b end as cs, case when field = 'sku' then len(ns) > 1 and ns[1] = ns[2] else texts > 1 end as amb from f),
+    z as (select doc_id, row_idx, field, arg_max(text, row(score, -pos)) as bt, max(score) as bs from r1 where field in ('pallet', 'box') and text <> '' and score >= 0.3e0 group by doc_id, row_idx, field),
+    o as (select c.*, ct, cs, amb, bt, bs, {VALID.replace('text', 'ptext')} as ok, {VALID.replace('text', 'ptext')} and coalesce(ps >= {SURE}, false) and field in ('pallet', 'box') as stays from c left join y using (doc_id, row_idx, field) left join z using (doc_id, row_idx, field))
+    select doc_id, row_idx, field, case when field = 'batch' or stays then ptext when field = 'sku' and ok and length(ct) < length(ptext) then ptext else coalesce(ct, bt, ptext) end as text,
+      case when field = 'batch' or stays then ps when field = 'sku' and ok and length(ct) < length(ptext) then ps when ct is not null then cs when bt is not null then bs else ps end as score,
+      case when field = 'batch' or stays then false when field = 'sku' and ok and length(ct) < length(ptext) then true else coalesce(amb, false) end as ambiguous from o where field <> 'batch' and field <> 'sku'""",
+    "fragment",
+)
+def cell_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return cells.applied(_cells(spark, sf_dir)).where("field not in ('batch', 'sku')")
+
+
+@query(
+    """with s as (select doc_id, row_idx as slot, 172e0 + 33 * row_idx as center, 20 + 30 * (row_idx % 2) as height from inv_line), r as (select doc_id, seq, yc + (doc_id % 3) * 14e0 as yc from fragment where field = 'qty'),
+    j as (select doc_id, seq, slot, abs(yc - center) as gap, greatest(28e0, height * 0.75e0) as t, row_number() over (partition by doc_id, seq order by abs(yc - center), slot) as k from r join s using (doc_id)) select doc_id, seq, slot, gap from j where k = 1 and gap <= t""",
+    "fragment",
+)
+def column_slots(spark: SparkSession, sf_dir: str) -> DataFrame:
+    slots = _lines(spark, sf_dir).select("doc_id", F.col("row_idx").alias("slot"), (F.lit(172e0) + F.lit(33) * F.col("row_idx")).alias("center"), F.lit(0e0).alias("y1"), (20e0 + 30 * (F.col("row_idx") % 2)).alias("y2"))
+    scaled = (F.col("yc") + (F.col("doc_id") % 3) * 14e0 - 139) * 2  # as in a picture of the column
+    found = fixture(spark, sf_dir, "fragment").where("field = 'qty'").select("doc_id", "seq", cells.unscaled(scaled, F.lit(139)).alias("yc"))
+    return cells.column_slots(found, slots)
+
+
+@query(
+    """with l as (select doc_id, seq, x1, (y1 + y2) / 2 as c, text, score from sheet), r as (select *, case when seq < 64 then case when c < 30 then -2 else -1 end else seq // 64 - 1 end as line, c as center from l),
+    k as (select doc_id, line, min(center) as top, string_agg(trim(text), ' ' order by x1, seq) as text, min(score) as confidence from r group by doc_id, line)
+    select doc_id, cast(row_number() over (partition by doc_id order by top) - 1 as int) as line, text, confidence from k""",
+    "sheet",
+)
+def reading_order(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The lines of whole sheets, as texts in reading order."""
+    corner = lambda x, y: F.array(F.col(x), F.col(y))
+    box = F.array(corner("x1", "y1"), corner("x2", "y2"))
+    pages_of = fixture(spark, sf_dir, "sheet").groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("seq", box.alias("box"), "text", F.col("score").alias("confidence")))).alias("lines"))
+    return pages_of.select("doc_id", F.posexplode(rows.reading_lines(F.col("lines"))).alias("line", "r")).select("doc_id", "line", "r.text", "r.confidence")
