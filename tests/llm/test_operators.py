@@ -487,8 +487,8 @@ def test_image_links_equal_brute_force(spark, crowd):
     assert {(r.u, r.v) for r in found} <= set(met)
 
 
-@pytest.mark.parametrize("block", [3, near_copies.BLOCK])
-def test_simhash_stage_equals_brute_force(spark, monkeypatch, block):
+@pytest.mark.parametrize(("block", "rounds"), [(3, 0), (3, 3), (near_copies.BLOCK, near_copies.ROUNDS)])
+def test_simhash_stage_equals_brute_force(spark, monkeypatch, block, rounds):
     import corpus_pipeline
 
     rng = random.Random(9)
@@ -522,7 +522,8 @@ def test_simhash_stage_equals_brute_force(spark, monkeypatch, block):
         x, y = sorted((find(i), find(j)))
         parent[y] = x
     docs = docs_of(spark, rows + [(None, "no id"), (3, rows[3][1])])
-    monkeypatch.setattr(near_copies.classes, "__defaults__", (block,))
+    monkeypatch.setattr(near_copies.classes, "__defaults__", (block, rounds))
+    monkeypatch.setattr(near_copies, "FEW", 1 if rounds == 3 else near_copies.FEW)
     got = corpus_pipeline.simhash_stage(spark, docs, SF)
     assert sorted(r.doc_id for r in got.collect() if r.doc_id is not None) == sorted({find(i) for i in range(len(rows))})
     assert got.where("doc_id is null").count() == 1
