@@ -69,7 +69,7 @@ def nearest_slot(items: DataFrame, slots: DataFrame, tolerance: Column) -> DataF
 def document_total(items: DataFrame, reach: float = 32.0) -> DataFrame:
     """doc_id, total: the number in the quantity column nearest to a total marker's height."""
     markers = items.where(F.col("text").rlike("(?i)TOTA[L1I]|合计")).select("doc_id", F.col("yc").alias("my"), F.col("seq").alias("mseq"))
-    numbers = items.withColumn("digits", F.regexp_replace(F.translate("text", "OoQDlISs", "00001155"), r"\D", ""))
+    numbers = items.withColumn("digits", F.regexp_replace(F.translate("text", "OoQDlISs", "00001155"), r"(?U)\D", ""))
     numbers = numbers.where((column_of(F.col("xc")) == "qty") & (F.col("digits") != "")).select("doc_id", "yc", "seq", "digits")
     near = markers.join(numbers, "doc_id").where(F.abs(F.col("yc") - F.col("my")) <= reach)
     key = F.struct(F.abs(F.col("yc") - F.col("my")), "mseq", "seq")
