@@ -55,16 +55,37 @@ def new_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
 
 
+#: The tables that this process has written, in order.
+_TABLES: list[str] = []
+
+
 def written(df: DataFrame, name: str) -> DataFrame:
     """``df`` written as a Parquet table in the shared folder and read again.
 
-    The rows survive lost executors, and later plans start from the table."""
+    The rows survive lost executors, and later plans start from the table. It stays until
+    ``release``, as results that are not yet read may need it."""
     spark = df.sparkSession
     path = new_path(spark, name)
+    _TABLES.append(path)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def tables() -> list[str]:
+    """The tables that ``written`` made and ``release`` has not removed."""
+    return list(_TABLES)
+
+
+def release(spark: SparkSession, paths: list[str]) -> None:
+    """Removes tables of ``written`` that nothing will read any more."""
+    jvm = spark.sparkContext._jvm
+    conf = spark.sparkContext._jsc.hadoopConfiguration()
+    for path in paths:
+        where = jvm.org.apache.hadoop.fs.Path(path)
+        where.getFileSystem(conf).delete(where, True)
+        _TABLES.remove(path)
+
+
 def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     """Connected components of ``edges`` (u long, v long): node, root (the
     smallest node of the component). Nodes without an edge don't appear.

@@ -540,3 +540,21 @@ def test_pipeline_keeps_clean_documents(spark):
     assert docs.count() > 130
     toxic = common.table(spark, SF, "labels").where("toxic = 1").select("doc_id")  # few rows to learn from here
     assert docs.join(toxic, "doc_id").count() < toxic.count() / 2
+
+
+def test_pipeline_last_stage_and_tables(spark, tmp_path):
+    import corpus_pipeline
+
+    docs = common.table(spark, SF, "documents")
+    mixed = corpus_pipeline.mixing_stage(spark, docs, SF)
+    sql = mixing.sql(corpus_pipeline.MIX_RATIO)
+    chosen = mixed.select("doc_id", "domain", F.coalesce("lang", F.lit("")).alias("lang"), F.coalesce("source", F.lit("")).alias("source"), "n_tokens", "epoch")
+    same(chosen, connect(SF), sql)
+    assert set(mixed.columns) == {*docs.columns, "domain", "n_tokens", "epoch"}
+    before = common.tables()
+    out = corpus_pipeline.run(spark, SF)
+    left = [p for p in common.tables() if p not in before]
+    assert len(left) == 1 and "mixing" in left[0] and 0 < out.count()
+    assert all(spark.read.parquet(p).count() >= 0 for p in before[-2:])
+    common.release(spark, left)
+    assert common.tables() == before
