@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
-from pyspark.sql import functions as F
+from collections.abc import Iterator
 
-from docgrid.functions.text import let
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import DataFrame, Window
+from pyspark.sql import functions as F
 
 # Shares of the spacing within which gaps are regular and a fit may lie, and what a fit pays for.
 EVEN = (0.55, 1.45)
@@ -53,48 +55,48 @@ def segments(columns: DataFrame, key: str, order: str, width: str) -> DataFrame:
     return columns.select(key, order, start.alias("start"), (start + F.col(width)).alias("end"))
 
 
-def fitted_centers(observed: Column, slots: Column) -> Column:
-    """Centers of rows (an array like ``slots``) from places ``observed`` of some of their values.
+def centers(observed: np.ndarray, slots: np.ndarray) -> np.ndarray:
+    """Centers of rows, as many as ``slots``, from sorted places ``observed`` of some of their values.
 
     As many observed as slots, evenly apart: these. Else the regular sequence, of 31 spacings within 15 percent of
     the slots' and first places half a unit apart, that leaves least: the mean distance of values to their row,
     and charges for two in one row, for values beyond the rows, for moving away, less a bonus for rows held.
     With fewer than three values, slots too near each other or too few rows held: the slots."""
-    steps = lambda a: F.transform(F.sequence(F.lit(1), F.size(a) - 1), lambda i: F.get(a, i) - F.get(a, i - 1))
-
-    def middle(a: Column) -> Column:
-        ordered, n = F.array_sort(a), F.size(a)
-        return (F.get(ordered, ((n - 1) / 2).cast("int")) + F.get(ordered, (n / 2).cast("int"))) / 2
-
-    def fit(x: Column) -> Column:
-        n, count = F.size(x["slots"]), F.size(x["seen"])
-        base, head = x["base"], F.get(x["slots"], F.lit(0))
-
-        def scored(size: Column, first: Column) -> Column:
-            at = F.transform(x["seen"], lambda v: F.struct(v.alias("v"), F.rint((v - first) / size).cast("int").alias("i")))
-            held = F.filter(at, lambda p: (p["i"] >= 0) & (p["i"] < n))
-
-            def charged(h: Column) -> Column:
-                unique = F.size(F.array_distinct(F.transform(h, lambda p: p["i"])))
-                residual = F.aggregate(h, F.lit(0e0), lambda acc, p: acc + F.abs(p["v"] - (first + p["i"] * size))) / F.size(h)
-                score = residual + (F.size(h) - unique) * base * DOUBLE + (count - F.size(h)) * base * MISSED + F.abs(first - head) * AWAY - unique * HELD
-                return F.when(unique >= F.least(F.lit(3), n), F.struct(score.alias("score"), unique.alias("unique")))
-
-            return let(held, charged)
-
-        sizes = F.transform(F.sequence(F.lit(0), F.lit(SPACINGS - 1)), lambda k: base * (1 - STRETCH) + k * (base * 2 * STRETCH / (SPACINGS - 1)))
-        many = F.ceil(base * SHIFT * 2 / STEP + 1).cast("int")
-        firsts = F.transform(F.sequence(F.lit(0), many - 1), lambda k: head - base * SHIFT + k * STEP)
-        tried = F.flatten(F.transform(sizes, lambda size, i: F.transform(firsts, lambda first, j: let(scored(size, first), lambda s: F.struct(s["score"].alias("score"), i.alias("i"), j.alias("j"), size.alias("size"), first.alias("first"), s["unique"].alias("unique"))))))
-        best = F.array_min(F.filter(tried, lambda t: t["score"].isNotNull()))
-        enough = F.greatest(F.lit(3), F.floor(F.least(n, count) * F.lit(0.55)).cast("int"))
-        return let(best, lambda b: F.when(b["unique"] >= enough, F.transform(F.sequence(F.lit(0), n - 1), lambda k: b["first"] + k * b["size"])).otherwise(x["slots"]))
-
-    def chosen(x: Column) -> Column:
-        own = steps(x["seen"])
-        even = (F.size(x["seen"]) == F.size(x["slots"])) & let(F.struct(own.alias("g"), middle(own).alias("m")), lambda s: (s["m"] >= 10) & F.forall(s["g"], lambda g: g.between(s["m"] * EVEN[0], s["m"] * EVEN[1])))
-        plain = (F.size(x["slots"]) < 2) | (F.size(x["seen"]) < 3) | (x["base"] < 10)
-        return F.when(plain, x["slots"]).when(even, x["seen"]).otherwise(fit(x))
-
-    both = F.struct(F.array_sort(observed.cast("array<double>")).alias("seen"), slots.cast("array<double>").alias("slots"), F.when(F.size(slots) > 1, middle(steps(slots))).alias("base"))
-    return let(both, chosen)
+    n, seen = len(slots), len(observed)
+    base = float(np.median(np.diff(slots))) if n > 1 else 0.0
+    if seen < 3 or base < 10:
+        return slots
+    own = np.diff(observed)
+    middle = float(np.median(own))
+    if seen == n and middle >= 10 and (own >= middle * EVEN[0]).all() and (own <= middle * EVEN[1]).all():
+        return observed
+    size = (base * (1 - STRETCH) + np.arange(SPACINGS) * (base * 2 * STRETCH / (SPACINGS - 1)))[:, None, None]
+    first = (slots[0] - base * SHIFT + np.arange(int(np.ceil(base * SHIFT * 2 / STEP + 1))) * STEP)[None, :, None]
+    at = np.rint((observed - first) / size)  # spacing, first place, value
+    inside = (at >= 0) & (at < n)
+    held = inside.sum(axis=2)
+    rows = np.where(inside, at, -1)
+    rows.sort(axis=2)
+    unique = ((rows >= 0) & (np.diff(rows, axis=2, prepend=-2) != 0)).sum(axis=2)
+    off = np.where(inside, np.abs(observed - (first + at * size)), 0).sum(axis=2)
+    with np.errstate(invalid="ignore", divide="ignore"):
+        score = off / held + (held - unique) * base * DOUBLE + (seen - held) * base * MISSED + np.abs(first[:, :, 0] - slots[0]) * AWAY - unique * HELD
+    score = np.where(unique >= min(3, n), np.round(score, 9), np.inf)
+    i, j = np.unravel_index(int(score.argmin()), score.shape)
+    if not np.isfinite(score[i, j]) or unique[i, j] < max(3, int(min(n, seen) * 0.55)):
+        return slots
+    return first[0, j, 0] + np.arange(n) * size[i, 0, 0]
+
+
+def fitted(columns: DataFrame, key: str) -> DataFrame:
+    """key, centers of each column (key: long; seen, slots: arrays of doubles) by ``centers``; the grid of
+    fits is one array a column. Null arrays are empty."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            both = zip(batch.column("seen").to_pylist(), batch.column("slots").to_pylist())
+            found = [centers(np.sort(np.array(seen or [], float)), np.array(slots or [], float)) for seen, slots in both]
+            yield pa.RecordBatch.from_arrays([batch.column(key), pa.array(found, pa.list_(pa.float64()))], [key, "centers"])
+
+    doubles = [F.col(c).cast("array<double>").alias(c) for c in ("seen", "slots")]
+    return columns.select(F.col(key).cast("long"), *doubles).mapInArrow(run, f"{key} long, centers array<double>")

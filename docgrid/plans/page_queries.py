@@ -329,27 +329,13 @@ def sheet_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
 SEEN = "select doc_id, row_idx, 172e0 + 34 * row_idx + (doc_id % 3) as y from {source} where row_idx <> doc_id % 4 union all select doc_id, 90 as row_idx, 900e0 as y from {source} where row_idx = 2 and doc_id % 5 = 0 union all select doc_id, 91, 174e0 + 34 * row_idx from {source} where row_idx = 1 and doc_id % 7 = 0"
 
 
-@query(
-    "with seen as ("
-    + SEEN.format(source="inv_line")
-    + """), s as (select doc_id, cast(max(row_idx) + 1 as int) as n from inv_line group by doc_id), o as (select doc_id, list(y order by y) as seen from seen group by doc_id),
-    d as (select doc_id, n, coalesce(seen, []) as seen, 33e0 as base from s left join o using (doc_id)),
-    even as (select doc_id, n = len(seen) and n >= 3 and coalesce(list_min(g) >= median_ * 0.55e0 and list_max(g) <= median_ * 1.45e0 and median_ >= 10, false) as even from (select doc_id, n, seen, list_transform(range(1, len(seen)), lambda i: seen[i + 1] - seen[i]) as g, list_median(list_transform(range(1, len(seen)), lambda i: seen[i + 1] - seen[i])) as median_ from d)),
-    grid as (select doc_id, n, seen, base, i, j, base * (1 - 0.15e0) + i * (base * 2 * 0.15e0 / 30) as size, 172e0 - base * 0.45e0 + j * 0.5e0 as first from d, range(0, 31) a(i), range(0, 61) b(j) where len(seen) >= 3 and n >= 2),
-    p as (select *, list_filter(list_transform(seen, lambda v: {'v': v, 'i': cast(round_even((v - first) / size, 0) as int)}), lambda q: q.i >= 0 and q.i < n) as h from grid),
-    u as (select *, len(list_distinct(list_transform(h, lambda q: q.i))) as held from p),
-    c as (select *, list_reduce(list_prepend(0e0, list_transform(h, lambda q: abs(q.v - (first + q.i * size)))), lambda a, b: a + b) / len(h) + (len(h) - held) * base * 0.35e0 + (len(seen) - len(h)) * base * 0.25e0 + abs(first - 172e0) * 0.03e0 - held * 0.02e0 as score from u where held >= least(3, n)),
-    b as (select doc_id, arg_min({'first': first, 'size': size, 'held': held}, row(round(score, 9), i, j)) as b from c group by doc_id)
-    select doc_id, array_to_string(list_transform(case when len(seen) < 3 or n < 2 then list_transform(range(0, n), lambda k: 172e0 + 33 * k) when even then seen when b.b.held >= greatest(3, cast(floor(least(n, len(seen)) * 0.55e0) as int)) then list_transform(range(0, n), lambda k: b.b.first + k * b.b.size)
-      else list_transform(range(0, n), lambda k: 172e0 + 33 * k) end, lambda c: cast(round(c * 100) as bigint)), ',') as centers from d join even using (doc_id) left join b using (doc_id)""",
-    "inv_line",
-)
+@query()
 def fitted_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     lines = _lines(spark, sf_dir)
     seen = spark.sql(SEEN.format(source="{l}"), l=lines).groupBy("doc_id").agg(F.collect_list("y").alias("seen"))
     slots = lines.groupBy("doc_id").agg((F.max("row_idx") + 1).alias("n")).select("doc_id", F.transform(F.sequence(F.lit(0), F.col("n").cast("int") - 1), lambda k: F.lit(172e0) + k * 33).alias("slots"))
-    both = slots.join(seen, "doc_id", "left").withColumn("seen", F.coalesce("seen", F.array().cast("array<double>")))
-    return both.select("doc_id", F.array_join(F.transform(geometry.fitted_centers(F.col("seen"), F.col("slots")), lambda c: F.round(c * 100).cast("long").cast("string")), ",").alias("centers"))
+    found = geometry.fitted(slots.join(seen, "doc_id", "left"), "doc_id")
+    return found.select("doc_id", F.array_join(F.transform("centers", lambda c: F.round(c * 100).cast("long").cast("string")), ",").alias("centers"))
 
 
 def _cells(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -3,12 +3,13 @@ from __future__ import annotations
 import itertools
 import random
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from docgrid.functions import dates
 from docgrid.functions import text as T
-from docgrid.operators import labels, matching, reconcile, rows
+from docgrid.operators import geometry, labels, matching, reconcile, rows
 from docgrid.streaming import sessions
 
 
@@ -181,3 +182,39 @@ def test_layouts(spark):
     body = [(3, x, 200 + 40 * i, t) for i in range(10) for x, t in ((340, f"930060513{100 + i}"), (890, str(10 + i)), (1000, "2027.09.11"), (1150, "2026.06.11"))]
     got = matching.layouts(spark.createDataFrame(heads + body, "doc_id int, xc double, yc double, text string".replace("double", "int")), 166)
     assert {tuple(r) for r in got.collect()} == {(1, "without_batch"), (2, "with_batch"), (3, "without_batch"), (4, "fixed")}
+
+
+def test_row_centers():
+    slots = np.arange(5) * 30.0 + 100
+    assert geometry.centers(np.array([101.0, 132, 160, 191, 222]), slots).tolist() == [101, 132, 160, 191, 222]
+    fit = geometry.centers(np.array([103.0, 134, 227]), slots)
+    assert np.abs(fit - (np.arange(5) * 31 + 103)).max() < 1
+    for seen in ([], [100.0, 130], [900.0, 1000, 1100]):
+        assert geometry.centers(np.array(seen), slots).tolist() == slots.tolist()
+
+
+def test_row_centers_equal_a_plain_search():
+    rng = random.Random(12)
+    for _ in range(6):
+        slots = [100.0 + 30 * k for k in range(rng.randrange(3, 7))]
+        seen = sorted(s + rng.randrange(-8, 9) + 3 * k for k, s in enumerate(slots[: rng.randrange(3, 7)]))
+        if rng.random() < 0.5:
+            seen = sorted([*seen, seen[0] + 4, 700.0])
+        n, best = len(slots), None
+        for i, j in itertools.product(range(31), range(55)):
+            size, first = 30 * 0.85 + i * 9 / 30, slots[0] - 13.5 + j * 0.5
+            placed = [(v, round((v - first) / size)) for v in seen]
+            held = [(v, k) for v, k in placed if 0 <= k < n]
+            rows_ = {k for _, k in held}
+            if len(rows_) >= min(3, n):
+                score = sum(abs(v - first - k * size) for v, k in held) / len(held) + (len(held) - len(rows_)) * 10.5 + (len(seen) - len(held)) * 7.5 + abs(first - slots[0]) * 0.03 - len(rows_) * 0.02
+                best = min(best or (9e9,), (round(score, 9), i, j, len(rows_), first, size))
+        steps = [b - a for a, b in zip(seen, seen[1:])]
+        middle = float(np.median(steps))
+        if len(seen) == n and middle >= 10 and all(0.55 * middle <= g <= 1.45 * middle for g in steps):
+            want = seen
+        elif best is None or best[3] < max(3, int(min(n, len(seen)) * 0.55)):
+            want = slots
+        else:
+            want = [best[4] + k * best[5] for k in range(n)]
+        assert np.allclose(geometry.centers(np.array(seen), np.array(slots)), want)
