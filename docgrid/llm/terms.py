@@ -15,7 +15,7 @@ from docgrid.llm.common import written
 SPACE = 1 << 20
 PREFIXES = (4, 5, 6)
 EDGES = ".,;:!?|\"'()[]<>*-_#&%/"
-_CACHE = 200_000
+_CACHE = 60_000
 
 
 class Terms:
