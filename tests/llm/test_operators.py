@@ -298,6 +298,20 @@ def test_chat(spark):
     assert one[0].text.count("</s>") == 3
 
 
+def test_chat_edges(spark):
+    schema = "conv_id long, turn long, role string, text string"
+    rows = [(1, 0, "user", "q"), (1, 0, "user", "q"), (1, 1, "assistant", "b"), (1, 1, "assistant", "a"), (2, None, None, None)]
+    rows += [(3, i, "assistant" if i % 2 else "user", "long " * 40_000 if i == 2 else str(i)) for i in range(60)]
+    talks = spark.createDataFrame(rows, schema).withColumns({c: F.lit("x") for c in ("t", "head", "example", "prior", "at")})
+    found = chat.expand(talks).collect()
+    one = sorted((r for r in found if r.conv_id == 1), key=lambda r: r.example)
+    assert [r.text[r.loss_start : r.loss_end] for r in one] == ["a", "b"]  # turns with one number go by text
+    assert one[1].text.count("]q</s>") == 2
+    assert [(r.loss_start, r.loss_end) for r in found if r.conv_id == 2] == [(None, None)]
+    assert sum(r.conv_id == 3 for r in found) == 30 and max(len(r.text) for r in found) > 200_000
+    assert chat.expand(talks.limit(0)).count() == chat.digest(chat.expand(talks.limit(0))).count() == 0
+
+
 def chat_unescape(text):
     return text.replace("&lsqb;", "[").replace("&lt;", "<").replace("&amp;", "&")
 
@@ -313,6 +327,25 @@ def test_url_filter(spark):
     assert url_filter.judge(asked, many).where("verdict = 'block'").count() == 5000
 
 
+def test_url_filter_edges(spark):
+    rules = spark.createDataFrame([("com", "/de/", "block"), ("com", "/de/", "allow"), (None, None, "block")], "host string, path string, verdict string")
+    pages = spark.createDataFrame([(i, None if i % 2 else "broken") for i in range(300)] + [(400, "http://A.com/de/" + "x" * 100_000), (401, "http://A.com/d"), (None, "http://a.com/de/")], "page_id long, url string").withColumns({c: F.lit(7) for c in ("host", "path", "rule", "key_host", "block", "w0")})
+    got = {r.page_id: (r.host, r.rule, r.verdict) for r in url_filter.judge(pages, rules).collect()}
+    assert len(got) == 303 and got[400] == got[None] == ("a.com", "com/de/", "block") and got[401] == ("a.com", None, "allow")
+    assert url_filter.judge(pages.limit(0), rules).count() == 0
+    assert {(r.rule, r.verdict) for r in url_filter.judge(pages, rules.limit(0), "block").collect()} == {(None, "block")}
+
+
+def test_toxicity_edges(spark):
+    labels = common.table(spark, SF, "labels")
+    docs = common.table(spark, SF, "documents").select("doc_id", "text").unionByName(spark.createDataFrame([(9000, "word " * 200_000), (9000, "word " * 200_000), (None, None)], "doc_id long, text string"))
+    clash = docs.withColumns({c: F.lit("kept") for c in ("label", "seq", "at")})
+    got = toxicity.scored(clash, toxicity.train(clash, labels), "odds")
+    rows = got.where("doc_id = 9000 or doc_id is null").collect()
+    assert len(rows) == 3 and {(r.label, r.seq, r.at) for r in rows} == {("kept",) * 3} and rows[0].odds == rows[1].odds
+    assert toxicity.report(docs.limit(0), labels).count() == 0 and toxicity.report(docs, labels.limit(0)).select("score").distinct().count() == 1
+
+
 def test_mixing_budgets(spark):
     leaves = spark.createDataFrame([("a", "en", "1", 10), ("a", "en", "2", 1000), ("a", "fr", "3", 5), ("b", "en", "4", 1000)], "domain string, lang string, source string, tokens long")
     got = mixing.budgets(leaves, mixing.LEVELS, {}, F.lit(800), 1)
