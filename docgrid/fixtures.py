@@ -89,7 +89,7 @@ cells as (
       when 6 then qty_text when 7 then exp_text when 8 then mfg_text else batch_text end as text
   from inv_line cross join (values (0, 95, 60), (1, 180, 40), (2, 240, 60), (3, 310, 70), (4, 400, 80), (5, 500, 90), (6, 730, 40), (7, 790, 100), (8, 910, 100), (9, 1030, 100)) f(ord, x1, w)
   union all
-  select doc_id, n + e.k, 20 + e.ord, e.x1, 40, 172 + 33 * (n + e.k) + e.dy, 0.75e0, case e.ord when 1 then cast(total as string) when 8 then 'PO ' || lpad(cast(doc_id as string), 6, '0') || ' Total' else e.text end
+  select doc_id, n + e.k, 20 + e.ord, e.x1, 40, 172 + 33 * (n + e.k) + e.dy, 0.75e0, case e.ord when 1 then cast(total as string) when 8 then 'PO' || lpad(cast(doc_id as string), 6, '0') || ' Total' else e.text end
   from n cross join (values (0, 400, 0, 0e0, 'TOTAL'), (1, 740, 0, 1e0, ''), (2, 240, 1, 0e0, 'SKU #'), (3, 400, 1, 2e0, 'Name'), (4, 740, 1, 0e0, '5'), (5, 400, 2, 0e0, 'only a name'),
     (6, 240, 30, 0e0, 'checked by'), (7, 300, 30, 3e0, 'K.'), (8, 240, 32, 0e0, ''), (9, 240, 34, 0e0, 'two boxes open')) e(ord, x1, k, dy, text)
   union all

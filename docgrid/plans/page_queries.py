@@ -32,7 +32,7 @@ CELLS = (
     CELLS
     + """, c as (select doc_id, seq // 64 - 1 as row_idx, min(score) filter (seq % 64 in (2, 3)) as c2, min(score) filter (seq % 64 = 6) as c6, min(score) filter (seq % 64 = 7) as c7, min(score) filter (seq % 64 = 8) as c8, min(score) filter (seq % 64 = 9) as c9 from sheet group by all),
     s as (select doc_id, row_idx, c6, list_transform(list_filter([c2, c6, c7, c8, c9], lambda x: x is not null), lambda x: round_even(x, 3)) as k from c)
-    select doc_id, cast(row_idx as int) as row, pallet, box, sku, name, qty, exp, mfg, batch, round_even(c6, 3) as conf_qty, coalesce(round_even(list_sum(k) / len(k), 3), 0) as row_confidence, errors from e join s using (doc_id, row_idx)""",
+    select doc_id, cast(row_idx as int) as row, pallet, box, sku, name, qty, exp, mfg, batch, round_even(c6, 3) as conf_qty, coalesce(round_even(list_sum(list_transform(k, lambda x: cast(round(x * 1000) as bigint))) / len(k), 0) / 1000, 0) as row_confidence, errors from e join s using (doc_id, row_idx)""",
     "sheet",
 )
 def page_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
