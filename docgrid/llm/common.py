@@ -3,7 +3,11 @@
 from __future__ import annotations
 
 import uuid
+from collections.abc import Iterator
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -19,6 +23,17 @@ def shared_dir(spark: SparkSession) -> str:
     return found or spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_shared"
 
 
+def slices(batch: pa.RecordBatch, column: str, most: int) -> Iterator[pa.RecordBatch]:
+    """A batch in parts of about ``most`` bytes of the string ``column``; a longer text is a part of its own."""
+    end = np.cumsum(pc.binary_length(batch.column(column)).fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64))
+    at = 0
+    while at < batch.num_rows:
+        before = int(end[at - 1]) if at else 0
+        z = max(at + 1, int(np.searchsorted(end, before + most, "right")))
+        yield batch.slice(at, z - at)
+        at = z
+
+
 def fresh(df: DataFrame, name: str) -> str:
     """A column name that ``df`` has not, with or without regard to case."""
     taken = {c.lower() for c in df.columns}

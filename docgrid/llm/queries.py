@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from docgrid.llm import chat, cotraining, decontaminate, image_copies, mixing, simhash, suffix_dedup, toxicity, url_filter, warc
+from docgrid.llm import chat, cotraining, decontaminate, image_copies, lexical, mixing, simhash, suffix_dedup, toxicity, url_filter, warc
 from docgrid.llm.common import table
 
 URL_RULES = [
@@ -65,9 +65,13 @@ def op10_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix_dedup.removal_report(table(spark, sf_dir, "documents"))
 
 
+def op12_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lexical.search(lexical.index(table(spark, sf_dir, "documents")), table(spark, sf_dir, "benchmark"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {name: f for name, f in globals().items() if name.startswith("op")}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_chat_formatting": chat.SQL, "op5_warc": warc.SQL, "op8_mixing": mixing.sql(), "op9_url_filter": url_filter.SQL}
+    return {"op2_chat_formatting": chat.SQL, "op5_warc": warc.SQL, "op8_mixing": mixing.sql(), "op9_url_filter": url_filter.SQL, "op12_lexical_search": lexical.SQL}
