@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from docgrid.llm import chat, cotraining, decontaminate, image_copies, lexical, mixing, simhash, suffix_dedup, toxicity, url_filter, warc
+from docgrid.llm import chat, cotraining, decontaminate, image_copies, lexical, mixing, simhash, suffix_dedup, token_alignment, toxicity, url_filter, warc
 from docgrid.llm.common import table
 
 URL_RULES = [
@@ -65,6 +65,10 @@ def op10_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix_dedup.removal_report(table(spark, sf_dir, "documents"))
 
 
+def op11_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_alignment.align(table(spark, sf_dir, "documents"))
+
+
 def op12_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lexical.search(lexical.index(table(spark, sf_dir, "documents")), table(spark, sf_dir, "benchmark"))
 
