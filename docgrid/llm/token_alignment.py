@@ -20,6 +20,7 @@ import json
 import re
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
+from functools import cache
 
 import duckdb
 import numpy as np
@@ -33,10 +34,14 @@ from pyspark.sql import functions as F
 
 from docgrid.llm.common import slices, written
 
-PART_BYTES = 8 << 20
+PART_BYTES = 4 << 20
 #: Words are encoded in runs of about so many characters.
 RUN = 1 << 13
-#: Ids of the second tokenizer are below this, so that a pair of ids is one number.
+#: Words of more bytes are joined by their ranges alone.
+LONG = 1 << 12
+#: Groups of more links are counted by id before their tokens are paired.
+WIDE_GROUP = 1 << 10
+#: Ids are below this, so that a pair of ids is one number.
 WIDE = 1 << 16
 TOKENIZERS = "/opt/tokenizers"
 # Fixed value: the pattern by which the byte-level tokenizer cuts texts before its merges.
@@ -162,6 +167,12 @@ class Words:
     odd: np.ndarray
 
 
+@cache
+def _marks() -> np.ndarray:
+    """An id after a new group of its word, before its group's second side, within a side, and at a word's start."""
+    return np.array([f"{sep}{i}" for sep in (";", "|", ",", "") for i in range(WIDE)], object)
+
+
 def aligned(words: list[str], a: Coder, b: Coder) -> Words:
     """The words' tokens, aligned by DuckDB."""
     sizes = np.array([len(w.encode()) + 1 for w in words], np.int64)
@@ -170,35 +181,46 @@ def aligned(words: list[str], a: Coder, b: Coder) -> Words:
     odd = np.zeros(len(words), bool)
     odd[a_odd], odd[b_odd] = True, True
 
+    size_kind = np.int32 if sizes.sum() < 1 << 31 else np.int64
+    long = sizes > LONG
+
     def table(ids: np.ndarray, ends: np.ndarray, coder: Coder) -> pa.Table:
         begin = ends - np.array([len(p) for p in coder.pieces])[ids]
         word = np.searchsorted(line, begin, "right")
         keep = ~odd[word]
-        return pa.table({"s": begin[keep], "e": ends[keep], "id": ids[keep], "word": word[keep]})
+        return pa.table({"s": begin[keep].astype(size_kind), "e": ends[keep].astype(size_kind), "id": ids[keep].astype(np.int32), "word": word[keep].astype(np.int32), "long": long[word[keep]]})
 
-    with duckdb.connect(":memory:", config={"threads": 1, "memory_limit": "400MB", "temp_directory": ""}) as db:
+    with duckdb.connect(":memory:", config={"threads": 1, "memory_limit": "1GB", "temp_directory": ""}) as db:
         db.register("a", table(a_ids, a_ends, a))
         db.register("b", table(b_ids, b_ends, b))
         db.execute("""create temp table ga as
-          select s, e, id, word, coalesce(sum(cast(common as bigint)) over (order by s rows between unbounded preceding and 1 preceding), 0) as g
+          select s, e, id, word, long, coalesce(sum(cast(common as int)) over (order by s rows between unbounded preceding and 1 preceding), 0)::int as g
           from (select a.*, coalesce(b.e = a.e, false) as common from a asof left join b on a.e >= b.e)""")
-        db.execute("create temp table spans as select g, min(s) as s, max(e) as e, any_value(word) as word from ga group by g")
-        db.execute("create temp table gb as select b.s, b.id, b.word, spans.g from b join spans on b.s >= spans.s and b.s < spans.e")
-        rows = db.execute("select word, g, 0 as side, s, id from ga union all select word, g, 1, s, id from gb order by g, side, s").fetchnumpy()
-        links = db.execute(f"""
-          select word, x.id * {WIDE} + y.id as pair, cast(sum(x.n * y.n) as bigint) as times
-          from (select g, id, any_value(word) as word, count(*) as n from ga group by g, id) x
-          join (select g, id, count(*) as n from gb group by g, id) y using (g)
-          group by word, pair order by word, pair""").fetchnumpy()
-        rows, links = ({c: np.asarray(x, np.int64) for c, x in t.items()} for t in (rows, links))
+        db.execute("create temp table spans as select g, min(s) as s, max(e) as e, any_value(word) as word, any_value(long) as long from ga group by g")
+        # words are short, so a word's tokens and groups are few; within the long ones the ranges alone decide
+        db.execute("create temp table gb as select b.s, b.id, b.word, spans.g from b join spans on b.word = spans.word and b.s >= spans.s and b.s < spans.e where not b.long and not spans.long")
+        if long.any():
+            db.execute("insert into gb select b.s, b.id, b.word, x.g from (select * from b where long) b join (select * from spans where long) x on b.s >= x.s and b.s < x.e")
+        db.execute(f"create temp table wide as select g from (select g, count(*) as n from ga group by g having n > 8) join (select g, count(*) as m from gb group by g having m > 8) using (g) where n * m > {WIDE_GROUP}")
+        first, second = (db.execute(f"select word, g, id from {t} order by s").fetchnumpy() for t in ("ga", "gb"))
+        links = [db.execute(f"select x.word, x.id::bigint * {WIDE} + y.id as pair, 1::bigint as times from ga x join gb y using (g) where g not in (from wide)").fetchnumpy()]
+        if db.execute("select count(*) from wide").fetchone()[0]:  # ids are counted before they meet
+            links.append(db.execute(f"""select x.word, x.id::bigint * {WIDE} + y.id as pair, (x.n * y.n)::bigint as times
+              from (select g, id, any_value(word) as word, count(*) as n from ga where g in (from wide) group by g, id) x
+              join (select g, id, count(*) as n from gb where g in (from wide) group by g, id) y using (g)""").fetchnumpy())
+    both = {c: np.concatenate([np.asarray(t[c], np.int64) for t in (first, second)]) for c in ("word", "g", "id")}
+    both["side"] = np.repeat([0, 1], [len(first["g"]), len(second["g"])])
+    order = np.argsort(both["g"] * 2 + both["side"], kind="stable")
+    rows = {c: x[order] for c, x in both.items()}
+    links = {c: np.concatenate([np.asarray(t[c], np.int64) for t in links]) for c in ("word", "pair", "times")}
+    order = np.argsort(links["word"], kind="stable")
+    links = {c: x[order] for c, x in links.items()}
     n = len(words)
     word, side, ids = rows["word"], rows["side"], rows["id"]
     new_group = np.diff(rows["g"], prepend=-1) != 0
     new_word = np.diff(word, prepend=-1) != 0
     kind = np.where(new_group, np.where(new_word, 3, 0), np.where(np.diff(side, prepend=0) != 0, 1, 2))
-    most = int(ids.max(initial=0)) + 1
-    marks = np.array([f"{sep}{i}" for sep in (";", "|", ",", "") for i in range(most)], object)
-    told = marks[kind * most + ids].tolist()
+    told = _marks()[kind * WIDE + ids].tolist()
     start = np.searchsorted(word, np.arange(n + 1))
     count = lambda of, weights=None: np.bincount(of, weights, n).astype(np.int64)
     return Words(
