@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import uuid
 from collections.abc import Iterator
+from contextlib import contextmanager
+from contextvars import ContextVar
 
 import numpy as np
 import pyarrow as pa
@@ -70,8 +72,19 @@ def new_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
 
 
-#: The tables that this process has written, in order.
-_TABLES: list[str] = []
+#: The tables that ``written`` makes within ``collected``, for the run that asked; other runs have lists of their own.
+_OWN: ContextVar[list[str] | None] = ContextVar("own tables", default=None)
+
+
+@contextmanager
+def collected() -> Iterator[list[str]]:
+    """The paths of the tables that ``written`` makes inside, in order."""
+    own: list[str] = []
+    token = _OWN.set(own)
+    try:
+        yield own
+    finally:
+        _OWN.reset(token)
 
 
 def written(df: DataFrame, name: str) -> DataFrame:
@@ -81,16 +94,13 @@ def written(df: DataFrame, name: str) -> DataFrame:
     ``release``, as results that are not yet read may need it."""
     spark = df.sparkSession
     path = new_path(spark, name)
-    _TABLES.append(path)
+    own = _OWN.get()
+    if own is not None:
+        own.append(path)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
-def tables() -> list[str]:
-    """The tables that ``written`` made and ``release`` has not removed."""
-    return list(_TABLES)
-
-
 def release(spark: SparkSession, paths: list[str]) -> None:
     """Removes tables of ``written`` that nothing will read any more."""
     jvm = spark.sparkContext._jvm
@@ -98,7 +108,6 @@ def release(spark: SparkSession, paths: list[str]) -> None:
     for path in paths:
         where = jvm.org.apache.hadoop.fs.Path(path)
         where.getFileSystem(conf).delete(where, True)
-        _TABLES.remove(path)
 
 
 def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:

@@ -58,7 +58,7 @@ def _postings(texts: pa.Array) -> tuple[np.ndarray, pa.Array, np.ndarray, np.nda
     return np.bincount(doc, minlength=len(texts)), coded.dictionary, starts, code % n, counts
 
 
-def index(docs: DataFrame) -> DataFrame:
+def index(docs: DataFrame, shard: int = SHARD_BYTES) -> DataFrame:
     """The written index: a row (shard, term, docs, counts) for each term of a shard, docs being numbers
     within the shard, and a row without a term for the shard's ids and its documents' numbers of terms.
 
@@ -69,7 +69,7 @@ def index(docs: DataFrame) -> DataFrame:
         number = TaskContext.get().partitionId() << 32
         ints = lambda starts, values: pa.ListArray.from_arrays(pa.array(starts, pa.int32()), pa.array(values, pa.int32()))
         for batch in batches:
-            for part in slices(batch, "text", SHARD_BYTES):
+            for part in slices(batch, "text", shard):
                 lengths, terms, starts, doc, counts = _postings(part.column("text"))
                 ids = pa.array([part.column("doc_id").to_pylist()], pa.list_(pa.int64()))
                 rows = [pa.array([number]), pa.nulls(1, pa.string()), pa.nulls(1, pa.list_(pa.int32())), ints([0, len(lengths)], lengths), ids]

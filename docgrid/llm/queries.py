@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from docgrid.llm import chat, cotraining, decontaminate, image_copies, lexical, mixing, simhash, suffix_dedup, token_alignment, toxicity, url_filter, warc
+from docgrid.llm import chat, cotraining, decontaminate, hyperminhash, image_copies, lexical, mixing, simhash, suffix_dedup, token_alignment, toxicity, url_filter, warc
 from docgrid.llm.common import table
 
 URL_RULES = [
@@ -73,6 +73,10 @@ def op12_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lexical.search(lexical.index(table(spark, sf_dir, "documents")), table(spark, sf_dir, "benchmark"))
 
 
+def op13_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return hyperminhash.classes(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {name: f for name, f in globals().items() if name.startswith("op")}
 

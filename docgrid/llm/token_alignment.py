@@ -59,7 +59,7 @@ class Coder:
     pieces: list[bytes]
 
     def tokens(self, words: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Of words that each follow a space: all ids, each one's end on the line of bytes of all words, and the
+        """Of words (not empty) that each follow a space: all ids, each one's end on the line of bytes of all words, and the
         numbers of words whose tokens' bytes differ from the word (these have no tokens)."""
         ids: list[np.ndarray] = []
         ends: list[np.ndarray] = []
@@ -88,6 +88,8 @@ class Coder:
             while last < len(words) and n < RUN:
                 n += len(words[last]) + 1
                 last += 1
+                if words[last - 1][-1].isspace():  # what follows it would not begin a token
+                    break
             run(at, last)
             at = last
         none = [np.zeros(0, np.int64)]
@@ -268,13 +270,13 @@ def _part(texts: pa.Array, a: Coder, b: Coder) -> tuple[dict[str, np.ndarray | l
     return out, pairs, held
 
 
-def _parts(docs: DataFrame, a_path: str, b_path: str) -> DataFrame:
+def _parts(docs: DataFrame, a_path: str, b_path: str, part_bytes: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         a, b = byte_level(a_path), pieced(b_path)
         number = TaskContext.get().partitionId() << 32
         kinds = {"n_a": pa.int64(), "n_b": pa.int64(), "n_groups": pa.int64(), "n_links": pa.int64(), "groups_sha256": pa.string(), "pairs": pa.binary(), "times": pa.binary()}
         for batch in batches:
-            for part in slices(batch, "text", PART_BYTES):
+            for part in slices(batch, "text", part_bytes):
                 n = part.num_rows
                 rows, pairs, held = _part(part.column("text"), a, b)
                 lists = [pa.nulls(n, pa.list_(pa.int64())), pa.nulls(n, pa.list_(pa.int32()))]
@@ -295,14 +297,14 @@ def pair_counts(parts: DataFrame) -> DataFrame:
     return counts.join(top, "a").select("pair", "count", (F.col("count") == F.col("top")).alias("best"))
 
 
-def align(docs: DataFrame, a_path: str = f"{TOKENIZERS}/byte_bpe_50k.json", b_path: str = f"{TOKENIZERS}/piece_bpe_32k.model") -> DataFrame:
+def align(docs: DataFrame, a_path: str = f"{TOKENIZERS}/byte_bpe_50k.json", b_path: str = f"{TOKENIZERS}/piece_bpe_32k.model", part_bytes: int = PART_BYTES) -> DataFrame:
     """doc_id, n_a, n_b, n_groups, n_links, n_best, count_sum, groups_sha256 of each row of ``docs``.
 
     A space stands before each text. Null and empty texts, and texts that the tokens of either side do not
     spell again, have no tokens: zeros and ''. Rows repeated in ``docs`` count as documents of their own; a null
     doc_id is kept; other columns are ignored; an empty table gives an empty result. The files are read by
     tasks and must be at ``a_path`` and ``b_path`` on each executor."""
-    parts = _parts(docs, a_path, b_path)
+    parts = _parts(docs, a_path, b_path, part_bytes)
     at = parts.where("pair is not null").select("part", F.posexplode("pair").alias("at", "pair"))
     known = at.join(pair_counts(parts), "pair").select(F.col("part").alias("of"), "at", "count", "best")
     schema = "doc_id long, n_a long, n_b long, n_groups long, n_links long, n_best long, count_sum long, groups_sha256 string"
