@@ -34,7 +34,7 @@ PERCENT = 85
 BUCKETS, MANTISSA, BAND = 512, 4, 8
 SIGMAS = 5.0
 BLOCK = 1024
-BATCH_BYTES = 4 << 20
+BATCH_BYTES = 1 << 20
 _ZEROS = (1 << (8 - MANTISSA)) - 1  # the most leading zeros that a register tells
 _BITS = int(math.log2(BUCKETS))
 _ORDER = np.random.default_rng(13).permutation(np.arange(1, BUCKETS))
@@ -164,7 +164,7 @@ def _sets(docs: DataFrame, rids: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
-            for batch in slices(whole, "text", BATCH_BYTES // 4):
+            for batch in slices(whole, "text", BATCH_BYTES):
                 found, starts = shingle_sets(batch.column("text"))
                 sets = [found[i:j] for i, j in zip(starts[:-1].tolist(), starts[1:].tolist())]
                 yield pa.RecordBatch.from_arrays([pa.array(map(_fp, sets), pa.int64()), pa.array([s.tobytes() for s in sets], pa.binary())], ["fp", "items"])
