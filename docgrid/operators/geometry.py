@@ -9,6 +9,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from docgrid.operators.matching import nearest
+
 # Shares of the spacing within which gaps are regular and a fit may lie, and what a fit pays for.
 EVEN = (0.55, 1.45)
 SPACINGS, STRETCH, SHIFT, STEP = 31, 0.15, 0.45, 0.5
@@ -36,9 +38,9 @@ def spacing(lines: DataFrame, key: str, place: str) -> DataFrame:
 
 
 def nearest_line(lines: DataFrame, targets: DataFrame, key: str, place: str, target: str) -> DataFrame:
-    """key, target, line: the place nearest to each target, the smaller of equals; lines of a key are few."""
-    off = F.abs(F.col(place) - F.col(target))
-    return lines.join(targets, key).groupBy(key, target).agg(F.min(F.struct(off, F.col(place).alias("line")))["line"].alias("line"))
+    """key, target, line: the place nearest to each target, the smaller of equals."""
+    wanted = targets.select(key, target).distinct()
+    return nearest(wanted, lines, [key], target, place, [place]).where("near is not null").select(key, target, F.col(f"near.{place}").alias("line"))
 
 
 def edge_at(ends: DataFrame, key: str, least: int = 4) -> DataFrame:

@@ -8,17 +8,18 @@ from pyspark.sql import functions as F
 from docgrid.functions.text import confusable, let
 from docgrid.operators.matching import reconciled_label_batch
 
-# The patterns of dates, times and labels.
+# The patterns of dates, times and labels. Digits, white space and words are those of all scripts.
 YEAR = r"((?:19|20|21)\d{2})(?!\d)"
-DATE = r"(?<!\d)(\d{1,2})\s*(?:[./-]|\s+)\s*(\d{1,2})\s*(?:[./-]|\s+)\s*" + YEAR
-COMPACT = r"(?<!\d)(\d{2})(\d{2})\s*[./-]\s*" + YEAR
-TIME = r"(?<!\d)(?:[01]?\d|2[0-3])\s*[:.]\s*[0-5]\d(?::[0-5]\d)?(?!\d)"
-LEADING_TIME = r"^\s*(?:[01]?\d|2[0-3])\s*[:.]\s*[0-5]\d(?::[0-5]\d)?\s+"
+DATE = r"(?U)(?<!\d)(\d{1,2})\s*(?:[./-]|\s+)\s*(\d{1,2})\s*(?:[./-]|\s+)\s*" + YEAR
+COMPACT = r"(?U)(?<!\d)(\d{2})(\d{2})\s*[./-]\s*" + YEAR
+TIME = r"(?U)(?<!\d)(?:[01]?\d|2[0-3])\s*[:.]\s*[0-5]\d(?::[0-5]\d)?(?!\d)"
+LEADING_TIME = r"(?U)^\s*(?:[01]?\d|2[0-3])\s*[:.]\s*[0-5]\d(?::[0-5]\d)?\s+"
 MADE = r"MFG|MFD|MAN|MANUFACTURE|MANUFACTURING|PROD|PRODUCED|PRODUCTION"
 EXPIRES = r"EXP|EXPIRY|EXPIRATION|BBE|USE\s+BY|BEST\s+BEFORE"
 BATCH = r"(?i)\b(?:LOT|BATCH)(?:\s*(?:NO|NUMBER|CODE))?\s*[:#-]?\s*"
 PROSE = r"(?i)\b(?:DATE|DD|MM|YYYY|DLD|REG|TRADEMARK|WEBSITE|WWW|BEST|BEFORE|MANUFACTURING|EXPIRY|EXPIRATION)\b"
 FIELDS = ["manufacture_at", "expire_at", "batch"]
+WIDE_DIGITS = "０１２３４５６７８９"
 REACH = 48
 FAR = 1 << 20
 
@@ -41,7 +42,7 @@ def _matches(line: Column, pattern: str) -> Column:
     """value (date or null), role (manufacture, expire, unknown) of each match of a date's pattern."""
 
     def one(raw: Column, start: Column) -> Column:
-        part = lambda n: F.regexp_extract(raw, pattern, n)
+        part = lambda n: F.translate(F.regexp_extract(raw, pattern, n), WIDE_DIGITS, "0123456789")
         value = F.try_to_date(F.concat_ws("-", part(3), F.lpad(part(2), 2, "0"), F.lpad(part(1), 2, "0")), "yyyy-MM-dd")
         gaps = F.struct(*[_gap(line, start, start + F.length(raw), names).alias(k) for k, names in (("made", MADE), ("ends", EXPIRES))])
         role = let(gaps, lambda g: F.when(g["made"] < g["ends"], "manufacture").when(g["ends"] < g["made"], "expire").otherwise("unknown"))

@@ -56,14 +56,32 @@ def column_of(xc: Column, layout: list[tuple[str, int, int]] = LAYOUT) -> Column
     return out
 
 
+def nearest(items: DataFrame, slots: DataFrame, keys: list[str], place: str, center: str, slot: list[str]) -> DataFrame:
+    """``items`` with ``near``: of the slots of the same keys the one whose ``center`` is nearest to the item's
+    ``place``, as a struct of gap and the columns ``slot``; of equally near ones the first by these columns. Items of keys without
+    slots, or without a place, have null; slots without a center count for none.
+
+    Items and slots are one table, sorted by height in each group of keys: of the slots below the nearest is the last
+    one seen on the way up, and of those above the last on the way down. No item meets more than these two."""
+    held, at = [f"_{c}" for c in slot], F.col("_at")
+    marks = slots.where(F.col(center).isNotNull()).select(*keys, F.col(center).cast("double").alias("_at"), F.struct(*[F.col(c).alias(h) for c, h in zip(slot, held)]).alias("_slot"))
+    both = items.withColumn("_at", F.col(place).cast("double")).unionByName(marks, allowMissingColumns=True)
+
+    def beside(order: Column) -> Column:
+        # of slots at one height the first comes last, and slots come before items
+        w = Window.partitionBy(*keys).orderBy(order, F.col("_slot").isNull(), F.col("_slot").desc()).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+        return F.last(F.when(F.col("_slot").isNotNull(), F.struct("_at", "_slot")), ignorenulls=True).over(w)
+
+    found = both.withColumn("_below", beside(at.asc())).withColumn("_above", beside(at.desc())).where("_slot is null")
+    side = lambda c: F.when(F.col(c).isNotNull() & at.isNotNull(), F.struct(F.abs(at - F.col(f"{c}._at")).alias("gap"), *[F.col(f"{c}._slot.{h}").alias(n) for n, h in zip(slot, held)]))
+    return found.withColumn("near", F.array_min(F.array_compact(F.array(side("_below"), side("_above"))))).drop("_at", "_slot", "_below", "_above")
+
+
 def nearest_slot(items: DataFrame, slots: DataFrame, tolerance: Column) -> DataFrame:
     """Each item (doc_id, seq, yc) with the slot (doc_id, slot, center) nearest to it, the
-    first of equals, if it is within ``tolerance`` (a column of the joined rows); slots
-    of a document are few, and documents are dealt by id."""
-    gap = F.abs(F.col("yc") - F.col("center"))
-    joined = items.join(slots, "doc_id").withColumn("gap", gap).where(F.col("gap") <= tolerance)
-    best = joined.groupBy("doc_id", "seq").agg(F.min(F.struct("gap", "slot")).alias("best"))
-    return best.select("doc_id", "seq", F.col("best.slot").alias("slot"), F.col("best.gap").alias("gap"))
+    first of equals, if it is within ``tolerance`` (a column of the item)."""
+    found = nearest(items, slots, ["doc_id"], "yc", "center", ["slot"])
+    return found.where(F.col("near.gap") <= tolerance).select("doc_id", "seq", "near.slot", "near.gap")
 
 
 def document_total(items: DataFrame, reach: float = 32.0) -> DataFrame:

@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Mapping
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
 from docgrid.functions import text as T
+from docgrid.operators import labels
 
 # Bounds of lists and of exported texts, scores below which a reading is doubted, words of the sheet.
 MOST_ITEMS, MOST_CHARACTERS, MOST_ROWS = 50, 64, 500
@@ -18,14 +19,34 @@ CHECKED, UNCHECKED = "已勾选", "未勾选"
 REQUIRED = ["sku", "qty"]
 
 
-def listed(value: Column) -> Column:
+def _whole_json(value: Column) -> Column:
+    """Whether a text is one JSON value from end to end. The parser is content with a valid beginning, so the text must
+    have the shape of a single value, and be the only item of an array and the only field of an object."""
+    shaped = F.trim(value).rlike(r"(?s)^(?:\[.*\]|\{.*\}|\"(?:[^\"\\]|\\.)*\"|-?(?:0|[1-9]\d*)(?:\.\d+)?(?:[eE][+-]?\d+)?|true|false|null)$")
+    item = F.try_variant_get(F.try_parse_json(F.concat(F.lit("["), value, F.lit("]"))), "$", "array<variant>")
+    field = F.try_variant_get(F.try_parse_json(F.concat(F.lit('{"a":'), value, F.lit("}"))), "$", "map<string,variant>")
+    return F.coalesce(shaped & (F.size(item) == 1) & (F.size(field) == 1), F.lit(False))
+
+
+def listed(value: Column, between: str = r"[\s,，;；]+") -> Column:
     """Array of texts from JSON or, where it is none, from text with white space, commas or
     semicolons between; null for JSON that is no list; empty for null and blank."""
     blank = F.trim(F.coalesce(value, F.lit(""))) == ""
-    json = F.try_parse_json(value)
-    kind = F.schema_of_variant(json)
-    parts = F.split(value, r"[\s,，;；]+")
-    return F.when(blank, F.array().cast("array<string>")).when(json.isNull(), parts).when(kind.startswith("ARRAY"), F.from_json(value, "array<string>"))
+    parts = F.split(value, between)
+    array = F.trim(value).startswith("[")
+    return F.when(blank, F.array().cast("array<string>")).when(~_whole_json(value), parts).when(array, F.from_json(value, "array<string>"))
+
+
+def required_list(value: Column) -> Column:
+    """Struct of fields (each once, in the order asked) and problem (``required`` for none, ``not_a_list``,
+    ``unsupported: `` and the first unknown name, or null; with a problem fields is null)."""
+
+    def checked(asked: Column) -> Column:
+        unknown = F.get(F.filter(asked, lambda f: ~f.isin(labels.FIELDS)), F.lit(0))
+        problem = F.when(asked.isNull(), "not_a_list").when(unknown.isNotNull(), F.concat(F.lit("unsupported: "), unknown)).when(F.size(asked) == 0, "required")
+        return F.struct(F.when(problem.isNull(), F.array_distinct(asked)).alias("fields"), problem.alias("problem"))
+
+    return T.let(F.transform(listed(F.trim(value), r"[\s,;]+"), lambda x: F.trim(F.coalesce(x, F.lit("None")))), checked)
 
 
 def batch_list(value: Column) -> Column:
@@ -156,3 +177,44 @@ def compared(actual: Column, expected: Column) -> Column:
 def part_of(group: Column, parts: int = 10, held: int = 1) -> Column:
     """train or validation, the same for all rows of a group."""
     return F.when(F.conv(F.substring(F.md5(group.cast("string")), 1, 8), 16, 10).cast("long") % parts < held, "validation").otherwise("train")
+
+
+# The sheet's title and labels, and what stands for a sum that is not sure.
+TITLE, LABELS, OPEN_SUM = "入库单核实明细", ("PO 号", "明细合计", "单据合计", "备注"), "待核实"
+
+
+def sheet_sections(lines: DataFrame) -> DataFrame:
+    """doc_id, section (title, order, note, line), ordinal (the sheet's row), cells (texts of the row's columns, in order) of lines
+    (doc_id, row_idx, po_no, note, document_total, qty: number or null, qty_marked, values: array of texts).
+
+    Sums and lines come from one aggregation over two grouping sets; the sum of a document with a marked quantity is not
+    sure. Sorted by document and row, as files of ranges of documents."""
+    whole = F.grouping("row_idx") == 1
+    figures = lines.groupingSets([["doc_id", "row_idx"], ["doc_id"]], "doc_id", "row_idx").agg(
+        whole.alias("whole"), F.first("values").alias("values"), F.max("po_no").alias("po_no"), F.max("note").alias("note"), F.max("document_total").alias("document_total"), F.sum("qty").alias("sum"), F.bool_or("qty_marked").alias("open")
+    )
+    plain = lambda c: F.coalesce(c.cast("string"), F.lit(""))
+    total = F.when(F.col("open"), F.lit(OPEN_SUM)).otherwise(plain(F.col("sum")))
+    po, summed, printed, note = map(F.lit, LABELS)
+    row = lambda section, at, *texts: F.struct(F.lit(section).alias("section"), at.cast("long").alias("ordinal"), F.array(*texts).alias("cells"))
+    head = F.array(row("title", F.lit(1), F.lit(TITLE)), row("order", F.lit(2), po, plain(F.col("po_no")), summed, total, printed, plain(F.col("document_total"))), row("note", F.lit(3), note, plain(F.col("note"))))
+    line = F.array(F.struct(F.lit("line").alias("section"), (F.col("row_idx") + 6).cast("long").alias("ordinal"), F.concat(F.array((F.col("row_idx") + 1).cast("string")), F.col("values")).alias("cells")))
+    out = figures.select("doc_id", F.explode(F.when(F.col("whole"), head).otherwise(line)).alias("r")).select("doc_id", "r.*")
+    return out.repartitionByRange("doc_id").sortWithinPartitions("doc_id", "ordinal")
+
+
+def accuracy(cases: DataFrame, by: str) -> DataFrame:
+    """By group: cases, right, expected (numbers), exact (share right), complete (cases with all rows), median_ms (exact) of compared
+    cases (``by``, right, missing_or_extra, n_expected, elapsed_ms)."""
+    return cases.groupBy(by).agg(
+        F.count("*").alias("cases"), F.sum("right").cast("long").alias("right"), F.sum("n_expected").cast("long").alias("expected"), (F.sum("right") / F.sum("n_expected")).alias("exact"),
+        F.count_if(F.col("missing_or_extra") == 0).alias("complete"), F.median("elapsed_ms").alias("median_ms"),
+    )
+
+
+def write_report(cases: DataFrame, by: str, path: str) -> dict[str, int]:
+    """Writes ``accuracy`` as JSON below ``path``; the numbers of cases, of right and of expected numbers are taken on the way."""
+    seen = Observation("cases")
+    watched = cases.observe(seen, F.count("*").alias("cases"), F.sum("right").cast("long").alias("right"), F.sum("n_expected").cast("long").alias("expected"))
+    accuracy(watched, by).write.mode("overwrite").json(path)
+    return seen.get

@@ -2,13 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from docgrid.fixtures import fixture
 from docgrid.functions import text as T
-from docgrid.operators import cells, geometry, labels, matching, pages, review, rows
-from docgrid.plans.queries import ALLOWED, SKU, _alnum, _clean, _date_ok, _digits, _gtin, _lines, _regroup, _tick, _with_allowed, query
+from docgrid.operators import cells, enhanced, geometry, labels, matching, pages, review, rows
+from docgrid.plans.queries import ALLOWED, SKU, TOTALS, _alnum, _clean, _date_ok, _digits, _gtin, _lines, _regroup, _tick, _with_allowed, _year_sql, query
 
 
 def _sheet(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -339,8 +339,8 @@ def fitted_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _cells(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The page's fragments of each cell with a stray one below in some, and candidates: the true text from
-    the cell, and from the column, in two parts, in every third row."""
+    """The page's fragments of each cell with a stray one below in some, and two rounds of candidates: the true text from
+    the cell, then from the column, in two parts and with a stray one above, in every third row."""
     c = F.col
     items = fixture(spark, sf_dir, "fragment").join(_lines(spark, sf_dir).select("doc_id", "row_idx", "h", "qty_true", "sku_true", "exp_true", "mfg_true", "batch_true", T.normalized("box", c("box_text")).alias("box")), ["doc_id", "row_idx"])
     true = F.coalesce(*[F.when(c("field") == f, c(f"{f}_true").cast("string")) for f in ("qty", "sku", "exp", "mfg", "batch")], c("text"))
@@ -351,7 +351,7 @@ def _cells(spark: SparkSession, sf_dir: str) -> DataFrame:
     column = F.array(at(F.substring(true, 1, 2), second - 0.25, "column"), at(F.substring(true, F.lit(3), F.length(true)), second - 0.125, "column", 20.0, 1.0), at(F.lit("55"), F.lit(0.9), "column", 2.0, -12.0))
     some = F.when(c("h") % 3 == 0, column).otherwise(F.array().cast(f"array<{cells.FRAGMENT}>"))
     middle = F.coalesce(*[F.when(c("field") == f, (a + b) / 2) for f, a, b in matching.LAYOUT])
-    return items.select("doc_id", "row_idx", "field", "h", "box", page.alias("page"), F.concat(F.array(at(true, second, "cell")), F.filter(some, lambda f: f["text"] != "")).alias("candidates"), (F.lit(172e0) + F.lit(33) * c("row_idx")).alias("target_y"), middle.alias("target_x"))
+    return items.select("doc_id", "row_idx", "field", "h", "box", page.alias("page"), F.array(at(true, second, "cell")).alias("first"), F.filter(some, lambda f: f["text"] != "").alias("second"), (F.lit(172e0) + F.lit(33) * c("row_idx")).alias("target_y"), middle.alias("target_x"))
 
 
 FORMS = {"pallet": "regexp_replace({0}, '\\s+', '', 'g')", "qty": _digits("{0}"), "box": _digits("{0}"), "batch": _alnum("{0}")}
@@ -391,31 +391,126 @@ def column_fallbacks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cells.fallback_fields(found)
 
 
-@query(
+# What a round of candidates does to cells: from s<k-1> (state) and o<k> (offers, normalized) to s<k>.
+ROUND = """, a{k} as (select s.*, s.field in ('pallet', 'box') as num, list_filter(known, lambda x: x.source = 'page') as kp, o.doc_id is not null as got from s{p} s left join (select distinct doc_id, row_idx, field from o{k}) o using (doc_id, row_idx, field)),
+    b{k} as (select *, case when num and len(known) > 0 then coalesce(kp[1].text, '') else text end as ptext, case when num and len(known) > 0 then kp[1].score else score end as pscore from a{k}),
+    c{k} as (select *, got and not (num and {pvalid} and coalesce(pscore >= {sure}, false)) as acts from b{k}),
+    d{k} as (select doc_id, row_idx, field, 0 as pos, 'page' as source, ptext as text, coalesce(pscore, 0e0) as score from c{k} where acts and ptext <> ''
+      union all select doc_id, row_idx, field, 1, u.source, u.text, u.score from (select doc_id, row_idx, field, unnest(known) as u from c{k} where acts and field in ('sku', 'pallet', 'box')) where u.source <> 'page'
+      union all select o.doc_id, o.row_idx, o.field, 10 + pos, source, o.text, o.score from o{k} o join c{k} using (doc_id, row_idx, field) where acts and o.text <> '' and field <> 'batch'),
+    e{k} as (select *, {valid} as good from d{k} where field <> 'batch'),
+    w{k} as (select * from e{k} where good or field not in ('sku', 'qty')),
+    l{k} as (select doc_id, row_idx, field, list({{'source': source, 'text': text, 'score': score}} order by pos) as known, arg_max(text, row(score, -pos)) filter (score >= 0.3e0) as bt, max(score) filter (score >= 0.3e0) as bs from w{k} group by all),
+    g{k} as (select doc_id, row_idx, field, text, count(*) as n, max(score) as best, max((source = 'page')::int) as page, min(pos) as pos from w{k} where good group by all),
+    v{k} as (select doc_id, row_idx, field, arg_max({{'t': text, 'b': best, 'n': n}}, row(n, page, best, -pos)) as w, arg_max({{'t': text, 'b': best, 'n': n}}, row(n, best, -pos)) as q, list_reverse_sort(list(n)) as ns, count(*) as texts, max(best) as top, count(distinct length(text)) as sizes, max(length(text)) as size, count(distinct substr(text, 2)) as ends, min(substr(text, 2)) as e from g{k} group by doc_id, row_idx, field),
+    x{k} as (select c.*, v.* exclude (doc_id, row_idx, field), l.known as k2, bt, bs, g.n as xn, g.best as xb, g.text as xt, o.text as ot, o.score as os, {pvalid} as pok from c{k} c left join v{k} v using (doc_id, row_idx, field) left join l{k} l using (doc_id, row_idx, field)
+      left join g{k} g on c.field = 'qty' and g.doc_id = c.doc_id and g.row_idx = c.row_idx and g.field = 'qty' and g.text = c.box left join (select * from o{k} where field = 'batch') o on c.field = 'batch' and o.doc_id = c.doc_id and o.row_idx = c.row_idx),
+    y{k} as (select *, field = 'qty' and texts > 1 and sizes = 1 and size >= 3 and ends = 1 and top < 0.85e0 as common, field = 'qty' and coalesce(xn = q.n and xb >= q.b - 0.05e0 - 1e-9, false) as boxed, field = 'sku' and pok and length(w.t) < length(ptext) as keeps,
+      field = 'batch' and coalesce(ot <> '' and os >= 0.3e0 and case when text = '' then true when {nok} <> {cok} then {nok} when {nok} then score is null or os >= score - 0.05e0 else score is null or os > score end, false) as swaps from x{k}),
+    z{k} as (select *, case when common then e when boxed then xt when field = 'qty' then q.t when keeps then ptext else w.t end as ct, case when common then top when boxed then xb when field = 'qty' then q.b when keeps then pscore else w.b end as cs,
+      case when field = 'sku' then keeps or (len(ns) > 1 and ns[1] = ns[2]) else texts > 1 end as amb from y{k}),
+    s{k} as (select doc_id, row_idx, field, box, h, case when swaps then ot when not acts then text when ct is not null then ct when num and bt is not null then bt else text end as text,
+      case when swaps then os when not acts then score when ct is not null then cs when num and bt is not null then bs else score end as score, case when acts and k2 is not null and field <> 'batch' then k2 else known end as known,
+      case when not acts or field = 'batch' then reason when coalesce(amb, false) then 'model_disagreement' when num or field = 'sku' then null else reason end as reason from z{k})"""
+
+
+def _round(k: int, p: str = "0") -> str:
+    at = lambda t: VALID.replace("text", t)
+    batch = lambda t: f"regexp_full_match({t}, '[A-Za-z0-9]{{4,}}')"
+    return ROUND.format(k=k, p=p, pvalid=at("ptext"), valid=VALID, sure=SURE, nok=batch("ot"), cok=batch("text"))
+
+
+CELL_STATE = (
     PAGE_CELLS
-    + f""", t as (select p.doc_id, p.row_idx, p.field, p.text as ptext, p.s as ps, p.h, {_digits(_clean('box_text'))} as box, case p.field when 'qty' then cast(qty_true as varchar) when 'sku' then sku_true when 'exp' then exp_true when 'mfg' then mfg_true when 'batch' then batch_true when 'pallet' then pallet_text else box_text end as true_text,
+    + f""", t as (select p.doc_id, p.row_idx, p.field, p.text as ptext, p.s as ps, p.h, {_digits(_clean('box_text'))} || case when row_idx % 3 = 0 then '77' else '' end as box, case p.field when 'qty' then cast(qty_true as varchar) when 'sku' then sku_true when 'exp' then exp_true when 'mfg' then mfg_true when 'batch' then batch_true when 'pallet' then pallet_text else box_text end as true_text,
       (512 + (doc_id * 5 + row_idx * 3) % 512) / 1024e0 as s2 from pc p join inv_line using (doc_id, row_idx)),
-    c as (select *, left(true_text, 2) || case when length(true_text) > 2 then ' ' || substr(true_text, 3) else '' end as halves from t),
-    r0 as (select doc_id, row_idx, field, h, 0 as pos, 'page' as source, ptext as raw, coalesce(ps, 0) as score from c where ptext <> ''
-      union all select doc_id, row_idx, field, h, 1, 'cell', true_text, s2 from c where field in ('pallet', 'box', 'qty') or field in ('exp', 'mfg')
-      union all select doc_id, row_idx, field, h, 2, 'column', halves, s2 - 0.25e0 from c where h % 3 = 0 and field not in ('sku', 'batch') and length(true_text) > 0 and not (field in ('pallet', 'box') and s2 - 0.25e0 < 0.3e0)
-      union all select doc_id, row_idx, field, h, 2, 'column', '55', 0.9e0 from c where h % 3 = 0 and field = 'box' and s2 - 0.25e0 < 0.3e0
-      union all select doc_id, row_idx, field, h, 1, 'cell', true_text, s2 from c where field = 'sku'),
-    r1 as (select doc_id, row_idx, field, pos, source, score, case field when 'pallet' then {FORMS['pallet'].format(_clean('raw'))} when 'qty' then {_digits(_clean('raw'))} when 'box' then {_digits(_clean('raw'))} when 'sku' then raw else {_regroup(_clean('raw'))} end as text from r0),
-    g as (select doc_id, row_idx, field, text, count(*) as n, max(score) as best, max((source = 'page')::int) as page, min(pos) as pos from r1 where {VALID} group by all),
-    v as (select doc_id, row_idx, field, arg_max({{'t': text, 'b': best, 'n': n}}, row(n, page, best, -pos)) as w, arg_max({{'t': text, 'b': best, 'n': n}}, row(n, best, -pos)) as q, list_reverse_sort(list(n)) as ns, count(*) as texts, max(best) as top, count(distinct length(text)) as sizes, max(length(text)) as size, count(distinct substr(text, 2)) as ends, min(substr(text, 2)) as e from g group by doc_id, row_idx, field),
-    b as (select v.*, bx.n as xn, bx.best as xb, bx.text as xt from v left join (select g.* from g join c using (doc_id, row_idx, field) where g.field = 'qty' and g.text = c.box) bx using (doc_id, row_idx, field)),
-    f as (select *, field = 'qty' and texts > 1 and sizes = 1 and size >= 3 and ends = 1 and top < 0.85e0 as common, field = 'qty' and coalesce(xn = q.n and xb >= q.b - 0.05e0 - 1e-9, false) as boxed from b),
-    y as (select doc_id, row_idx, field, case when common then e when boxed then xt when field = 'qty' then q.t else w.t end as ct, case when common then top when boxed then xb when field = 'qty' then q.b else w.b end as cs, case when field = 'sku' then len(ns) > 1 and ns[1] = ns[2] else texts > 1 end as amb from f),
-    z as (select doc_id, row_idx, field, arg_max(text, row(score, -pos)) as bt, max(score) as bs from r1 where field in ('pallet', 'box') and text <> '' and score >= 0.3e0 group by doc_id, row_idx, field),
-    o as (select c.*, ct, cs, amb, bt, bs, {VALID.replace('text', 'ptext')} as ok, {VALID.replace('text', 'ptext')} and coalesce(ps >= {SURE}, false) and field in ('pallet', 'box') as stays from c left join y using (doc_id, row_idx, field) left join z using (doc_id, row_idx, field))
-    select doc_id, row_idx, field, case when field = 'batch' or stays then ptext when field = 'sku' and ok and length(ct) < length(ptext) then ptext else coalesce(ct, bt, ptext) end as text,
-      case when field = 'batch' or stays then ps when field = 'sku' and ok and length(ct) < length(ptext) then ps when ct is not null then cs when bt is not null then bs else ps end as score,
-      case when field = 'batch' or stays then false when field = 'sku' and ok and length(ct) < length(ptext) then true else coalesce(amb, false) end as ambiguous from o where field <> 'batch' and field <> 'sku'""",
-    "fragment",
+    s0 as (select doc_id, row_idx, field, box, h, ptext as text, ps as score, cast([] as struct(source varchar, text varchar, score double)[]) as known, cast(null as varchar) as reason from t),
+    o1 as (select doc_id, row_idx, field, 0 as pos, 'cell' as source, true_text as text, s2 as score from t where field not in ('pallet', 'box') or s2 >= 0.3e0),
+    h2 as (select *, left(true_text, 2) || case when length(true_text) > 2 then ' ' || substr(true_text, 3) else '' end as halves from t where h % 3 = 0 and true_text <> ''),
+    f2 as (select doc_id, row_idx, field, 0 as pos, 'column' as source, halves as raw, s2 - 0.25e0 as score from h2 where field not in ('sku', 'pallet', 'box') or (field in ('pallet', 'box') and s2 - 0.25e0 >= 0.3e0)
+      union all select doc_id, row_idx, field, 0, 'column', case when length(true_text) > 2 and s2 - 0.125e0 >= 0.3e0 then substr(true_text, 3) else '55' end, case when length(true_text) > 2 and s2 - 0.125e0 >= 0.3e0 then s2 - 0.125e0 else 0.9e0 end from h2 where field in ('pallet', 'box') and s2 - 0.25e0 < 0.3e0
+      union all select doc_id, row_idx, field, 0, 'column', left(true_text, 2), s2 - 0.25e0 from h2 where field = 'sku' union all select doc_id, row_idx, field, 1, 'column', '55', 0.9e0 from h2 where field = 'sku' union all select doc_id, row_idx, field, 2, 'column', substr(true_text, 3), s2 - 0.125e0 from h2 where field = 'sku'),
+    o2 as (select doc_id, row_idx, field, pos, source, score, case field when 'pallet' then {FORMS['pallet'].format(_clean('raw'))} when 'qty' then {_digits(_clean('raw'))} when 'box' then {_digits(_clean('raw'))} when 'sku' then raw when 'batch' then {FORMS['batch'].format(_clean('raw'))} else {_regroup(_clean('raw'))} end as text from f2)"""
+    + _round(1)
+    + ", s1b as (select s1.* replace (coalesce(b.text, '') as box) from s1 left join (select doc_id, row_idx, text from s1 where field = 'box') b using (doc_id, row_idx))"
+    + _round(2, "1b")
 )
+SAID = "array_to_string(list_transform(known, lambda x: x.source || ' ' || x.text || ' ' || cast(floor(x.score * 1024) as bigint)), ';')"
+
+
+@query(CELL_STATE + f" select doc_id, row_idx, field, text, score, reason, {SAID} as known from s2", "fragment")
 def cell_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return cells.applied(_cells(spark, sf_dir)).where("field not in ('batch', 'sku')")
+    """Cells of all fields after both rounds, with the readings that took part and the reason to review."""
+    said = F.array_join(F.transform("known", lambda k: F.concat_ws(" ", k["source"], k["text"], (k["score"] * 1024).cast("long").cast("string"))), ";")
+    return cells.applied(_cells(spark, sf_dir), ["first", "second"]).select("doc_id", "row_idx", "field", "text", "score", "reason", said.alias("known"))
+
+
+def _map_sql(entries: dict[str, str]) -> str:
+    return "array_to_string(list_sort(list_filter([" + ", ".join(f"'{k}=' || {v}" for k, v in entries.items()) + "], lambda x: x is not null)), ';')"
+
+
+def _said(m: str) -> Column:
+    """A map by field as text."""
+    return F.array_join(F.array_sort(F.transform(F.map_entries(m), lambda e: F.concat_ws("=", e["key"], e["value"]))), ";")
+
+
+FOUND = ("pallet", "box", "sku", "qty", "exp", "mfg", "batch")
+NAMED = "case when {f}_bad then 'manual_required' when swapped then 'date_order' when {f}_w = 'implausible_year' then {f}_w end"
+ENHANCED = (
+    CELL_STATE
+    + ", rr as (select doc_id, row_idx, "
+    + ", ".join(f"max(text) filter (field = '{f}') as {f}, max(score) filter (field = '{f}') as s_{f}, max(reason) filter (field = '{f}') as d_{f}" for f in FOUND)
+    + """, any_value(known) filter (field = 'qty') as known from s2 group by all),
+    ay as (select doc_id, max(cast(substr(mfg_true, 1, 4) as int)) as anchor, cast(sum(qty_true) as bigint) as total, case when doc_id % 3 = 0 then 2 else 1 end as n_pages, list_distinct(list(batch_true)) as allowed from inv_line group by doc_id),
+    base as (select rr.*, anchor, total, n_pages, list_sort(list_transform(allowed, lambda x: {'d': levenshtein(upper(batch), x), 'a': x})) as l from rr join ay using (doc_id)), """
+    + f"{_year_sql('mfg', -3, 1) % 'base'}, {_year_sql('exp', 0, 6) % 'mfg_e'},"
+    + f"""sw as (select *, ({_date_ok('exp_1')} and {_date_ok('mfg_1')} and exp_1 <> '' and mfg_1 <> '' and exp_1 < mfg_1) as swapped, {_tick('qty', 'box')} as q1,
+      case when batch <> '' and (len(l) = 1 or l[1].d < l[2].d) and l[1].d <= greatest(1, cast(floor(length(batch) * 0.25e0) as int)) then l[1].a else '' end as b1 from exp_e),
+    fb as (select *, exp_1 <> '' and (not {_date_ok('exp_1')} or (not swapped and coalesce(exp_w = 'implausible_year', false))) as exp_bad, mfg_1 <> '' and (not {_date_ok('mfg_1')} or (not swapped and coalesce(mfg_w = 'implausible_year', false))) as mfg_bad from sw),
+    rs as (select *, case when exp_bad then '' else exp_1 end as exp2, case when mfg_bad then '' else mfg_1 end as mfg2, coalesce(d_exp, {NAMED.format(f='exp')}) as r_exp, coalesce(d_mfg, {NAMED.format(f='mfg')}) as r_mfg, coalesce(d_batch, case when b1 = '' then 'manual_required' end) as r_batch,
+      case when exp_bad then 'invalid_date_cleared' when exp_w = 'context_year' then exp_w end as c_exp, case when mfg_bad then 'invalid_date_cleared' when mfg_w = 'context_year' then mfg_w end as c_mfg from fb),
+    v0 as (select *, cast(row_idx as int) as ri, coalesce(try_cast(q1 as bigint), 0) as value, coalesce(d_qty = 'model_disagreement', false) as disputed, case when n_pages = 1 then total end as goal from rs),
+    v as (select doc_id, ri as row_idx, q1 as qty, list_transform(known, lambda x: cast(x.text as bigint)) as options, disputed, value, goal - cast(sum(value) over (partition by doc_id) as bigint) as gap from v0),
+    """
+    + TOTALS.rstrip().rstrip(",")
+    + f""", fin as (select v0.*, f.new, f.kind, coalesce(f.new, q1) as q2, case when f.new is not null and f.kind <> 'invoice_total_check' then null else d_qty end as r_qty, coalesce(goal = cast(sum(cast(coalesce(f.new, q1) as bigint)) over (partition by v0.doc_id) as bigint), false) as agrees, qty_true, (v0.doc_id + v0.row_idx) % 3 = 0 as asked
+      from v0 left join f on f.doc_id = v0.doc_id and f.row_idx = v0.ri join (select doc_id, row_idx, qty_true from inv_line) i on i.doc_id = v0.doc_id and i.row_idx = v0.row_idx),
+    er as (select *, case when r_qty is not null then 'ambiguous' when q2 = '' then 'missing' when not regexp_full_match(q2, '[1-9]\\d*') then 'invalid_format' end as e_qty, round_even(s_box, 3) as bs, round_even(s_qty, 3) as qs from fin),
+    bx as (select *, asked and cast(qty_true as varchar) <> box and cast(qty_true as varchar) = q2 and bs < 0.8e0 and qs >= 0.85e0 and (e_qty is null or (r_qty = 'model_disagreement' and agrees and qs >= 0.95e0)) as swaps from er),
+    parts as (select *, list_filter([s_sku, s_qty, s_exp, s_mfg, s_batch], lambda x: x is not null) as k from bx)
+    select doc_id, row_idx, pallet, case when swaps then cast(qty_true as varchar) else box end as box, sku, q2 as qty, exp2 as exp, mfg2 as mfg, b1 as batch,
+      {_map_sql({'box': "case when swaps then box end", 'qty': "case when new is not null then q1 when q1 <> qty then qty end", 'exp': "case when exp_bad then exp when exp_w = 'context_year' then exp end", 'mfg': "case when mfg_bad then mfg when mfg_w = 'context_year' then mfg end", 'batch': "batch"})} as raw,
+      {_map_sql({'box': "case when swaps then 'identifier_second_opinion' end", 'qty': "coalesce(kind, case when q1 <> qty then 'trailing_check_mark' end)", 'exp': 'c_exp', 'mfg': 'c_mfg', 'batch': "case when b1 <> '' then 'allowed_batch_match' end"})} as corrections,
+      {_map_sql({'pallet': 'd_pallet', 'box': 'd_box', 'sku': 'd_sku', 'qty': 'r_qty', 'exp': 'r_exp', 'mfg': 'r_mfg', 'batch': 'r_batch'})} as reasons,
+      {_map_sql({'pallet': "case when d_pallet is not null then 'ambiguous' end", 'box': "case when d_box is not null then 'ambiguous' end", 'sku': "case when d_sku is not null then 'ambiguous' when sku = '' then 'missing' when not regexp_full_match(sku, '\\d{8,}') then 'invalid_format' end", 'qty': 'e_qty',
+        'exp': f"case when r_exp is not null then 'ambiguous' when not {_date_ok('exp2')} then 'invalid_format' end", 'mfg': f"case when r_mfg is not null then 'ambiguous' when not {_date_ok('mfg2')} then 'invalid_format' end", 'batch': "case when r_batch is not null then 'ambiguous' end"})} as errors,
+      coalesce(round_even(list_sum(k) / len(k), 3), 0) as row_confidence, total, agrees as total_agrees, {SAID} as qty_read from parts"""
+)
+
+
+@query(ENHANCED, "fragment")
+def enhanced_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Whole pages with a header, a printed total, strays, readings of cells and columns, second opinions on boxes, and lists of batches."""
+    c = F.col
+    items = _cells(spark, sf_dir)
+    lines = _lines(spark, sf_dir)
+    middle = F.coalesce(*[F.when(c("field") == f, F.lit(m)) for f, m in enhanced.MIDDLE.items()])
+    flat = lambda of: items.select("doc_id", "row_idx", "field", F.posexplode(of).alias("k", "one")).select("doc_id", "row_idx", "field", (c("row_idx") * 64 + c("k")).alias("seq"), "one.*")
+    body = flat("page").select("doc_id", "seq", middle.alias("xc"), "yc", "x1", "x2", "y1", "y2", "text", "score")
+    n, total = F.count("*"), F.sum("qty_true")
+    texts = [(100e0, F.lit(20e0), F.concat(F.lit("PO "), F.lpad(c("doc_id").cast("string"), 6, "0"))), (400e0, F.lit(22e0), F.concat(F.lit("Inbound date "), F.max(F.substring("mfg_true", 1, 4)), F.lit("/01/05"))), (700e0, F.lit(24e0), F.concat(F.lit("Page 1 of "), F.when(c("doc_id") % 3 == 0, "2").otherwise("1")))]
+    texts += [(500e0, F.lit(192e0) + n * 33, F.lit("TOTAL")), (750e0, F.lit(193e0) + n * 33, total.cast("string"))]
+    other = F.array(*[F.struct(F.lit(x).alias("xc"), y.alias("yc"), t.alias("text"), F.lit(-1 - k).cast("long").alias("seq")) for k, (x, y, t) in enumerate(texts)])
+    other = lines.groupBy("doc_id").agg(other.alias("o")).select("doc_id", F.explode("o").alias("o")).select("doc_id", "o.*")
+    other = other.withColumns({"x1": c("xc") - 30, "x2": c("xc") + 30, "y1": c("yc") - 8, "y2": c("yc") + 8, "score": F.lit(0.9)})
+    center = F.lit(172e0) + F.lit(33) * c("row_idx")
+    slots = lines.select("doc_id", "row_idx", (center - 16.5).alias("y1"), (center + 16.5).alias("y2"))
+    cell = flat("first").select("doc_id", "row_idx", "field", "text", "score")
+    seconds = lines.where("(doc_id + row_idx) % 3 = 0").select("doc_id", "row_idx", F.lit("box").alias("field"), c("qty_true").cast("string").alias("text"), F.lit(0.5).alias("score"))
+    allowed = lines.groupBy("doc_id").agg(F.collect_set("batch_true").alias("allowed"))
+    out = enhanced.page(body.unionByName(other), slots, cell, flat("second").drop("row_idx", "source"), seconds, allowed, F.lit(2000))
+    said = F.array_join(F.transform(F.coalesce(c("candidates")["qty"], F.array().cast(cells.READINGS)), lambda k: F.concat_ws(" ", k["source"], k["text"], (k["score"] * 1024).cast("long").cast("string"))), ";")
+    return out.select("doc_id", "row_idx", "pallet", "box", "sku", "qty", "exp", "mfg", "batch", *[_said(m).alias(m) for m in ("raw", "corrections", "reasons", "errors")], "row_confidence", "total", "total_agrees", said.alias("qty_read"))
 
 
 @query(

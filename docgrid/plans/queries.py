@@ -343,6 +343,26 @@ READ = f"""with r as (select x.doc_id, x.row_idx, pos, source, {_digits(_clean('
 g as (select doc_id, row_idx, text, any_value(box) as box, count(*) as n, max(score) as best, max(cast(source = 'page' as int)) as page, min(pos) as pos from r group by doc_id, row_idx, text)"""
 
 
+# What closes the gap to the total, from v (doc_id, row_idx, qty, options, disputed, value, gap): f (doc_id, row_idx, new, kind).
+TOTALS = """alt as (select doc_id, row_idx, gap, value, list_distinct(list_append(options, value)) as choices, row_number() over (partition by doc_id order by row_idx) as k from v where gap <> 0 and disputed and len(list_distinct(list_append(options, value))) > 1),
+    alts as (select * from alt),
+    ways as (select * from (with recursive c(doc_id, gap, k, done, changes) as (
+        select distinct doc_id, gap, cast(0 as bigint), cast(0 as hugeint), cast([] as struct(row_idx int, new bigint)[]) from alts
+        union all
+        select c.doc_id, c.gap, c.k + 1, c.done + u.new - u.value, case when u.new = u.value then changes else list_append(changes, {'row_idx': u.row_idx, 'new': u.new}) end
+        from c join (select doc_id, row_idx, value, k, unnest(choices) as new from alts) u on u.doc_id = c.doc_id and u.k = c.k + 1)
+      select doc_id, changes from c where done = gap and k = (select max(k) from alts a where a.doc_id = c.doc_id))),
+    one as (select doc_id, any_value(changes) as changes from ways group by doc_id having count(*) = 1),
+    picked as (select doc_id, u.row_idx, cast(u.new as varchar) as new, 'invoice_total_candidates' as kind from (select doc_id, unnest(changes) as u from one)),
+    digit as (select doc_id, row_idx, cast(value + gap as varchar) as new from v where gap <> 0 and disputed and value + gap > 0 and length(cast(value + gap as varchar)) = length(qty)
+      and list_sum(list_transform(range(1, length(qty) + 1), lambda i: cast(substr(qty, cast(i as int), 1) <> substr(cast(value + gap as varchar), cast(i as int), 1) as int))) = 1 and doc_id not in (select doc_id from one)),
+    digits as (select doc_id, any_value(row_idx) as row_idx, any_value(new) as new, 'invoice_total_single_digit' as kind from digit group by doc_id having count(*) = 1),
+    tick as (select doc_id, row_idx, left(qty, length(qty) - 1) as new from v where gap < 0 and length(qty) > 1 and right(qty, 1) = '1' and value - cast(left(qty, length(qty) - 1) as bigint) = -gap
+      and doc_id not in (select doc_id from one union all select doc_id from digits)),
+    ticks as (select doc_id, any_value(row_idx) as row_idx, any_value(new) as new, 'invoice_total_check' as kind from tick group by doc_id having count(*) = 1),
+    f as (select * from picked union all select * from digits union all select * from ticks)"""
+
+
 @query(
     READ
     + """, o as (select doc_id, row_idx, arg_max({'t': text, 'b': best, 'n': n}, row(n, best, -pos)) as w, arg_max({'t': text, 'b': best, 'n': n}, n) filter (text = box) as x, count(*) as texts, max(best) as top,
@@ -386,31 +406,18 @@ def fallback_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
     l as (select doc_id, cast(row_idx as int) as row_idx, texts > 1 as disputed, options, case when texts > 1 and sizes = 1 and size >= 3 and ends = 1 and top < 0.85e0 then e when x is not null and x.n = w.n and x.b >= w.b - 0.05e0 - 1e-9 then x.t else w.t end as qty from o),
     t as (select doc_id, cast(sum(qty_true) as bigint) as total from inv_line group by doc_id),
     v as (select l.*, cast(qty as bigint) as value, total - sum(cast(qty as bigint)) over (partition by doc_id) as gap from l join t using (doc_id)),
-    alt as (select doc_id, row_idx, gap, value, list_distinct(list_append(options, value)) as choices, row_number() over (partition by doc_id order by row_idx) as k from v where gap <> 0 and disputed and len(list_distinct(list_append(options, value))) > 1),
-    alts as (select * from alt),
-    ways as (select * from (with recursive c(doc_id, gap, k, done, changes) as (
-        select distinct doc_id, gap, cast(0 as bigint), cast(0 as hugeint), cast([] as struct(row_idx int, new bigint)[]) from alts
-        union all
-        select c.doc_id, c.gap, c.k + 1, c.done + u.new - u.value, case when u.new = u.value then changes else list_append(changes, {'row_idx': u.row_idx, 'new': u.new}) end
-        from c join (select doc_id, row_idx, value, k, unnest(choices) as new from alts) u on u.doc_id = c.doc_id and u.k = c.k + 1)
-      select doc_id, changes from c where done = gap and k = (select max(k) from alts a where a.doc_id = c.doc_id))),
-    one as (select doc_id, any_value(changes) as changes from ways group by doc_id having count(*) = 1),
-    picked as (select doc_id, u.row_idx, cast(u.new as varchar) as new, 'invoice_total_candidates' as kind from (select doc_id, unnest(changes) as u from one)),
-    digit as (select doc_id, row_idx, cast(value + gap as varchar) as new from v where gap <> 0 and disputed and value + gap > 0 and length(cast(value + gap as varchar)) = length(qty)
-      and list_sum(list_transform(range(1, length(qty) + 1), lambda i: cast(substr(qty, cast(i as int), 1) <> substr(cast(value + gap as varchar), cast(i as int), 1) as int))) = 1 and doc_id not in (select doc_id from one)),
-    digits as (select doc_id, any_value(row_idx) as row_idx, any_value(new) as new, 'invoice_total_single_digit' as kind from digit group by doc_id having count(*) = 1),
-    tick as (select doc_id, row_idx, left(qty, length(qty) - 1) as new from v where gap < 0 and length(qty) > 1 and right(qty, 1) = '1' and value - cast(left(qty, length(qty) - 1) as bigint) = -gap
-      and doc_id not in (select doc_id from one union all select doc_id from digits)),
-    ticks as (select doc_id, any_value(row_idx) as row_idx, any_value(new) as new, 'invoice_total_check' as kind from tick group by doc_id having count(*) = 1),
-    f as (select * from picked union all select * from digits union all select * from ticks)
+    """
+    + TOTALS
+    + """
     select doc_id, row_idx, coalesce(f.new, qty) as qty, case when f.new is not null then qty end as raw_qty, f.kind as correction from v left join f using (doc_id, row_idx)""",
     "reading",
 )
 def qty_total_reconcile(spark: SparkSession, sf_dir: str) -> DataFrame:
-    readings = _qty_readings(spark, sf_dir)
-    options = readings.groupBy("doc_id", "row_idx").agg(F.array_sort(F.collect_set(F.expr("try_cast(text as int)"))).alias("options"))
-    chosen = votes.quantity(readings).join(options, ["doc_id", "row_idx"])
-    chosen = chosen.select("doc_id", F.col("row_idx").cast("int").alias("row_idx"), F.col("text").alias("qty"), F.when(F.col("ambiguous"), F.col("options")).alias("options"))
+    one = F.array_sort(F.collect_list(F.struct("pos", "source", "text", "score")))
+    read = _qty_readings(spark, sf_dir).groupBy("doc_id", "row_idx").agg(one.alias("r"), F.first("box").alias("box"))
+    read = read.withColumn("v", votes.quantity_of(F.transform("r", lambda x: F.struct(x["source"], x["text"], x["score"])), F.col("box")))
+    options = F.array_sort(F.array_distinct(F.transform("r", lambda x: x["text"].try_cast("long"))))
+    chosen = read.select("doc_id", F.col("row_idx").cast("int").alias("row_idx"), F.col("v.text").alias("qty"), F.when(F.col("v.ambiguous"), options).alias("options"))
     total = _lines(spark, sf_dir).groupBy("doc_id").agg(F.sum("qty_true").alias("total"))
     return reconcile.against_total(chosen.join(total, "doc_id"))
 

@@ -1 +1 @@
-
+"""Readers of the files that come with the data."""

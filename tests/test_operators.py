@@ -75,6 +75,9 @@ def test_choices_equal_all_combinations():
         gap = rng.randrange(-60, 60)
         found = [c for c in itertools.product(*choices) if sum(c) - sum(values) == gap]
         assert reconcile.chosen(gap, values, choices) == (list(found[0]) if len(found) == 1 else None)
+    far = 10**12  # no array holds changes as wide as this
+    assert reconcile.chosen(far - 7, [7, 5], [[7, far], [5, 25]]) == [far, 5]
+    assert reconcile.chosen(3 * far, [1, 1, 1, 1], [[1, 1 + far]] * 3 + [[1, 9]]) == [1 + far, 1 + far, 1 + far, 1]
     wide = [[i * 997, i * 1009 + 5] for i in range(1, 90)]  # more ways than any list of them could hold
     assert reconcile.chosen(sum(b - a for a, b in wide), [a for a, _ in wide], wide) == [b for _, b in wide]
 
@@ -139,17 +142,6 @@ def test_label_roles(spark, text, want):
     assert (got.manufacture_at, got.expire_at) == want
 
 
-def test_stream_of_sessions_ends_as_the_fold(spark, tmp_path):
-    ops = [(1, 1, "append", 3), (1, 2, "append", 4), (1, 3, "undo", 0), (1, 4, "plus", 0), (2, 1, "minus", 0), (2, 2, "append", 1), (2, 3, "minus", 0), (2, 4, "minus", 0)]
-    shots = spark.createDataFrame(ops, "session long, seq long, op string, cnt long")
-    shots.write.parquet(str(tmp_path / "in"))
-    q = sessions.streamed(spark.readStream.schema(shots.schema).parquet(str(tmp_path / "in"))).writeStream.format("memory").queryName("ended").outputMode("update").option("checkpointLocation", str(tmp_path / "c")).start()
-    q.processAllAvailable()
-    q.stop()
-    want = sorted(map(tuple, sessions.folded(shots).collect()))
-    assert sorted(map(tuple, spark.table("ended").collect())) == want == [(1, 4, 1), (2, 0, 1)]
-
-
 @pytest.mark.parametrize(
     "text,order,want,normalized",
     [
