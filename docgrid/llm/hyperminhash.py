@@ -19,6 +19,7 @@ from __future__ import annotations
 
 import math
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -140,8 +141,8 @@ def _fp(found: np.ndarray) -> int:
 
 
 def described(docs: DataFrame, similarity: float) -> DataFrame:
-    """doc_id, rid (``row_key``), n (members), fp (a hash of the whole set), bits and filled (last bits of the registers,
-    and which have hashes of their own), slack of an estimate by these, keys (bands, packed registers) per row; no shuffle."""
+    """doc_id, rid (``row_key``), n (members), fp (a hash of the whole set), bits and filled (the registers' mantissas in
+    planes of bits, and which have hashes of their own), slack of an estimate by these, keys (bands, packed registers) per row; no shuffle."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
@@ -151,8 +152,9 @@ def described(docs: DataFrame, similarity: float) -> DataFrame:
                 size = np.diff(starts)
                 prints = [_fp(found[i:j]) for i, j in zip(starts[:-1].tolist(), starts[1:].tolist())]
                 lists = lambda x: pa.FixedSizeListArray.from_arrays(pa.array(np.ascontiguousarray(x).view("<i8").ravel()), x.shape[1] // 8).cast(pa.list_(pa.int64()))
-                bits = [lists(np.packbits(x, axis=1)) for x in (values & 1, filled)]
-                rows = [batch.column("doc_id"), batch.column("rid"), pa.array(size.astype(np.int64)), pa.array(prints, pa.int64()), pa.array(slack(similarity, size, 0.5)), *bits, lists(values)]
+                planes = np.concatenate([np.packbits(values >> k & 1, axis=1) for k in range(MANTISSA)], axis=1)
+                bits = [lists(x) for x in (planes, np.packbits(filled, axis=1))]
+                rows = [batch.column("doc_id"), batch.column("rid"), pa.array(size.astype(np.int64)), pa.array(prints, pa.int64()), pa.array(slack(similarity, size, 0.5**MANTISSA)), *bits, lists(values)]
                 yield pa.RecordBatch.from_arrays(rows, ["doc_id", "rid", "n", "fp", "slack", "bits", "filled", "keys"])
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), row_key(), F.col("text").cast("string").alias("text"))
@@ -174,14 +176,18 @@ def _sets(docs: DataFrame, rids: DataFrame) -> DataFrame:
 
 
 def _likely(similarity: float, x: str, y: str) -> Column:
-    """Whether two rows (of n, slack, bits, filled) can be similar by their sizes and last bits. Of the buckets that both fill, half of the unlike ones have equal last bits."""
+    """Whether two rows (of n, slack, bits, filled) can be similar by their sizes and mantissas. These lie in planes, a bit of all
+    registers each, so 64 registers at a time are unlike where any plane differs. Of the unlike ones that both fill, one in
+    2^MANTISSA has an equal mantissa."""
     c = lambda side, name: F.col(f"{side}.{name}")
     sizes = F.least(c(x, "n"), c(y, "n")) >= F.greatest(c(x, "n"), c(y, "n")) * F.lit(similarity - 1e-9)
-    words = [(c(x, "filled")[k], c(y, "filled")[k], c(x, "bits")[k].bitwiseXOR(c(y, "bits")[k])) for k in range(BUCKETS // 64)]
+    longs = BUCKETS // 64
+    off = [reduce(lambda a, b: a.bitwiseOR(b), [c(x, "bits")[k].bitwiseXOR(c(y, "bits")[k]) for k in range(at, MANTISSA * longs, longs)]) for at in range(longs)]
+    words = [(c(x, "filled")[k], c(y, "filled")[k], off[k]) for k in range(longs)]
     some = sum(F.bit_count(a.bitwiseOR(b)) for a, b, _ in words)
     both = sum(F.bit_count(a.bitwiseAND(b)) for a, b, _ in words)
-    unlike = sum(F.bit_count(a.bitwiseAND(b).bitwiseAND(off)) for a, b, off in words)
-    return sizes & (both - 2 * unlike >= some * (F.lit(similarity) - F.greatest(c(x, "slack"), c(y, "slack"))))
+    unlike = sum(F.bit_count(a.bitwiseAND(b).bitwiseAND(o)) for a, b, o in words)
+    return sizes & (both - unlike * F.lit(1 / (1 - 0.5**MANTISSA)) >= some * (F.lit(similarity) - F.greatest(c(x, "slack"), c(y, "slack"))))
 
 
 def _verified(docs: DataFrame, pairs: DataFrame, distinct: DataFrame, percent: int) -> DataFrame:
