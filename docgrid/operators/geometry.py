@@ -16,6 +16,8 @@ EVEN = (0.55, 1.45)
 SPACINGS, STRETCH, SHIFT, STEP = 31, 0.15, 0.45, 0.5
 DOUBLE, MISSED, AWAY, HELD = 0.35, 0.25, 0.03, 0.02
 COLUMN_GAP = 24
+# The table's top and width on the page that tables are brought to, and the margin below it.
+TABLE_TOP, TABLE_WIDTH, BELOW = 124, 1153, 24
 
 
 def moving_sum(values: DataFrame, key: str, place: str, value: str, width: int) -> DataFrame:
@@ -102,3 +104,18 @@ def fitted(columns: DataFrame, key: str) -> DataFrame:
 
     doubles = [F.col(c).cast("array<double>").alias(c) for c in ("seen", "slots")]
     return columns.select(F.col(key).cast("long"), *doubles).mapInArrow(run, f"{key} long, centers array<double>")
+
+
+def on_page(tables: DataFrame) -> DataFrame:
+    """``tables`` (corners: four points x, y, clockwise from the upper left; top_y, bottom_y, header_y, lines: array of heights) with
+    scale (to the page's width, by the mean of the upper and lower edge), table_bottom, height (of the page), page_header and
+    page_lines (all but the first line), in whole pixels, halves to even. A table without an extent has nulls."""
+    x, y = (lambda k, n=n: F.get(F.get("corners", F.lit(k)), F.lit(n)) for n in (0, 1))  # noqa: B023
+    edge = lambda a, b: F.sqrt((x(b) - x(a)) * (x(b) - x(a)) + (y(b) - y(a)) * (y(b) - y(a)))
+    width, extent = (edge(0, 1) + edge(3, 2)) / 2, F.col("bottom_y") - F.col("top_y")
+    out = tables.withColumn("scale", F.when((width > 0) & (extent > 0), F.lit(float(TABLE_WIDTH)) / width))
+    out = out.withColumn("_tall", F.greatest(F.lit(1), F.rint(extent * F.col("scale")).cast("int")))
+    out = out.withColumn("_tall", F.when(F.col("scale").isNotNull(), F.col("_tall")))
+    put = lambda h: (F.lit(TABLE_TOP) + F.rint((h - F.col("top_y")) / extent * F.col("_tall"))).cast("int")
+    lines = F.transform(F.slice("lines", F.lit(2), F.greatest(F.size("lines"), F.lit(0))), put)
+    return out.withColumns({"table_bottom": F.col("_tall") + TABLE_TOP, "height": F.col("_tall") + (TABLE_TOP + BELOW), "page_header": put(F.col("header_y")), "page_lines": F.when(F.col("scale").isNotNull(), lines)}).drop("_tall")

@@ -22,12 +22,17 @@ def best_allowed(value: Column, allowed: Column, share: float, drop_empty: bool)
 
 
 def _best(key: Column, allowed: Column, share: float, drop_empty: bool) -> Column:
-    entries = F.filter(allowed, lambda a: normalize_batch(a) != "") if drop_empty else allowed
-    scored = F.array_sort(F.transform(entries, lambda a: F.struct(F.levenshtein(key, normalize_batch(a)).alias("d"), a.alias("text"))))
-    first, second = F.get(scored, F.lit(0)), F.get(scored, F.lit(1))
     limit = F.greatest(F.lit(1), F.floor(F.length(key) * F.lit(share)).cast("int"))
-    unique = second.isNull() | (first["d"] < second["d"])
-    return F.when((key != "") & unique & (first["d"] <= limit), first["text"])
+    # an entry beyond the limit can neither win nor tie
+
+    def chosen(found: Column) -> Column:
+        first, second = F.get(found, F.lit(0)), F.get(found, F.lit(1))
+        return F.when((key != "") & (second.isNull() | (first["d"] < second["d"])), first["text"])
+
+    spelled = F.transform(allowed, lambda a: F.struct(normalize_batch(a).alias("key"), a.alias("text")))
+    spelled = F.filter(spelled, lambda e: e["key"] != "") if drop_empty else spelled
+    off = F.transform(spelled, lambda e: F.struct(F.levenshtein(key, e["key"]).alias("d"), e["text"].alias("text")))
+    return let(F.array_sort(F.filter(off, lambda e: e["d"] <= limit)), chosen)
 
 
 def reconciled_batch(value: Column, allowed: Column) -> Column:

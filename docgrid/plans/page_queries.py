@@ -286,6 +286,28 @@ def moving_sums(spark: SparkSession, sf_dir: str) -> DataFrame:
     return geometry.moving_sum(values, "k", "x", "v", 9)
 
 
+# A table as it stands on a picture: tilted and larger than the page, a line below each row.
+TILTED = """select doc_id, 60e0 + doc_id % 9 as x0, 150e0 + doc_id % 5 as y0, 1500e0 + doc_id % 100 as w, 4e0 * (doc_id % 7) as tilt, max(row_idx) + 1 as n, 40e0 + doc_id % 13 as pitch from {source} group by doc_id"""
+
+
+@query(
+    "with t as ("
+    + TILTED.format(source="inv_line")
+    + """), g as (select *, y0 as top_y, y0 + pitch * (n + 1) as bottom_y, (sqrt(w * w + tilt * tilt) + sqrt((w + 6) * (w + 6) + tilt * tilt)) / 2 as width from t), s as (select *, 1153e0 / width as scale from g), h as (select *, greatest(1, cast(round_even((bottom_y - top_y) * scale, 0) as int)) as tall from s)
+    select doc_id, round(scale, 9) as scale, tall + 124 as table_bottom, tall + 148 as height, cast(124 + round_even(pitch / (bottom_y - top_y) * tall, 0) as int) as page_header, array_to_string(list_transform(range(1, n + 2), lambda k: cast(124 + round_even((top_y + pitch * k - top_y) / (bottom_y - top_y) * tall, 0) as int)), ',') as page_lines from h""",
+    "inv_line",
+)
+def table_scales(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Tables found on pictures, brought to the page's coordinates."""
+    c = F.col
+    t = spark.sql(TILTED.format(source="{l}"), l=_lines(spark, sf_dir)).withColumns({"top_y": c("y0"), "bottom_y": c("y0") + c("pitch") * (c("n") + 1), "header_y": c("y0") + c("pitch")})
+    point = lambda x, y: F.array(x, y)
+    corners = F.array(point(c("x0"), c("y0")), point(c("x0") + c("w"), c("y0") + c("tilt")), point(c("x0") + c("w") + 6, c("bottom_y") + c("tilt")), point(c("x0"), c("bottom_y")))
+    lines = F.transform(F.sequence(F.lit(0), (c("n") + 1).cast("int")), lambda k: c("top_y") + c("pitch") * k)
+    out = geometry.on_page(t.withColumns({"corners": corners, "lines": lines}))
+    return out.select("doc_id", F.round("scale", 9).alias("scale"), "table_bottom", "height", "page_header", F.array_join(c("page_lines").cast("array<string>"), ",").alias("page_lines"))
+
+
 LINES = "select distinct doc_id, yc from {source} where ord = 2"
 
 
