@@ -351,7 +351,22 @@ def sheet_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
 SEEN = "select doc_id, row_idx, 172e0 + 34 * row_idx + (doc_id % 3) as y from {source} where row_idx <> doc_id % 4 union all select doc_id, 90 as row_idx, 900e0 as y from {source} where row_idx = 2 and doc_id % 5 = 0 union all select doc_id, 91, 174e0 + 34 * row_idx from {source} where row_idx = 1 and doc_id % 7 = 0"
 
 
-@query()
+# The grid of fits as rows: i the spacing, j the first place; each fit is scored over its document's values.
+FITS = (
+    "with o as ("
+    + SEEN.format(source="inv_line")
+    + """), g as (select doc_id, list(y order by y) as v from o group by doc_id), c as (select doc_id, cast(max(row_idx) + 1 as int) as n from inv_line group by doc_id), d as (select doc_id, n, coalesce(v, []) as v, len(coalesce(v, [])) as m from c left join g using (doc_id)),
+    w as (select *, list_transform(range(1, m), lambda k: v[k + 1] - v[k]) as own from d), e as (select *, m = n and m >= 3 and n > 1 and list_median(own) >= 10 and list_min(own) >= list_median(own) * 0.55e0 and list_max(own) <= list_median(own) * 1.45e0 as even from w),
+    a as (select doc_id, n, v, m, i, j, 33e0 * (1 - 0.15e0) + i * (33e0 * 2 * 0.15e0 / 30) as size, 172e0 - 33e0 * 0.45e0 + j * 0.5e0 as f from e, range(31) x(i), range(61) y(j) where m >= 3 and n > 1 and not even),
+    b as (select *, list_transform(v, lambda y: round_even((y - f) / size, 0)) as k from a),
+    h as (select *, list_filter(range(1, m + 1), lambda q: k[q] >= 0 and k[q] < n) as inside from b),
+    u as (select *, len(inside) as held, len(list_distinct(list_transform(inside, lambda q: k[q]))) as uniq, list_sum(list_transform(inside, lambda q: abs(v[q] - (f + k[q] * size)))) as off from h where len(inside) > 0),
+    t as (select doc_id, arg_min({'f': f, 'size': size, 'u': uniq}, row(round(off / held + (held - uniq) * 33e0 * 0.35e0 + (m - held) * 33e0 * 0.25e0 + abs(f - 172e0) * 0.03e0 - uniq * 0.02e0, 9), i, j)) as best from u where uniq >= least(3, n) group by doc_id)
+    select doc_id, array_to_string(list_transform(range(0, n), lambda r: cast(round(100 * case when even then v[r + 1] when best is not null and best.u >= greatest(3, cast(floor(least(n, m) * 0.55e0) as int)) then best.f + r * best.size else 172e0 + r * 33 end) as bigint)), ',') as centers from e left join t using (doc_id)"""
+)
+
+
+@query(FITS, "inv_line")
 def fitted_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     lines = _lines(spark, sf_dir)
     seen = spark.sql(SEEN.format(source="{l}"), l=lines).groupBy("doc_id").agg(F.collect_list("y").alias("seen"))
