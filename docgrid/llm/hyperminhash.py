@@ -103,27 +103,7 @@ def registers(found: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.nda
     return out, filled
 
 
-def accidents(n: np.ndarray, m: np.ndarray) -> np.ndarray:
-    """The chance that two registers of sets of n and m members are equal though their hashes are not."""
-    edge = np.append(0.0, 0.5 ** np.arange(_ZEROS, -1, -1.0))  # of the intervals with one number of leading zeros
-
-    def levels(size: np.ndarray) -> np.ndarray:
-        rate = np.maximum(size, 1)[:, None] / BUCKETS
-        p = np.exp(-rate * edge[:-1]) - np.exp(-rate * edge[1:])
-        return p / p.sum(axis=1, keepdims=True)
-
-    return (levels(n) * levels(m)).sum(axis=1) / (1 << MANTISSA)
-
-
-def estimate(a: np.ndarray, b: np.ndarray, a_filled: np.ndarray, b_filled: np.ndarray, n: np.ndarray, m: np.ndarray) -> np.ndarray:
-    """The similarity of sets by their registers (rows of ``a`` and ``b``) that have hashes of their own, and their sizes."""
-    both = a_filled & b_filled
-    by_accident = accidents(n, m)
-    same = (((a == b) & both).sum(axis=1) - by_accident * both.sum(axis=1)) / (1 - by_accident)
-    return same / np.maximum(1, (a_filled | b_filled).sum(axis=1))
-
-
-def slack(similarity: float, n: np.ndarray, accident: float) -> np.ndarray:
+def slack(similarity: float, n: np.ndarray, accident: float = 0.5**MANTISSA) -> np.ndarray:
     """How far an estimate may fall below the similarity. Filled buckets are a sample of a set's members, of small sets
     nearly all of these; and unlike ones are equal by ``accident``."""
     n = np.maximum(1, n)
@@ -154,7 +134,7 @@ def described(docs: DataFrame, similarity: float) -> DataFrame:
                 lists = lambda x: pa.FixedSizeListArray.from_arrays(pa.array(np.ascontiguousarray(x).view("<i8").ravel()), x.shape[1] // 8).cast(pa.list_(pa.int64()))
                 planes = np.concatenate([np.packbits(values >> k & 1, axis=1) for k in range(MANTISSA)], axis=1)
                 bits = [lists(x) for x in (planes, np.packbits(filled, axis=1))]
-                rows = [batch.column("doc_id"), batch.column("rid"), pa.array(size.astype(np.int64)), pa.array(prints, pa.int64()), pa.array(slack(similarity, size, 0.5**MANTISSA)), *bits, lists(values)]
+                rows = [batch.column("doc_id"), batch.column("rid"), pa.array(size.astype(np.int64)), pa.array(prints, pa.int64()), pa.array(slack(similarity, size)), *bits, lists(values)]
                 yield pa.RecordBatch.from_arrays(rows, ["doc_id", "rid", "n", "fp", "slack", "bits", "filled", "keys"])
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), row_key(), F.col("text").cast("string").alias("text"))
@@ -191,23 +171,8 @@ def _likely(similarity: float, x: str, y: str) -> Column:
 
 
 def _verified(docs: DataFrame, pairs: DataFrame, distinct: DataFrame, percent: int) -> DataFrame:
-    """Those of ``pairs`` (u, v) whose sets are similar enough, by whole registers first. Only texts
-    of documents that are still in a pair are read again, and only these are shuffled."""
-    similarity = percent / 100
-
-    def estimated(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for whole in batches:
-            for at in range(0, whole.num_rows, 1024):
-                batch = whole.slice(at, 1024)
-                raw = lambda c: batch.column(c).flatten().to_numpy().view(np.uint8).reshape(batch.num_rows, -1)  # noqa: B023, E731
-                own = lambda c: np.unpackbits(raw(c), axis=1).astype(bool)  # noqa: B023, E731
-                n, m = (batch.column(c).to_numpy() for c in ("n", "m"))
-                near = estimate(raw("a"), raw("b"), own("a_filled"), own("b_filled"), n, m) >= similarity - slack(similarity, np.minimum(n, m), 0.1)
-                yield batch.select(["u", "v"]).filter(pa.array(near))
-
-    side = lambda to, x, n: distinct.select(F.col("fp").alias(to), F.col("keys").alias(x), F.col("filled").alias(f"{x}_filled"), F.col("n").alias(n))
-    pairs = pairs.join(side("u", "a", "n"), "u").join(side("v", "b", "m"), "v").select("u", "v", "a", "b", "a_filled", "b_filled", "n", "m")
-    pairs = written(pairs.mapInArrow(estimated, "u long, v long"), "pairs")
+    """Those of ``pairs`` (u, v) whose sets are similar enough. Only texts of documents that are
+    in a pair are read again, and only these are shuffled."""
     ends = pairs.select(F.col("u").alias("fp")).unionByName(pairs.select(F.col("v").alias("fp"))).distinct()
     one = written(_sets(docs, written(distinct.join(ends, "fp", "left_semi").select("rid"), "ends")), "sets")
 
@@ -235,6 +200,7 @@ def links(docs: DataFrame, distinct: DataFrame, percent: int = PERCENT, block: i
     told = distinct.select("fp", "n", "slack", "bits", "filled")
     star = met.where("fp <> first").select(F.col("first").alias("u"), F.col("fp").alias("v")).distinct()
     star = star.join(told.alias("x"), F.col("u") == F.col("x.fp")).join(told.alias("y"), (F.col("v") == F.col("y.fp")) & _likely(similarity, "x", "y")).select("u", "v")
+    star = written(star, "stars")
     found = _verified(docs, star, distinct, percent)
 
     rooted = components(found).select(F.col("node").alias("fp"), "root")

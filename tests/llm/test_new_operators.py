@@ -232,23 +232,29 @@ def test_compared_pairs_grow_with_the_rows(spark):
     assert many <= 2.2 * max(25, few)
 
 
-def test_estimates(spark):
+def test_estimates_lose_no_similar_pair(spark):
+    """Of sets of known similarity, the condition of the join lets all pass that reach it, and few that are far below."""
     rng = np.random.default_rng(1)
-    for size in (30, 300, 5000):
-        for share in (0.3, 0.8, 0.95):
-            off = []
-            for _ in range(20):
-                both = int(size * 2 * share / (1 + share))
+    found, starts, true = [], [0], []
+    for size in (30, 150, 700, 5000):
+        for share in (0.5, 0.8, 0.85, 0.9, 0.97):
+            for _ in range(12):
+                both = int(np.ceil(size * 2 * share / (1 + share)))
                 h = np.unique(rng.integers(0, 1 << 63, 2 * size - both, np.uint64) * np.uint64(2) + np.uint64(1))
-                a, b = np.sort(h[rng.permutation(len(h))[:size]]), None
-                own = np.setdiff1d(h, a)
-                b = np.sort(np.concatenate((rng.permutation(a)[:both], own)))
-                (x, own_x), (y, own_y) = (hyperminhash.registers(s, np.array([0, len(s)])) for s in (a, b))
-                true = len(np.intersect1d(a, b)) / len(np.union1d(a, b))
-                guess = hyperminhash.estimate(x, y, own_x, own_y, np.array([len(a)]), np.array([len(b)]))[0]
-                assert guess >= true - hyperminhash.slack(true, np.array([min(len(a), len(b))]), 0.1)[0]
-                off.append(guess - true)
-            assert abs(np.mean(off)) < 0.03
+                first = rng.permutation(h)[:size]
+                second = np.concatenate((first[:both], np.setdiff1d(h, first)))
+                for s in (first, second):
+                    found.append(np.sort(s)), starts.append(starts[-1] + len(s))
+                true.append(both / len(h))
+    values, filled = hyperminhash.registers(np.concatenate(found), np.array(starts))
+    planes = np.concatenate([np.packbits(values >> k & 1, axis=1) for k in range(hyperminhash.MANTISSA)], axis=1)
+    size = np.diff(starts)
+    rows = [(k // 2, k % 2, int(size[k]), float(hyperminhash.slack(0.8, size[k : k + 1])[0]), planes[k].view("<i8").tolist(), np.packbits(filled[k]).view("<i8").tolist()) for k in range(len(size))]
+    df = spark.createDataFrame(rows, "pair long, side long, n long, slack double, bits array<long>, filled array<long>")
+    a, b = df.where("side = 0").alias("x"), df.where("side = 1").alias("y")
+    passed = {r[0] for r in a.join(b, (F.col("x.pair") == F.col("y.pair")) & hyperminhash._likely(0.8, "x", "y")).select("x.pair").collect()}
+    assert {k for k, t in enumerate(true) if t >= 0.8} <= passed
+    assert not {k for k, t in enumerate(true) if t < 0.55 and size[2 * k] >= 150} & passed
 
 
 def test_shingle_sets_split_words_as_stated():
