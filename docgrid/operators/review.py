@@ -53,15 +53,17 @@ def batch_list(value: Column) -> Column:
     """Struct of items (trimmed, the first spelling of each, without those of no letter or digit) and
     problem (not_a_list, too_long, too_many or null; with a problem items is null)."""
 
-    def bounded(items: Column) -> Column:
-        keys = F.transform(items, T.normalize_batch)
-        kept = F.filter(items, lambda x, i: F.array_position(keys, T.normalize_batch(x)) == i + 1)
+    def bounded(x: Column) -> Column:
+        items, keys = x["items"], x["keys"]
         long = F.exists(keys, lambda k: F.length(k) > MOST_CHARACTERS)
-        problem = F.when(items.isNull(), "not_a_list").when(long, "too_long").when(F.size(kept) > MOST_ITEMS, "too_many")
+        too_many = F.size(F.array_distinct(keys)) > MOST_ITEMS
+        problem = F.when(items.isNull(), "not_a_list").when(long, "too_long").when(too_many, "too_many")
+        kept = F.filter(items, lambda _, i: F.array_position(keys, F.get(keys, i)) == i + 1)
         return F.struct(F.when(problem.isNull(), kept).alias("items"), problem.alias("problem"))
 
     clean = F.filter(F.transform(listed(value), lambda x: F.trim(F.coalesce(x, F.lit("")))), lambda x: T.normalize_batch(x) != "")
-    return T.let(clean, bounded)
+    spelled = T.let(clean, lambda c: F.struct(c.alias("items"), F.transform(c, T.normalize_batch).alias("keys")))
+    return T.let(spelled, bounded)
 
 
 def field_issue(field: str, row: Mapping[str, Column], backend: Column, score: Column, edited: Column, reviewed: Column) -> Column:
@@ -95,7 +97,7 @@ def typed(row: Mapping[str, Column], score: Column, reviewed: Column, include_ba
     out = {"qty": number, "qty_text": raw, "qty_marked": number.isNull()}
     for f in ("exp", "mfg"):
         text = F.trim(F.coalesce(row[f], F.lit("")))
-        out |= {f: F.when(text.rlike(r"^\d{4}-\d{2}-\d{2}$"), F.try_to_date(text, "yyyy-MM-dd")), f"{f}_text": text}
+        out |= {f: F.when(text.rlike(r"^\d{4}-\d{2}-\d{2}$"), text.try_cast("date")), f"{f}_text": text}
     return out | {"batch": F.when(include_batch, F.coalesce(row["batch"], F.lit(""))), "row_confidence": score, "status": F.when(reviewed, CHECKED).otherwise(UNCHECKED)}
 
 
