@@ -48,9 +48,10 @@ def reconciled_label_batch(value: Column, allowed: Column) -> tuple[Column, Colu
 
 
 def _places(value: Column, chosen: Column) -> Column:
-    at = differing(normalize_batch(value), normalize_batch(chosen))
     letters = F.filter(F.sequence(F.lit(0), F.greatest(F.length(chosen) - 1, F.lit(0))), lambda i: F.substring(chosen, i + 1, F.lit(1)).rlike("[A-Za-z0-9]"))
-    return F.transform(at, lambda i: F.get(letters, i))
+    # most entries are spelled alike: the places of letters are listed only where something differs
+    in_text = lambda at: F.when(F.size(at) > 0, let(letters, lambda l: F.transform(at, lambda i: F.get(l, i)))).otherwise(at)
+    return let(differing(normalize_batch(value), normalize_batch(chosen)), in_text)
 
 
 def column_of(xc: Column, layout: list[tuple[str, int, int]] = LAYOUT) -> Column:
