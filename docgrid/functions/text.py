@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -32,12 +33,10 @@ def is_gtin(c: Column) -> Column:
 
 
 def _is_gtin(c: Column) -> Column:
-    n = F.length(c)
-    places = F.sequence(F.lit(1), F.greatest(n - 1, F.lit(1)))
-    weigh = lambda acc, i: acc + F.coalesce(F.try_to_number(F.substring(c, n - i, F.lit(1)), F.lit("9")).cast("int"), F.lit(0)) * F.when(i % 2 == 1, 3).otherwise(1)
-    total = F.aggregate(places, F.lit(0), weigh)
-    right = F.pmod(F.lit(10) - total % 10, F.lit(10)).cast("string") == F.substring(c, n, F.lit(1))
-    return F.coalesce(F.when(c.rlike(r"^(\d{8}|\d{12}|\d{13}|\d{14})$"), right), F.lit(False))
+    # places count from the end; a text that is shorter has none there, which weighs nothing
+    digit = lambda i: F.greatest(F.ascii(F.substring(c, -1 - i, 1)), F.lit(48)) - 48
+    weighed = reduce(lambda a, b: a + b, [digit(i) * 3 if i % 2 else digit(i) for i in range(14)])
+    return F.coalesce(F.when(c.rlike(r"^(\d{8}|\d{12}|\d{13}|\d{14})$"), weighed % 10 == 0), F.lit(False))
 
 
 def clean_sku(c: Column) -> Column:
@@ -98,7 +97,7 @@ def is_date(c: Column) -> Column:
     """Calendar date YYYY-MM-DD of 1900 to 2200; the empty text counts as valid."""
     year = F.substring(c, 1, 4)
     shaped = c.rlike(r"^\d{4}-\d{2}-\d{2}$") & year.between("1900", "2200")
-    return F.coalesce((c == "") | (shaped & F.try_to_date(c, "yyyy-MM-dd").isNotNull()), F.lit(True))
+    return F.coalesce((c == "") | (shaped & c.try_cast("date").isNotNull()), F.lit(True))
 
 
 def normalized(field: str, c: Column) -> Column:
@@ -129,15 +128,24 @@ def _is_valid(field: str, c: Column) -> Column:
 
 def differing(a: Column, b: Column) -> Column:
     """0-based places where two texts of one length differ; other lengths: none."""
-    places = F.sequence(F.lit(0), F.greatest(F.length(a) - 1, F.lit(0)))
-    return F.when(F.length(a) == F.length(b), F.filter(places, lambda i: F.substring(a, i + 1, F.lit(1)) != F.substring(b, i + 1, F.lit(1)))).otherwise(F.array().cast("array<int>"))
+
+    def places(t: Column) -> Column:
+        every = F.sequence(F.lit(0), F.greatest(F.length(t["a"]) - 1, F.lit(0)))
+        found = F.filter(every, lambda i: F.substring(t["a"], i + 1, F.lit(1)) != F.substring(t["b"], i + 1, F.lit(1)))
+        return F.when((F.length(t["a"]) == F.length(t["b"])) & (t["a"] != t["b"]), found).otherwise(F.array().cast("array<int>"))
+
+    return let(F.struct(a.alias("a"), b.alias("b")), places)
 
 
 def confusable(a: Column, b: Column) -> Column:
     """0-based places where texts of one length differ by look-alike characters."""
     pairs = sorted({p for g in CONFUSABLE for p in (g, g[::-1])})
-    two = lambda i: F.concat(F.substring(F.upper(a), i + 1, F.lit(1)), F.substring(F.upper(b), i + 1, F.lit(1)))
-    return F.filter(differing(F.upper(a), F.upper(b)), lambda i: two(i).isin(pairs))
+
+    def places(t: Column) -> Column:
+        two = lambda i: F.concat(F.substring(t["a"], i + 1, F.lit(1)), F.substring(t["b"], i + 1, F.lit(1)))
+        return F.filter(differing(t["a"], t["b"]), lambda i: two(i).isin(pairs))
+
+    return let(F.struct(F.upper(a).alias("a"), F.upper(b).alias("b")), places)
 
 
 def trailing_check_mark(qty: Column, box: Column) -> Column:
