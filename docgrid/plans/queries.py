@@ -323,7 +323,7 @@ def thin_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("select doc_id, cast(row_idx - min(row_idx) over (partition by doc_id) as int) as row, field, trim(text, '') as text, round_even(score, 3) as conf from fragment", "fragment")
 def cell_pivot(spark: SparkSession, sf_dir: str) -> DataFrame:
     items = fixture(spark, sf_dir, "fragment").drop("field").withColumn("field", matching.column_of(F.col("xc")))
-    return rows.cells(items.join(rows.clustered(items), ["doc_id", "seq"]))
+    return rows.cells(rows.grouped(items, "field", "x1", "text", "score").select("doc_id", "row", F.inline("items")))
 
 
 @query("select doc_id, row_idx, count(*) filter (field in ('sku', 'qty', 'exp', 'mfg', 'batch')) as n, sum(score) filter (field in ('sku', 'qty', 'exp', 'mfg', 'batch')) as total, min(score) as least from fragment group by doc_id, row_idx", "fragment")
