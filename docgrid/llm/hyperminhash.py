@@ -12,7 +12,8 @@ which Spark counts inside the join, and by whole registers.
 
 Of each band, first all documents are compared with the smallest one only. What this links is one component,
 and pairs inside a component need no comparison any more: they cannot change it. Pairs across components
-are compared then, in blocks that meet in cells of their own, so that no band is gathered in one task.
+are compared then, in blocks that meet in cells of their own, so that no band is gathered in one task. A pair is
+compared in the first band that it shares, and comes out of the join once.
 """
 
 from __future__ import annotations
@@ -194,7 +195,7 @@ def links(docs: DataFrame, distinct: DataFrame, percent: int = PERCENT, block: i
     all that are similar; and the pairs across components that were compared."""
     similarity = percent / 100
     keys = F.transform(F.slice("keys", 1, bands(similarity)), lambda k, i: F.struct(i.alias("band"), k.alias("key")))
-    rows = distinct.where("n > 0").select("fp", F.explode(keys).alias("k")).select("fp", F.xxhash64("k.band", "k.key").alias("key"))
+    rows = distinct.where("n > 0").select("fp", F.explode(keys).alias("k")).select("fp", "k.band", F.xxhash64("k.band", "k.key").alias("key"))
     shared = rows.groupBy("key").agg(F.min("fp").alias("first"), F.count("*").alias("n")).where("n > 1")
     met = written(rows.join(shared.select("key", "first"), "key"), "bands")
     told = distinct.select("fp", "n", "slack", "bits", "filled")
@@ -204,16 +205,18 @@ def links(docs: DataFrame, distinct: DataFrame, percent: int = PERCENT, block: i
     found = _verified(docs, star, distinct, percent)
 
     rooted = components(found).select(F.col("node").alias("fp"), "root")
-    met = met.join(rooted, "fp", "left").select("key", "fp", "first", F.coalesce("root", "fp").alias("root"))
+    met = met.join(rooted, "fp", "left").select("key", "band", "fp", "first", F.coalesce("root", "fp").alias("root"))
     mixed = met.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high"), F.count("*").alias("size"))
     mixed = mixed.where("low <> high and size > 2").select("key", F.ceil(F.col("size") / block).cast("int").alias("blocks"))
-    met = met.join(mixed, "key").join(told, "fp").withColumn("mine", F.pmod(F.xxhash64("fp"), F.col("blocks")).cast("int"))
+    met = met.join(mixed, "key").join(distinct.select(*told.columns, F.slice("keys", 1, bands(similarity)).alias("shares")), "fp").withColumn("mine", F.pmod(F.xxhash64("fp"), F.col("blocks")).cast("int"))
     met = written(met.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))), "cells")
     a = met.withColumnsRenamed({"mine": "i", "other": "j"}).alias("x")
     b = met.withColumnsRenamed({"other": "i", "mine": "j"}).alias("y")
     same = (F.col("x.key") == F.col("y.key")) & (F.col("x.i") == F.col("y.i")) & (F.col("x.j") == F.col("y.j"))
     apart = (F.col("x.fp") < F.col("y.fp")) & (F.col("x.root") != F.col("y.root")) & (F.col("x.fp") != F.col("x.first"))
-    across = a.join(b, same & apart & _likely(similarity, "x", "y")).select(F.col("x.fp").alias("u"), F.col("y.fp").alias("v")).distinct()
+    # a smallest document's pairs were compared before; any other pair meets in the first band that it shares as well
+    once = F.array_position(F.zip_with("x.shares", "y.shares", lambda k, l: k == l), True) == F.col("x.band") + 1
+    across = a.join(b, same & apart & _likely(similarity, "x", "y") & once).select(F.col("x.fp").alias("u"), F.col("y.fp").alias("v"))
     across = written(across, "across")
     return found.unionByName(_verified(docs, across, distinct, percent)), across
 
