@@ -21,7 +21,11 @@ def let(c: Column, f: Callable[[Column], Column]) -> Column:
 
 
 def clean_text(c: Column) -> Column:
-    """Trim, one space between words, no table-rule slashes at the ends."""
+    """Trim, one space between words, no table-rule slashes at the ends; most texts have neither and stay."""
+    return let(c, lambda t: F.when(t.rlike(r"[\s/／]"), _clean_text(t)).otherwise(t))
+
+
+def _clean_text(c: Column) -> Column:
     c = F.trim(F.regexp_replace(c, r"\s+", " "))
     c = F.trim(F.regexp_replace(c, "[/／]+$", ""))
     return F.trim(F.regexp_replace(c, "^[/／]+", ""))
