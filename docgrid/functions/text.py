@@ -67,6 +67,12 @@ def clean_digits(c: Column) -> Column:
     return F.regexp_replace(F.translate(F.coalesce(c, F.lit("")), *DIGIT_LOOKALIKES), r"(?U)\D", "")
 
 
+def digit_count(c: Column) -> Column:
+    """How many digits a text has, of any script; texts of one byte a character need no pattern."""
+    plain = F.length(c) - F.length(F.translate(c, "0123456789", ""))
+    return F.when(F.octet_length(c) == F.length(c), plain).otherwise(F.length(F.regexp_replace(c, r"(?U)\D", "")))
+
+
 def clean_pallet(c: Column) -> Column:
     return F.replace(F.regexp_replace(clean_text(F.coalesce(c, F.lit(""))), r"\s+", ""), F.lit("／"), F.lit("/"))
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from docgrid.functions.text import differing, let, normalize_batch
+from docgrid.functions.text import differing, digit_count, let, normalize_batch
 
 # Columns of the receiving sheet in pixels, right end open.
 LAYOUT = [("pallet", 90, 175), ("box", 175, 235), ("sku", 235, 390), ("name", 390, 725), ("qty", 725, 785), ("exp", 785, 905), ("mfg", 905, 1025), ("batch", 1025, 1185)]
@@ -116,30 +116,34 @@ def layouts(items: DataFrame, header_y: float, fallback: str = "fixed") -> DataF
     A printed batch header decides first; then, by a margin of 20 pixels, whose columns' middles the
     headers are nearer to; then a header of the making date; then, for pages without headers of
     columns and the fallback ``fixed``, in whose columns more numbers of fitting length
-    stand, by a margin of 6. All are sums over a document's fragments: one aggregation."""
-    word = F.regexp_replace(F.upper("text"), "[^A-Z]", "")
-    digits = F.length(F.regexp_replace("text", r"(?U)\D", ""))
-    quantity = ((F.length("w") == 3) & F.col("w").endswith("TY")) | F.col("w").endswith("QTY")
-    kinds = [("pallet", F.col("w").startswith("PALL")), ("box", F.col("w") == "BOX"), ("sku", F.col("w").contains("SKU")), ("name", F.col("w") == "NAME"), ("qty", quantity), ("exp", F.col("w").startswith("EXP")), ("mfg", F.col("w").startswith("MF"))]
-    named = F.coalesce(*[F.when(test, F.lit(field)) for field, test in kinds])
-    rows = items.select("doc_id", "xc", word.alias("w"), digits.alias("n"), F.col("yc").between(TABLE_TOP - 15, header_y + 12).alias("head"))
-    rows = rows.withColumn("field", F.when(F.col("head"), named))
+    stand, by a margin of 6. All are sums over a document's fragments: one aggregation. Only fragments at the headers' height are
+    spelled as words."""
+    head = F.col("yc").between(TABLE_TOP - 15, header_y + 12)
+
+    def told(w: Column, xc: Column) -> Column:
+        quantity = ((F.length(w) == 3) & w.endswith("TY")) | w.endswith("QTY")
+        kinds = [("pallet", w.startswith("PALL")), ("box", w == "BOX"), ("sku", w.contains("SKU")), ("name", w == "NAME"), ("qty", quantity), ("exp", w.startswith("EXP")), ("mfg", w.startswith("MF"))]
+        named = F.coalesce(*[F.when(test, F.lit(field)) for field, test in kinds])
+        tests = {"batch": w.contains("BATC") & (w.contains("BATCH") | w.startswith("BATC")), "made": w.contains("MFG") | w.startswith("MF"), "other": w.startswith("EXP") | quantity}
+        return F.struct(named.alias("field"), xc.alias("xc"), *[test.alias(name) for name, test in tests.items()])
+
+    # a struct made inside the row: few fragments are headers, and the pass over all of them stays short
+    header = F.when(head, let(F.struct(F.regexp_replace(F.upper("text"), "[^A-Z]", "").alias("w"), F.col("xc").alias("xc")), lambda x: told(x["w"], x["xc"])))
+    rows = items.select("doc_id", "xc", digit_count(F.col("text")).alias("n"), header.alias("head"))
 
     def off(layout: list[tuple[str, int, int]]) -> Column:
-        return F.avg(F.coalesce(*[F.when(F.col("field") == f, F.abs(F.col("xc") - (a + b) / 2)) for f, a, b in layout]))
+        return F.avg(F.coalesce(*[F.when(F.col("head.field") == f, F.abs(F.col("head.xc") - (a + b) / 2)) for f, a, b in layout]))
 
     def fitting(layout: list[tuple[str, int, int]]) -> Column:
         inside = {f: (F.col("xc") >= a) & (F.col("xc") < b) for f, a, b in layout}
         points = [(inside["sku"] & F.col("n").between(8, 14), 2), (inside["qty"] & F.col("n").between(1, 4), 3), ((inside["exp"] | inside["mfg"]) & F.col("n").isin(6, 8), 1)]
         return sum(F.count_if(test) * worth for test, worth in points)
 
-    some = lambda test: F.coalesce(F.bool_or(F.col("head") & test), F.lit(False))
+    some = lambda test: F.coalesce(F.bool_or(test), F.lit(False))
     seen = rows.groupBy("doc_id").agg(
-        some(F.col("w").contains("BATC") & (F.col("w").contains("BATCH") | F.col("w").startswith("BATC"))).alias("batch"),
-        some(F.col("w").contains("MFG") | F.col("w").startswith("MF")).alias("made"),
-        some(F.col("w").startswith("EXP") | quantity).alias("other"),
-        F.count("field").alias("headers"),
-        F.coalesce(F.bool_or(F.col("field").isin("name", "qty", "exp", "mfg")), F.lit(False)).alias("telling"),
+        *[some(F.col(f"head.{test}")).alias(test) for test in ("batch", "made", "other")],
+        F.count("head.field").alias("headers"),
+        some(F.col("head.field").isin("name", "qty", "exp", "mfg")).alias("telling"),
         (off(NO_BATCH_LAYOUT) + 20 < off(LAYOUT)).alias("nearer"),
         (fitting(LAYOUT) - fitting(NO_BATCH_LAYOUT)).alias("lead"),
     )
