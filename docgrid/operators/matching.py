@@ -67,20 +67,20 @@ def nearest(items: DataFrame, slots: DataFrame, keys: list[str], place: str, cen
     ``place``, as a struct of gap and the columns ``slot``; of equally near ones the first by these columns. Items of keys without
     slots, or without a place, have null; slots without a center count for none.
 
-    Items and slots are one table, sorted by height in each group of keys: of the slots below the nearest is the last
-    one seen on the way up, and of those above the last on the way down. No item meets more than these two."""
+    Items and slots are one table, sorted by height once in each group of keys: of the slots below the nearest is the last
+    one before the item, and of those above the first one behind it. No item meets more than these two."""
     held, at = [f"_{c}" for c in slot], F.col("_at")
     marks = slots.where(F.col(center).isNotNull()).select(*keys, F.col(center).cast("double").alias("_at"), F.struct(*[F.col(c).alias(h) for c, h in zip(slot, held)]).alias("_slot"))
+    marks = marks.groupBy(*keys, "_at").agg(F.min("_slot").alias("_slot"))  # of slots at one height the first
     both = items.withColumn("_at", F.col(place).cast("double")).unionByName(marks, allowMissingColumns=True)
 
-    def beside(order: Column) -> Column:
-        # of slots at one height the first comes last, and slots come before items
-        w = Window.partitionBy(*keys).orderBy(order, F.col("_slot").isNull(), F.col("_slot").desc()).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-        return F.last(F.when(F.col("_slot").isNotNull(), F.struct("_at", "_slot")), ignorenulls=True).over(w)
-
-    found = both.withColumn("_below", beside(at.asc())).withColumn("_above", beside(at.desc())).where("_slot is null")
+    # slots come before items of their height
+    both = both.withColumn("_mark", F.when(F.col("_slot").isNotNull(), F.struct("_at", "_slot")))
+    near = ", ".join(f"`{k}`" for k in keys)
+    beside = lambda f: F.expr(f"{f}(_mark, 1) ignore nulls over (partition by {near} order by _at, _mark is null)")
+    found = both.withColumns({"_below": beside("lag"), "_above": beside("lead")}).where("_mark is null")
     side = lambda c: F.when(F.col(c).isNotNull() & at.isNotNull(), F.struct(F.abs(at - F.col(f"{c}._at")).alias("gap"), *[F.col(f"{c}._slot.{h}").alias(n) for n, h in zip(slot, held)]))
-    return found.withColumn("near", F.array_min(F.array_compact(F.array(side("_below"), side("_above"))))).drop("_at", "_slot", "_below", "_above")
+    return found.withColumn("near", F.least(side("_below"), side("_above"))).drop("_at", "_slot", "_mark", "_below", "_above")
 
 
 def nearest_slot(items: DataFrame, slots: DataFrame, tolerance: Column) -> DataFrame:
