@@ -74,32 +74,36 @@ def centers(observed: np.ndarray, slots: np.ndarray) -> np.ndarray:
     middle = float(np.median(own))
     if seen == n and middle >= 10 and (own >= middle * EVEN[0]).all() and (own <= middle * EVEN[1]).all():
         return observed
-    size = (base * (1 - STRETCH) + np.arange(SPACINGS) * (base * 2 * STRETCH / (SPACINGS - 1)))[:, None, None]
-    first = (slots[0] - base * SHIFT + np.arange(int(np.ceil(base * SHIFT * 2 / STEP + 1))) * STEP)[None, :, None]
-    at = np.rint((observed - first) / size)  # spacing, first place, value
-    inside = (at >= 0) & (at < n)
-    held = inside.sum(axis=2)
-    rows = np.where(inside, at, -1)
-    rows.sort(axis=2)
-    unique = ((rows >= 0) & (np.diff(rows, axis=2, prepend=-2) != 0)).sum(axis=2)
-    off = np.where(inside, np.abs(observed - (first + at * size)), 0).sum(axis=2)
+    size = (base * (1 - STRETCH) + np.arange(SPACINGS) * (base * 2 * STRETCH / (SPACINGS - 1)))[:, None]
+    first = (slots[0] - base * SHIFT + np.arange(int(np.ceil(base * SHIFT * 2 / STEP + 1))) * STEP)[None, :]
+    # one value at a time over all fits (spacing, first place); values ascend, so those of one row follow each other
+    held, unique, off, last = np.zeros((size.size, first.size), np.int64), np.zeros((size.size, first.size), np.int64), np.zeros((size.size, first.size)), None
+    for y in observed:
+        at = np.rint((y - first) / size)
+        inside = (at >= 0) & (at < n)
+        held += inside
+        unique += inside if last is None else inside & (at != last)
+        off += np.where(inside, np.abs(y - (first + at * size)), 0)
+        last = at
     with np.errstate(invalid="ignore", divide="ignore"):
-        score = off / held + (held - unique) * base * DOUBLE + (seen - held) * base * MISSED + np.abs(first[:, :, 0] - slots[0]) * AWAY - unique * HELD
+        score = off / held + (held - unique) * base * DOUBLE + (seen - held) * base * MISSED + np.abs(first - slots[0]) * AWAY - unique * HELD
     score = np.where(unique >= min(3, n), np.round(score, 9), np.inf)
     i, j = np.unravel_index(int(score.argmin()), score.shape)
     if not np.isfinite(score[i, j]) or unique[i, j] < max(3, int(min(n, seen) * 0.55)):
         return slots
-    return first[0, j, 0] + np.arange(n) * size[i, 0, 0]
+    return first[0, j] + np.arange(n) * size[i, 0]
 
 
 def fitted(columns: DataFrame, key: str) -> DataFrame:
     """key, centers of each column (key: long; seen, slots: arrays of doubles) by ``centers``; the grid of
-    fits is one array a column. Null arrays are empty."""
+    fits is one array a column, and columns of a batch with the same places are fitted once. Null arrays are empty."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            both = zip(batch.column("seen").to_pylist(), batch.column("slots").to_pylist())
-            found = [centers(np.sort(np.array(seen or [], float)), np.array(slots or [], float)) for seen, slots in both]
+            both = [(np.sort(np.array(seen or [], float)), np.array(slots or [], float)) for seen, slots in zip(batch.column("seen").to_pylist(), batch.column("slots").to_pylist())]
+            alike = [(seen.tobytes(), slots.tobytes()) for seen, slots in both]
+            fits = {k: centers(*pair) for k, pair in dict(zip(alike, both)).items()}
+            found = [fits[k] for k in alike]
             yield pa.RecordBatch.from_arrays([batch.column(key), pa.array(found, pa.list_(pa.float64()))], [key, "centers"])
 
     doubles = [F.col(c).cast("array<double>").alias(c) for c in ("seen", "slots")]
