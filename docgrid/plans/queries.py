@@ -161,12 +161,12 @@ ranked as (select *, row_number() over (partition by doc_id, row_idx order by d,
 def _with_allowed(spark: SparkSession, sf_dir: str) -> DataFrame:
     lines = _lines(spark, sf_dir)
     per = lines.groupBy("doc_id").agg(F.array_distinct(F.array_append(F.collect_set("batch_true"), F.max(F.reverse("batch_true")))).alias("allowed"))
-    return lines.join(per, "doc_id")
+    return lines.join(per.withColumn("entries", matching.spelled(F.col("allowed"))), "doc_id")
 
 
 @query(ALLOWED + "select doc_id, row_idx, case when (d2 is null or d < d2) and d <= greatest(1, cast(floor(length(k) * 0.25) as int)) then a else '' end as batch from ranked where n = 1", "inv_line")
 def batch_match(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _with_allowed(spark, sf_dir).select("doc_id", "row_idx", matching.reconciled_batch(F.col("batch_text"), F.col("allowed")).alias("batch"))
+    return _with_allowed(spark, sf_dir).select("doc_id", "row_idx", matching.reconciled_batch(F.col("batch_text"), F.col("allowed"), F.col("entries")).alias("batch"))
 
 
 @query(
@@ -177,7 +177,7 @@ def batch_match(spark: SparkSession, sf_dir: str) -> DataFrame:
     "inv_line",
 )
 def batch_match_pkg(spark: SparkSession, sf_dir: str) -> DataFrame:
-    batch, places = matching.reconciled_label_batch(F.col("batch_text"), F.col("allowed"))
+    batch, places = matching.reconciled_label_batch(F.col("batch_text"), F.col("allowed"), F.col("entries"))
     return _with_allowed(spark, sf_dir).select("doc_id", "row_idx", batch.alias("batch"), F.array_join(places.cast("array<string>"), ",").alias("places"))
 
 
