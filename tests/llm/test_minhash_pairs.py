@@ -2,6 +2,8 @@ from __future__ import annotations
 
 import random
 
+import pyarrow as pa
+
 from docgrid.llm import hyperminhash
 
 
@@ -23,3 +25,14 @@ def test_pairs_leave_the_join_once(spark, monkeypatch):
     how, across = seen["across"]
     assert across.count() == across.distinct().count() > 0
     assert not how.startswith("Aggregate")
+
+
+def test_pipeline_hands_small_batches_to_python(spark):
+    from docgrid.llm.common import small_batches
+
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(key)
+    with small_batches(spark, 7):
+        sizes = spark.range(0, 100, 1, 1).mapInArrow(lambda batches: (pa.RecordBatch.from_arrays([pa.array([b.num_rows])], ["n"]) for b in batches), "n long")
+        assert max(r["n"] for r in sizes.collect()) == 7
+    assert spark.conf.get(key) == before
