@@ -415,6 +415,9 @@ def without_later_copies(docs: DataFrame, length: int = LENGTH, key_limit: int =
 
         return pd.Series([one(t, s) for t, s in zip(text, spans)], dtype=object)
 
-    out = met.withColumn(cut_, F.when(F.col(found).isNull(), F.col("text")).otherwise(cut("text", found)))
+    # else the filter below gets a cut of its own: two Python workers for each task, and each text cut twice
+    cut = cut.asNondeterministic()
+    some = F.when(F.col(found).isNotNull(), F.col("text"))  # only texts with spans go to Python
+    out = met.withColumn(cut_, F.when(F.col(found).isNull(), F.col("text")).otherwise(cut(some, found)))
     out = out.where(F.col(found).isNull() | (F.length(cut_) > 0))
     return out.select(*[F.col(cut_).alias(c) if c == "text" else F.col(c) for c in docs.columns])
